@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from graphleaf.llm import decontaminate
+from graphleaf.llm.decontaminate import op2_decontamination
 from graphleaf.llm.sharding import op9_kd_sharding
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op9_kd_sharding": op9_kd_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE_SQL,
+}
