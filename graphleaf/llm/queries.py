@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from graphleaf.llm import decontaminate
 from graphleaf.llm.decontaminate import op2_decontamination
+from graphleaf.llm.packing import op6_packing
 from graphleaf.llm.sharding import op9_kd_sharding
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op6_packing": op6_packing,
     "op9_kd_sharding": op9_kd_sharding,
 }
 ORACLES: dict[str, str] = {
