@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from graphleaf.llm import decontaminate
+from graphleaf.llm import chat, decontaminate
+from graphleaf.llm.chat import op3_chat_format
 from graphleaf.llm.decontaminate import op2_decontamination
 from graphleaf.llm.packing import op6_packing
 from graphleaf.llm.sharding import op9_kd_sharding
+from graphleaf.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op9_kd_sharding": op9_kd_sharding,
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE_SQL,
+    "op3_chat_format": chat.ORACLE_SQL,
 }
