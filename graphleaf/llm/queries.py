@@ -5,7 +5,10 @@ from __future__ import annotations
 from graphleaf.llm import chat, decontaminate
 from graphleaf.llm.chat import op3_chat_format
 from graphleaf.llm.decontaminate import op2_decontamination
+from graphleaf.llm.fingerprints import op8_fingerprints
+from graphleaf.llm.near_dedup import op10_near_duplicates
 from graphleaf.llm.packing import op6_packing
+from graphleaf.llm.quality import op7_quality
 from graphleaf.llm.sharding import op9_kd_sharding
 from graphleaf.llm.toxicity import op4_toxicity
 
@@ -14,7 +17,10 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_fingerprints": op8_fingerprints,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE_SQL,
