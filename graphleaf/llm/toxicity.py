@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,13 @@ from graphleaf.llm.common import table
 from graphleaf.llm.labelled import is_held_out, training_texts
 
 BUCKETS = 1 << 18
-TRAIN_ROWS, TRAIN_BYTES = 8_000, 16_384
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 16_384
 STEPS, RATE, L2 = 120, 0.1, 1e-4
 #: A missed toxic document weighs as much as this many false alarms.
 TOXIC_WEIGHT = 2.0
 LEAST_WORDS, SENTENCE_WORDS = 8, 40
+#: Documents whose tokens are expanded into features together.
+FIT_DOCS = 200
 MAX_CACHED = 500_000
 _SPLIT = re.compile(r"[.!?\n\r]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -88,20 +91,25 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> tuple[np.nda
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS), -30.0 if not len(y) or y[0] == 0 else 3.0
     vocabulary: dict[str, int] = {}
-    token, bag_of, first = [], [], []
+    token, bag_of, first = array("i"), array("i"), array("q")
     for d, text in enumerate(texts):
         for words in sentences(text):
             first.append(len(token))
             bag_of.append(d)
-            token += [vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(words))]
+            token.extend(vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(words)))
     token, first, bag_of = np.array(token, np.int32), np.array(first, np.int64), np.array(bag_of, np.int32)
     sentence_of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(token))))
     lists = [features(w) for w in vocabulary]
-    feature = np.array([f for x in lists for f in x], np.int64)
-    word_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    seen = np.zeros(BUCKETS, bool)  # features of one document tell nothing about others
-    docs_with = np.unique(np.repeat(bag_of[sentence_of].astype(np.int64), np.bincount(word_of, minlength=len(lists))[token]) * BUCKETS + _expanded(feature, word_of, token, len(lists))) % BUCKETS
-    seen[np.bincount(docs_with, minlength=BUCKETS) >= 3] = True
+    feature = np.array([f for x in lists for f in x], np.int32)
+    word_of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    in_docs = np.zeros(BUCKETS, np.int64)
+    edges = np.searchsorted(bag_of[sentence_of], np.arange(0, len(texts) + FIT_DOCS, FIT_DOCS))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        own = token[lo:hi]
+        each = np.bincount(word_of, minlength=len(lists))[own]
+        pairs = np.repeat(bag_of[sentence_of[lo:hi]].astype(np.int64), each) * BUCKETS + _expanded(feature, word_of, own, len(lists))
+        in_docs += np.bincount(np.unique(pairs) % BUCKETS, minlength=BUCKETS)
+    seen = in_docs >= 3  # features of one document tell nothing about others
     theta, bias = np.zeros(BUCKETS), -6.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     n = len(y)
