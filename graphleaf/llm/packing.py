@@ -8,65 +8,155 @@ which range of sequences; its segments number a few for each length, whatever th
 number of documents. Pieces get a distributed rank within their length and join the
 plan on it.
 
-Words recur, so each worker keeps the ids of white-space-separated chunks and asks
-the tokenizer only for chunks that it has not seen. The tokenizer's pieces never span
-white space and its normaliser acts on single characters and their marks, so that the
-chunks' ids joined are the text's ids.
+Words recur, so each worker keeps the ids of chunks between white space and of the pieces
+that the tokenizer's own pattern cuts a lower-cased chunk into, which it encodes one by
+one, and asks the tokenizer only for pieces that it has not seen: letter runs many at a time, told apart again by the
+vocabulary's end-of-word mark. Texts with characters on which the libraries' Unicode tables
+may differ, or with the text of a special token, go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import dense_rank_slots, materialise, table
+from graphleaf.llm.common import ROLL_A, blocks, dense_rank_slots, materialise, mix, table, utf8
 
 CAPACITY = 4096
 END_ID = 1
-MAX_CACHED = 400_000
-#: Characters that Python's str.split takes for white space and the tokenizer does not.
-_ODD = "\x1c\x1d\x1e\x1f"
+MAX_CACHED, MAX_CHUNKS = 500_000, 2_000_000
+END_OF_WORD = "</w>"
+#: The pre-tokenizer's pattern, a fixed value of the vocabulary file.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts that the tokenizer gets whole: beyond the basic plane, white space of one library only, capital sigma (lower case by context), special tokens.
+_WHOLE = re.compile("[\U00010000-\U0010ffff\x1c-\x1f\u03a3]|<\\|")
 
-_workers: dict[str, ChunkIds] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+_workers: dict[str, PieceIds] = {}
 
-class ChunkIds(dict):
-    """Packed little-endian ids of a chunk of text, filled on demand."""
+
+class PieceIds:
+    """Packed little-endian ids of texts, by pieces that are remembered."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= 64:
-            if len(self) >= MAX_CACHED:
-                self.clear()
-            self[chunk] = got
-        return got
-
-    def of(self, text: str) -> bytes:
-        if any(c in text for c in _ODD):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def _tokenizer(tokenizer_file: str) -> ChunkIds:
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END_OF_WORD)}
+        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, unknown: list[str]) -> None:
+        letters = [p for p in unknown if p.isalpha()]
+        for k in range(0, len(letters), 2000):
+            part, words, word = letters[k : k + 2000], [], []
+            for i in self._encode(" ".join(part)):
+                word.append(i)
+                if i in self.ends:
+                    words.append(_packed(word))
+                    word = []
+            if len(words) == len(part):
+                self.known.update(zip(part, words, strict=True))
+        for p in unknown:
+            if p not in self.known:
+                self.known[p] = _packed(self._encode(p))
+
+    def _fill(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Remember ``chunks``, parts of lower-cased texts between white space, by their hashes."""
+        if len(self.hashes) + len(chunks) > MAX_CHUNKS:
+            self._forget()
+        cut = list(map(_pieces, chunks))
+        unknown = set(itertools.chain.from_iterable(cut)) - self.known.keys()
+        if len(self.known) + len(unknown) > MAX_CACHED:
+            self.known.clear()
+            unknown = set(itertools.chain.from_iterable(cut))
+        self._learn(sorted(unknown))
+        known = self.known
+        packed = [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in cut]
+        many = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        where = np.searchsorted(self.hashes, hashes)
+        self.first = np.insert(self.first, where, self.used + np.cumsum(many) - many)
+        self.many = np.insert(self.many, where, many)
+        self.hashes = np.insert(self.hashes, where, hashes)
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + len(ids), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _forget(self) -> None:
+        self.hashes, self.first, self.many, self.pool, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 20, "<u4"), 0
+
+    def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among those remembered, and which are there."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.zeros(len(hashes), bool)
+        at = np.minimum(at, len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. Chunks of all texts are sorted by hash, so that each distinct one is looked up once."""
+        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
+        out_of_line = set(whole)
+        plain = [b"" if i in out_of_line else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().encode() for i, t in enumerate(texts)]
+        joined = b"\n".join([*plain, b""])
+        data = np.frombuffer(joined, np.uint8)
+        past = np.cumsum([len(t) + 1 for t in plain])
+        black = ~_SPACE[data]
+        starts = np.flatnonzero(black & np.concatenate([[True], ~black[:-1]]))
+        ends = np.flatnonzero(black & np.concatenate([~black[1:], [True]])) + 1
+        hashes, first, nth = np.unique(mix(ROLL_A.of(ROLL_A.running(data), starts, ends)), return_index=True, return_inverse=True)
+        for _ in range(2):  # a second time if the memory was emptied meanwhile
+            at, there = self._at(hashes)
+            if len(new := np.flatnonzero(~there)):
+                a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+                self._fill(hashes[new], [joined[x:y].decode() for x, y in zip(a, b, strict=True)])
+        at, _ = self._at(hashes)
+        many, at = self.many[at].astype(np.int64), self.first[at]
+        size = many[nth]
+        run = np.cumsum(size)
+        ids = self.pool[np.arange(run[-1] if len(run) else 0) - np.repeat(run - size - at[nth], size)]
+        cut = np.concatenate([[0], run])[np.searchsorted(starts, past)]
+        out = [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+        for i in whole:
+            out[i] = _packed(self._encode(texts[i]))
+        return out
+
+
+def _pieces(chunk: str) -> list[str]:
+    """``PIECES.findall``, with the usual cases, a letter run with or without ASCII marks after it, told apart sooner."""
+    if chunk.isalpha():
+        return [chunk]
+    run = chunk.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    return [run, chunk[len(run) :]] if run.isalpha() else PIECES.findall(chunk)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _tokenizer(tokenizer_file: str) -> PieceIds:
     if tokenizer_file not in _workers:
-        _workers[tokenizer_file] = ChunkIds(tokenizer_file)
+        _workers[tokenizer_file] = PieceIds(tokenizer_file)
     return _workers[tokenizer_file]
 
 
@@ -80,11 +170,12 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
         ids_of = _tokenizer(tokenizer_file).of
         end, step = END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for i, j in blocks(utf8(batch.column(1))[1]):
+                part = batch.slice(i, j - i)
                 cols = [[], [], [], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), pc.fill_null(part.column(1), "").to_pylist(), strict=True):
-                    packed = ids_of(text) + end
+                texts = pc.fill_null(part.column(1), "").to_pylist()
+                for doc, packed in zip(part.column(0).to_pylist(), ids_of(texts), strict=True):
+                    packed += end
                     for n, at in enumerate(range(0, len(packed), step)):
                         own = packed[at : at + step]
                         for c, v in zip(cols, (doc, n, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None), strict=True):
