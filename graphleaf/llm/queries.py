@@ -10,12 +10,14 @@ from graphleaf.llm.near_dedup import op10_near_duplicates
 from graphleaf.llm.packing import op6_packing
 from graphleaf.llm.quality import op7_quality
 from graphleaf.llm.sharding import op9_kd_sharding
+from graphleaf.llm.suffix_dedup import op5_suffix_dedup
 from graphleaf.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
