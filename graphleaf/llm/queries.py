@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphleaf.llm import chat, decontaminate
 from graphleaf.llm.chat import op3_chat_format
+from graphleaf.llm.chunk_dedup import op1_chunk_dedup
 from graphleaf.llm.decontaminate import op2_decontamination
 from graphleaf.llm.fingerprints import op8_fingerprints
 from graphleaf.llm.near_dedup import op10_near_duplicates
@@ -14,6 +15,7 @@ from graphleaf.llm.suffix_dedup import op5_suffix_dedup
 from graphleaf.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_chunk_dedup": op1_chunk_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,

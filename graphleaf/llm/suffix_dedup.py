@@ -284,7 +284,7 @@ def _covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """node, n_removed, n_spans, kept_sha256, removed, kept of (node, text, starts)."""
+    """node, n_removed, n_spans, kept_sha256, removed, kept_text of (node, text, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,15 +296,16 @@ def _cut(texts: DataFrame) -> DataFrame:
                     kept.append(raw[at:a])
                     at = b
                 left = b"".join([*kept, raw[at:]])
-                rows.append((node, sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), [{"first": a, "past": b} for a, b in gone], left))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), _SPANS_ARROW, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["node", "n_removed", "n_spans", "kept_sha256", "removed", "kept"])
+                whole = "".join(k.decode(errors="ignore") for k in [*kept, raw[at:]])
+                rows.append((node, sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), [{"first": a, "past": b} for a, b in gone], whole))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), _SPANS_ARROW, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["node", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"])
 
-    return texts.mapInArrow(run, f"node binary, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept binary")
+    return texts.mapInArrow(run, f"node binary, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept_text string")
 
 
 def repeated_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """For each distinct text from which bytes go: ``node`` (its SHA-256), ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (byte spans) and ``kept`` (bytes).
+    """For each distinct text from which bytes go: ``node`` (its SHA-256), ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (byte spans) and ``kept_text``, in which a character that loses a byte is gone whole.
 
     Null texts count as empty; texts of less than ``LENGTH`` bytes lose nothing; of repeated
     rows and copies every one loses all; an empty table gives no rows."""
@@ -328,7 +329,7 @@ def repeated_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def remove_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the texts (a character that loses a byte goes whole) and ``n_chars``, if there, counted anew."""
-    gone = materialise(repeated_passages(docs, text_col).select(F.col("node").alias("_node"), F.decode("kept", "UTF-8").alias("_kept")))
+    gone = materialise(repeated_passages(docs, text_col).select(F.col("node").alias("_node"), F.col("kept_text").alias("_kept")))
     text = F.coalesce(F.col("_kept"), F.col(text_col))
     out = docs.withColumn("_node", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(gone, "_node", "left").withColumn(text_col, text)
     if "n_chars" in docs.columns:
