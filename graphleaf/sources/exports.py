@@ -58,6 +58,8 @@ def embedded_nodes(nodes: DataFrame, embedder: Callable[[], Callable[[list[str]]
     """Add ``embedding`` (text of numbers parted by ``;``): titles of articles and texts of chunks if not blank, else null. ``embedder`` makes the model once in each worker task."""
     marked = nodes.withColumn("_input", F.when((F.col("label") == "Article") & (X.strip(F.col("title")) != ""), F.col("title")).when((F.col("label") == "Chunk") & (X.strip(F.col("text")) != ""), F.col("text")))
 
+    names = [*nodes.columns, "embedding"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = embedder()
         for rows in batches:
@@ -68,7 +70,7 @@ def embedded_nodes(nodes: DataFrame, embedder: Callable[[], Callable[[list[str]]
                 part = at[k : k + batch]
                 for i, vector in zip(part, model([texts[i] for i in part]), strict=True):
                     out[i] = ";".join(repr(float(x)) for x in vector)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(out, pa.string())], names=[*nodes.columns, "embedding"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(out, pa.string())], names=names)
 
     return marked.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*nodes.dtypes, ("embedding", "string")]))
 
