@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``docs`` less the columns that an operator's results of these names replace."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of these names renamed, and a function that takes a frame with all of them back to ``docs``' own columns."""
+    taken = {n.lower() for n in names}
+    inside = {c: f"own {k}" if c.lower() in taken else c for k, c in enumerate(docs.columns)}
+    moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inside.items()])
+    return moved, lambda df: df.select(*[F.col(f"`{a}`").alias(c) for c, a in inside.items()])
+
+
 def dense_rank_slots(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_cell: int = 50_000) -> DataFrame:
     """Add ``out``: a gapless number from 0 within each value of ``keys``.
 

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphleaf.llm.common import IS_WORD, LOWER, U64, blocks, materialise, table, utf8
+from graphleaf.llm.common import IS_WORD, LOWER, U64, blocks, materialise, set_aside, table, utf8, without
 
 WIDTH = 10
+NEW = ("n_words", "hit_spans", "hit_items")
 PATTERN_BYTES = 16 << 20
 TABLE_BITS = 20
 STRETCH = 2048
@@ -190,11 +191,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Null and wordless texts have no words and no hits; null or wordless items have no
     windows; an item without id marks words but is not listed; repeated rows and items
-    repeat; with an empty benchmark nothing is hit. ``docs`` must not have columns of
-    the three new names (a clash raises ValueError)."""
-    new = ("n_words", "hit_spans", "hit_items")
-    if clash := [c for c in docs.columns if c in new]:
-        raise ValueError(f"columns {clash} exist already")
+    repeat; with an empty benchmark nothing is hit. Columns of ``docs`` that have one of
+    the three new names are replaced."""
+    docs = without(docs, NEW)
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -235,7 +234,8 @@ def _searcher(shared, text_col: str, again: bool):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a word inside a benchmark window, columns as they were."""
-    return decontaminate(docs, benchmark).filter(F.size("hit_spans") == 0).select(*docs.columns)
+    inside, back = set_aside(docs, NEW)
+    return back(decontaminate(inside, benchmark).filter(F.size("hit_spans") == 0))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

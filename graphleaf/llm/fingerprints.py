@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import U64, blocks, mix, table, utf8, word_hashes
+from graphleaf.llm.common import U64, blocks, mix, table, utf8, without, word_hashes
 
 IDF_LEAST, IDF_MOST = math.log(10), math.log(2000)
 SUBSETS = 32
@@ -137,9 +137,8 @@ def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Add ``fingerprint`` (hexadecimal) to ``docs``. Null texts count as empty; equal texts have equal fingerprints; a column of that name raises ValueError."""
-    if "fingerprint" in docs.columns:
-        raise ValueError("columns ['fingerprint'] exist already")
+    """Add ``fingerprint`` (hexadecimal) to ``docs``. Null texts count as empty; equal texts have equal fingerprints; a column of that name is replaced."""
+    docs = without(docs, ["fingerprint"])
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphleaf.llm.common import table
+from graphleaf.llm.common import table, without
 from graphleaf.llm.labelled import is_held_out, training_texts
 
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 32_768
@@ -126,9 +126,8 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Add ``quality`` (0 to 1) to ``docs``; null texts count as empty. A column of that name in ``docs`` raises ValueError."""
-    if "quality" in docs.columns:
-        raise ValueError("columns ['quality'] exist already")
+    """Add ``quality`` (0 to 1) to ``docs``; null texts count as empty. A column of that name in ``docs`` is replaced."""
+    docs = without(docs, ["quality"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

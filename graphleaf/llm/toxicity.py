@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphleaf.llm.common import table
+from graphleaf.llm.common import set_aside, table, without
 from graphleaf.llm.labelled import is_held_out, training_texts
 
 BUCKETS = 1 << 18
@@ -146,10 +146,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     """Add to ``docs``: ``toxicity`` (0 to 1), ``worst_sentence`` (its number from 0, -1 if none) and ``worst_score``.
 
     Reads the text only. Null, empty and wordless texts have no sentences: score 0.
-    ``docs`` must not have columns of the new names (ValueError)."""
+    Columns of ``docs`` that have one of the new names are replaced."""
     new = {"toxicity": pa.float64(), "worst_sentence": pa.int32(), "worst_score": pa.float64()}
-    if clash := [c for c in docs.columns if c in new]:
-        raise ValueError(f"columns {clash} exist already")
+    docs = without(docs, new)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("worst_sentence", T.IntegerType()), T.StructField("worst_score", T.DoubleType())])
 
@@ -169,6 +168,12 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return fit(*training_texts(docs, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES))
 
 
+def remove_toxic(docs: DataFrame, model: tuple[np.ndarray, float], most: float = 0.5) -> DataFrame:
+    """The documents scored below ``most``, columns as they were."""
+    inside, back = set_aside(docs, ("toxicity", "worst_sentence", "worst_score"))
+    return back(score(inside, model).filter(F.col("toxicity") < most))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
