@@ -14,8 +14,7 @@ from graphleaf.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    return toxicity.remove_toxic(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
