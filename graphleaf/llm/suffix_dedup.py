@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, materialise, mix, table, utf8
+from graphleaf.llm.common import BLOCK, ROLL_A, ROLL_B, U64, blocks, materialise, mix, set_aside, table, utf8
 
 LENGTH, GRAM = 400, 64
 #: Bytes of segments that are sorted together, and segments of one anchor that one shard takes.
 SHARD_BYTES, SHARD_SEGMENTS = 1 << 20, 1000
+#: Rows that are Python objects at one time.
+PYTHON_ROWS = 500
 _LOW = U64((1 << 24) - 1)
 
 
@@ -176,7 +178,7 @@ def _anchor_rows(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK // 2):
                 doc, first, n, anchor, digest = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 kinds = (("first", first.astype(np.int32)), ("n", n.astype(np.int32)), ("anchor", anchor.view(np.int64)), ("digest", digest.view(np.int64)))
@@ -193,14 +195,11 @@ def _segments(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "digest", "copies", "split", "segment"]
         for batch in batches:
-            rows = []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
-                rows += [(w["anchor"], w["digest"], w["copies"], w["split"], raw[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted]
-                if len(rows) > 5000:
-                    yield _rows(rows, names)
-                    rows = []
-            if rows:
+            for k in range(0, batch.num_rows, PYTHON_ROWS):
+                part, rows = batch.slice(k, PYTHON_ROWS), []
+                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = text.encode()
+                    rows += [(w["anchor"], w["digest"], w["copies"], w["split"], raw[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted]
                 yield _rows(rows, names)
 
     return texts.mapInArrow(run, "anchor long, digest long, copies long, split int, segment binary")
@@ -271,35 +270,32 @@ def _merged(found: DataFrame) -> DataFrame:
     return more.select("anchor", "digest", F.transform("starts", lambda s: F.struct(s.alias("first"), (s + 1).alias("past"))).alias("spans"))
 
 
-def _covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Byte spans that strings at the starts in ``spans`` cover, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        b += length - 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _covered(first: np.ndarray, past: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Byte spans that strings at the starts from ``first`` to ``past`` cover, joined where they touch."""
+    order = np.argsort(first)
+    first, past = first[order], np.maximum.accumulate(past[order]) + length - 1
+    fresh = np.flatnonzero(np.concatenate([[True], first[1:] > past[:-1]]))
+    return list(zip(first[fresh].tolist(), past[np.append(fresh[1:], len(first)) - 1].tolist(), strict=True))
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """node, n_removed, n_spans, kept_sha256, removed, kept_text of (node, text, starts)."""
+    """node, n_removed, n_spans, kept_sha256, removed, kept_text of (node, text, first, past): the starts of repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), _SPANS_ARROW, pa.string()]
         for batch in batches:
-            rows = []
-            for node, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, at, kept = text.encode(), 0, []
-                gone = _covered([(s["first"], s["past"]) for part in starts for s in part], LENGTH)
-                for a, b in gone:
-                    kept.append(raw[at:a])
-                    at = b
-                left = b"".join([*kept, raw[at:]])
-                whole = "".join(k.decode(errors="ignore") for k in [*kept, raw[at:]])
-                rows.append((node, sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), [{"first": a, "past": b} for a, b in gone], whole))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), _SPANS_ARROW, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["node", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"])
+            for k in range(0, batch.num_rows, PYTHON_ROWS):
+                part, rows = batch.slice(k, PYTHON_ROWS), []
+                for i in range(part.num_rows):
+                    raw, at, kept = part.column(1)[i].as_py().encode(), 0, []
+                    gone = _covered(part.column(2)[i].values.to_numpy(), part.column(3)[i].values.to_numpy(), LENGTH)
+                    for a, b in gone:
+                        kept.append(raw[at:a])
+                        at = b
+                    kept.append(raw[at:])
+                    whole = "".join(p.decode(errors="ignore") for p in kept)
+                    rows.append((part.column(0)[i].as_py(), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"first": a, "past": b} for a, b in gone], whole))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["node", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"])
 
     return texts.mapInArrow(run, f"node binary, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept_text string")
 
@@ -322,19 +318,20 @@ def repeated_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = materialise(source.join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     found = materialise(_sorted_shards(_segments(texts.join(by_text, "node").select("text", "wanted"))))
     spans = found.filter(F.size("spans") > 0).select("anchor", "digest", "spans").unionByName(_merged(found))
-    shift = F.transform("spans", lambda s: F.struct((s["first"] + F.col("first")).alias("first"), (s["past"] + F.col("first")).alias("past")))
-    starts = each.join(spans, ["anchor", "digest"]).select("node", shift.alias("starts")).groupBy("node").agg(F.collect_list("starts").alias("starts"))
-    return _cut(texts.join(starts, "node").select("node", "text", "starts"))
+    moved = lambda end: F.transform("spans", lambda s: s[end] + F.col("first"))
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    starts = each.join(spans, ["anchor", "digest"]).select("node", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(flat("firsts"), flat("pasts"))
+    return _cut(texts.join(starts, "node").select("node", "text", "firsts", "pasts"))
 
 
 def remove_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the texts (a character that loses a byte goes whole) and ``n_chars``, if there, counted anew."""
-    gone = materialise(repeated_passages(docs, text_col).select(F.col("node").alias("_node"), F.col("kept_text").alias("_kept")))
-    text = F.coalesce(F.col("_kept"), F.col(text_col))
-    out = docs.withColumn("_node", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(gone, "_node", "left").withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    inside, back = set_aside(docs, ("_node", "_kept"))
+    gone = materialise(repeated_passages(inside, text_col).select(F.col("node").alias("_node"), F.col("kept_text").alias("_kept")))
+    out = inside.withColumn("_node", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(gone, "_node", "left").withColumn(text_col, F.coalesce(F.col("_kept"), F.col(text_col)))
+    if "n_chars" in inside.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(dict(inside.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return back(out)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
