@@ -78,12 +78,14 @@ def match_titles(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT)
 
 
 def process_traces(traces: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matches (ex_num, question, sources), corrections (original, matched, score; once for each original) and unmatched (ex_num, title) of traces (ex_num, question, source_url)."""
+    """Matches (ex_num, question, sources), corrections (original, matched, score; once for each original) and unmatched (ex_num, title) of traces (ex_num, question, source_url); a question without matches has no sources."""
+    questions = traces.select("ex_num", "question").distinct()
     asked = traces.select("ex_num", "question", F.explode(X.article_titles(F.col("source_url"))).alias("query")).distinct()
     found = match_titles(asked, titles, limit)
     joined = asked.join(found, "query")
-    sources = F.sort_array(F.collect_list(F.struct(F.col("page_id").cast("string").alias("page_id"), F.col("matched").alias("title"))))
-    matches = joined.filter("step > 0").groupBy("ex_num", "question").agg(sources.alias("sources"))
+    hits = joined.filter("step > 0").groupBy("ex_num", "question").agg(F.sort_array(F.collect_list(F.struct(F.col("page_id").cast("string").alias("page_id"), F.col("matched").alias("title")))).alias("sources"))
+    none = F.expr("cast(array() AS array<struct<page_id: string, title: string>>)")
+    matches = questions.join(hits, ["ex_num", "question"], "left").withColumn("sources", F.coalesce("sources", none))
     corrections = found.filter("step = 3").select(F.col("query").alias("original"), "matched", "score")
     unmatched = joined.filter("step = 0").select("ex_num", F.col("query").alias("title"))
     return matches, corrections, unmatched

@@ -95,7 +95,7 @@ def write_batches(batched: DataFrame, folder: str) -> None:
 def as_json_list(rows: DataFrame, order: str) -> DataFrame:
     """One row: all rows as a JSON list in ``order``, for result files of a few thousand questions."""
     fields = F.struct(*[c for c in rows.columns if c != order])
-    return rows.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), fields.alias("row")))), lambda x: x["row"])).alias("value"))
+    return rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), fields.alias("row"))), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)), lambda x: x["row"])).alias("value"))
 
 
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:

@@ -9,6 +9,7 @@ from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
 from graphleaf.sources import dump as D
 from graphleaf.sources import exports as K
+from graphleaf.sources.traces import read_traces
 from graphleaf.sources.wikitext import parse, plain_text, sections
 from graphleaf.streaming.turns import events_by_minute, turn_log, turn_stream
 from graphleaf.tools import NAMES, SCENARIOS, Tools, chosen
@@ -38,7 +39,14 @@ def test_title_matching_steps(spark):
     assert got == {"Ada Lovelace": (1, "Ada Lovelace", 1), "charles_babbage ": (3, "Charles Babbage", 2), "Babbage, Charles": (3, "Charles Babbage", 3), "zzz": (None, None, 0)}
     traces = spark.createDataFrame([(1, "q", "https://x/wiki/Ada_Lovelacehttps://x/wiki/Babage%20Charles"), (2, "r", "https://x/wiki/zzz")], "ex_num long, question string, source_url string")
     matches, corrections, unmatched = S.process_traces(traces, titles)
-    assert [(r[0], len(r[2])) for r in rows(matches)] == [(1, 2)] and rows(corrections)[0][:2] == ("Babage Charles", "Charles Babbage") and rows(unmatched) == [(2, "zzz")]
+    assert sorted((r[0], len(r[2])) for r in rows(matches)) == [(1, 2), (2, 0)] and rows(corrections)[0][:2] == ("Babage Charles", "Charles Babbage") and rows(unmatched) == [(2, "zzz")]
+
+
+def test_trace_files(spark, tmp_path):
+    one = {"canary": "x", "Who?": {"provenance": {"a": [{"source_url": ["https://x/wiki/A", "https://x/wiki/B"]}, {"source_url": None}, {}], "b": "none"}}}
+    for n, trace in ((4, one), (5, {"What?": {}})):
+        (tmp_path / f"dataset_ex_{n}.json").write_text(json.dumps(trace))
+    assert sorted(rows(read_traces(spark, str(tmp_path))), key=str) == [(4, "Who?", "https://x/wiki/A"), (4, "Who?", "https://x/wiki/B"), (5, "What?", None)]
 
 
 # --- evaluation
