@@ -19,6 +19,8 @@ from graphleaf.sources import dump as D
 from graphleaf.sources import exports as K
 from graphleaf.sources.traces import read_traces
 
+#: Up to so many streams are picked by their offsets; more are read whole and joined.
+MOST_OFFSETS = 50_000
 MATCHES = "ex_num long, question string, sources array<struct<page_id: string, title: string>>"
 
 
@@ -40,8 +42,7 @@ def wiki2parquet(spark: SparkSession, a: argparse.Namespace) -> None:
     """Nodes and edges of a dump, or of the chosen pages of it with stubs for what they refer to."""
     X.check_chunking(a.chunk_size, a.chunk_overlap)
     index = D.read_index(spark, a.index)
-    pages = D.multistream(spark, a.dump)
-    ids = wanted_pages(spark, a)
+    ids, pages = wanted_pages(spark, a), None
     if a.title or ids is not None:
         titles = spark.createDataFrame([(t,) for t in a.title], "title string") if a.title else None
         found = D.matched_entries(index, titles, ids)
@@ -49,7 +50,11 @@ def wiki2parquet(spark: SparkSession, a: argparse.Namespace) -> None:
             D.require_all(titles.select(X.canon_title(F.col("title")).alias("title")), found, "title")
         if ids is not None:
             D.require_all(ids, found, "page_id")
-        pages = pages.join(found.select("page_id").distinct(), "page_id", "left_semi")
+        offsets = [r[0] for r in found.select("offset").distinct().limit(MOST_OFFSETS + 1).collect()]
+        pages = D.multistream(spark, a.dump, offsets=offsets if len(offsets) <= MOST_OFFSETS else None).join(found.select("page_id").distinct(), "page_id", "left_semi")
+        D.require_all(found, pages, "page_id")
+    else:
+        pages = D.multistream(spark, a.dump)
     if a.namespace_id:
         pages = pages.filter(F.col("ns").isin(*a.namespace_id))
     D.require_unique(pages)

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 32
+SCORES = ("factual_correctness_precision_score", "factual_correctness_recall_score", "crag_score", "crag_v3_score", "answer_relevancy_score")
+#: Columns of an experiment's result rows, fixed by the files.
+RESULT_SCHEMA = (
+    "ex_num long, query string, expected_answer string, decomposition string, agent_answer string, agent_explanation string, agent_references string, error string, success boolean, "
+    + ", ".join(f"{s} double" for s in SCORES)
+    + ", agent_settings string, models string, agent_reasoning string, function_calls string, token_usage string, timestamp timestamp_ntz"
+)
 
 
 class RecordError(ValueError):

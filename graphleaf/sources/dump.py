@@ -64,7 +64,7 @@ def pages_of(data: bytes) -> Iterator[tuple[int, str, int, str | None, str | Non
 
 
 class MultistreamDump(DataSource):
-    """``spark.read.format("multistream").load(path)``; option ``text=false`` gives ids and titles only."""
+    """``spark.read.format("multistream").load(path)``; ``text=false`` gives ids and titles only, ``offsets`` (parted by commas) reads only streams that begin there."""
 
     @classmethod
     def name(cls) -> str:
@@ -74,7 +74,8 @@ class MultistreamDump(DataSource):
         return PAGE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _StreamReader(self.options["path"], self.options.get("text", "true") != "false")
+        offsets = self.options.get("offsets")
+        return _StreamReader(self.options["path"], self.options.get("text", "true") != "false", None if offsets is None else {int(o) for o in offsets.split(",") if o})
 
 
 class _Streams(InputPartition):
@@ -83,8 +84,8 @@ class _Streams(InputPartition):
 
 
 class _StreamReader(DataSourceReader):
-    def __init__(self, path: str, text: bool):
-        self.path, self.text = path, text
+    def __init__(self, path: str, text: bool, offsets: set[int] | None):
+        self.path, self.text, self.offsets = path, text, offsets
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -92,11 +93,13 @@ class _StreamReader(DataSourceReader):
             if "index" in p.name:
                 continue
             starts = stream_offsets(str(p))
-            spans = list(zip(starts, [*starts[1:], p.stat().st_size], strict=True))
+            spans = [x for x in zip(starts, [*starts[1:], p.stat().st_size], strict=True) if self.offsets is None or x[0] in self.offsets]
             out += [_Streams(str(p), spans[k : k + STREAMS_IN_PARTITION]) for k in range(0, len(spans), STREAMS_IN_PARTITION)]
         return out
 
-    def read(self, partition: _Streams) -> Iterator[tuple]:
+    def read(self, partition: _Streams | None) -> Iterator[tuple]:
+        if partition is None:  # there are no streams
+            return
         with open(partition.path, "rb") as f:
             for start, end in partition.spans:
                 f.seek(start)
@@ -109,9 +112,11 @@ class _StreamReader(DataSourceReader):
                         yield start, k, page, title, None, None, None, None
 
 
-def multistream(spark: SparkSession, path: str, text: bool = True) -> DataFrame:
+def multistream(spark: SparkSession, path: str, text: bool = True, offsets: list[int] | None = None) -> DataFrame:
+    """Pages of a dump file or a folder of them; with ``offsets`` only the streams that begin there are decompressed."""
     spark.dataSource.register(MultistreamDump)
-    return spark.read.format("multistream").option("text", str(text).lower()).load(path)
+    reader = spark.read.format("multistream").option("text", str(text).lower())
+    return (reader if offsets is None else reader.option("offsets", ",".join(map(str, offsets)))).load(path)
 
 
 def xml_pages(spark: SparkSession, path: str) -> DataFrame:

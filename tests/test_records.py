@@ -106,6 +106,8 @@ def test_multistream_dump(spark, dump):
     assert [x.split(":", 2)[1:] for x in lines] == [["1", "Alpha & Beta"], ["2", "Gamma"], ["3", "Talk: x"]]
     assert [int(x.split(":")[0]) for x in lines] == D.stream_offsets(str(dump))[1:4]
     assert D.index_pairs(str(dump.parent)) == [(str(dump), str(dump).replace("multistream.xml", "multistream-index.txt"))]
+    some = D.multistream(spark, str(dump), offsets=D.stream_offsets(str(dump))[2:3])
+    assert [r["page_id"] for r in some.collect()] == [2] and D.multistream(spark, str(dump), offsets=[]).count() == 0
     other = D.xml_pages(spark, str(dump)).orderBy("page_id").collect()
     assert [(r["page_id"], r["title"], r["redirect"], r["text"]) for r in other] == [(r["page_id"], r["title"], r["redirect"], r["text"]) for r in pages]
 
@@ -164,6 +166,7 @@ def test_result_files(spark, tmp_path):
     assert json.loads(K.as_json_list(questions.limit(2), "pos").first()[0]) == [{"question": 'q"0\nx'}, {"question": 'q"1\nx'}]
     questions.coalesce(1).write.option("header", True).option("escape", '"').csv(str(tmp_path / "r"))
     assert K.read_results(spark, str(tmp_path / "r")).count() == 70
+    assert len(spark.createDataFrame([], E.RESULT_SCHEMA).columns) == 20
 
 
 # --- turn log and tools
