@@ -172,7 +172,7 @@ def _levels(mentions: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 def within_distance(graph: Graph, title: str, n: int = 2) -> DataFrame:
     """title, distance of articles within ``n`` mentions, redirects followed after the distance is known; rows that end at the source's title go."""
     source = resolved(graph, title)
-    near = _levels(graph.mentions(), source, n)
+    near = _levels(written(graph.mentions()) if n > 1 else graph.mentions(), source, n)
     ends = redirect_terminals(graph.redirects)
     real = near.join(ends, "page_id", "left").select(F.coalesce("terminal", "page_id").alias("page_id"), "distance").join(graph.articles, "page_id")
     own = source.select(F.col("title").alias("source"))
@@ -190,7 +190,7 @@ def shortest_path(graph: Graph, title_a: str, title_b: str, most: int = 6) -> Da
     ends = [r["page_id"] for t in (title_a, title_b) for r in resolved(graph, t).select("page_id").collect()]
     if len(ends) < 2 or ends[0] == ends[1]:
         return spark.createDataFrame([], schema)
-    mentions = graph.mentions()
+    mentions = written(graph.mentions())  # read by every level
     levels = [spark.createDataFrame([(ends[0], None)], "page_id long, parent long")]
     seen = levels[0].select("page_id")
     for _ in range(most):

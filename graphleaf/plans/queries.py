@@ -125,7 +125,12 @@ def within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within_distance(derived_graph(spark, sf_dir), "Doc 1", 3)
 
 
-@query()
+@query("""% near AS (SELECT 1::BIGINT AS page_id, 0 AS d UNION SELECT m.target, d + 1 FROM near n JOIN mentions m ON m.page_id = n.page_id WHERE d < 6),
+dist AS (SELECT page_id, min(d) AS d FROM near GROUP BY 1),
+par AS (SELECT b.page_id, min(a.page_id) AS parent, b.d FROM dist a JOIN mentions m ON m.page_id = a.page_id JOIN dist b ON b.page_id = m.target AND b.d = a.d + 1 GROUP BY 1, 3),
+back AS (SELECT page_id, parent, d FROM par WHERE page_id = 77 UNION ALL SELECT p.page_id, p.parent, p.d FROM back b JOIN par p ON p.page_id = b.parent),
+ev AS (SELECT b.d - 1 AS hop, b.parent, b.page_id AS to_id, l.pid, l.text, row_number() OVER (PARTITION BY b.d ORDER BY length(l.text), l.sec_i, l.para_i) AS r FROM back b JOIN links l ON l.page_id = b.parent AND (l.target = b.page_id OR l.target IN (SELECT page_id FROM redirects WHERE target = b.page_id)))
+SELECT hop::INTEGER AS hop, 'Doc ' || parent AS from_article, 'Doc ' || to_id AS to_article, pid AS "paragraph_nodeID", text AS paragraph_text FROM ev WHERE r = 1""", graph_sql=True)
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shortest_path(derived_graph(spark, sf_dir), "Doc 1", "Doc 77")
 
@@ -222,12 +227,13 @@ def wratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", wratio_column("p_name", "p_type").alias("score"))
 
 
-@query()
+@query("""SELECT doc_id AS page_id, 0 AS sec_i, 0 AS para_i, lang AS text, '' AS targets FROM documents UNION ALL SELECT doc_id, 0, 1, trim(text, ' ' || chr(10)), '' FROM documents
+UNION ALL SELECT doc_id, 1, 0, '== ' || source || ' ==', '' FROM documents UNION ALL SELECT doc_id, 1, 1, 'see this', 'Doc ' || doc_id FROM documents""")
 def wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with a heading, a template and a link, parsed."""
     docs = table(spark, sf_dir, "documents")
     page = F.concat(F.lit("{{t|{{u}}}}'''"), F.col("lang"), F.lit("'''\n\n"), F.col("text"), F.lit("\n== "), F.col("source"), F.lit(" ==\n\nsee [[Doc "), F.col("doc_id"), F.lit("|this]]"))
-    return parsed_pages(docs.select(F.col("doc_id").alias("page_id"), page.alias("text")))
+    return parsed_pages(docs.select(F.col("doc_id").alias("page_id"), page.alias("text"))).withColumn("targets", F.array_join("targets", ","))
 
 
 # --- index and dump ---------------------------------------------------------
