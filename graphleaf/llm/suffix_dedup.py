@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import BLOCK, ROLL_A, ROLL_B, U64, blocks, materialise, mix, set_aside, table, utf8
+from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, materialise, mix, set_aside, table, utf8
 
 LENGTH, GRAM = 400, 64
 #: Bytes of segments that are sorted together, and segments of one anchor that one shard takes.
 SHARD_BYTES, SHARD_SEGMENTS = 1 << 20, 1000
+#: Starts of a long text that are looked at together; a place takes 24 bits of a key.
+PART_BYTES = 1 << 22
 #: Rows that are Python objects at one time.
 PYTHON_ROWS = 500
 _LOW = U64((1 << 24) - 1)
@@ -46,10 +48,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     own = np.flatnonzero(size >= length)
     if not len(own):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    if len(size) == 1 and size[0] >= PART_BYTES + length:  # a long text in parts: a run that crosses an edge becomes two
+        parts = []
+        for at in range(0, int(size[0]) - length + 1, PART_BYTES):
+            piece = data[at : at + PART_BYTES + length - 1]
+            doc, first, n, anchor, digest = anchors(piece, np.array([0, len(piece)]), length, gram)
+            parts.append((doc, first + at, n, anchor, digest))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     run_a = ROLL_A.running(data)
     at = np.arange(len(data) - gram + 1)
     v = mix(ROLL_A.of(run_a, at, at + gram))
-    assert len(data) < 1 << 24, "one text is longer than 16 MB"
     w = length - gram + 1
     key = np.full(-(-len(v) // w) * w + w, U64(0xFFFFFFFFFFFFFFFF))
     key[: len(v)] = (v & ~_LOW) | at.astype(np.uint64)
@@ -178,7 +186,7 @@ def _anchor_rows(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in blocks(offsets, BLOCK // 2):
+            for i, j in blocks(offsets):
                 doc, first, n, anchor, digest = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 kinds = (("first", first.astype(np.int32)), ("n", n.astype(np.int32)), ("anchor", anchor.view(np.int64)), ("digest", digest.view(np.int64)))

@@ -160,6 +160,20 @@ def test_repeated_passages(spark, hard, monkeypatch, split):
     assert any(0 < v[0] for v in got.values())
 
 
+def test_anchors_of_a_long_text_in_parts(monkeypatch):
+    data = np.frombuffer((prose(5, 700) + "x y " * 300).encode(), np.uint8)
+    off = np.array([0, len(data)])
+
+    def of_each_start():
+        _, first, n, anchor, _ = suffix_dedup.anchors(data, off)
+        assert np.array_equal(first, np.concatenate([[0], np.cumsum(n)[:-1]])) and n.sum() == len(data) - 399
+        return np.repeat(anchor, n)
+
+    whole = of_each_start()
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 997)
+    assert np.array_equal(whole, of_each_start())
+
+
 def test_remove_passages_keeps_rows(spark, hard, nothing):
     out = suffix_dedup.remove_passages(hard)
     assert out.columns == hard.columns and out.count() == 16 and {r["_node"] for r in out.collect()} == {"own"}
