@@ -8,9 +8,9 @@ word sequences align with similarity 1 - distance / longer length of at least
 ``SIMILARITY``, found by a bit-parallel alignment within the band of allowed distances.
 
 Candidates without all pairs: first each bucket's nodes are aligned with one leader of
-the bucket; then, in buckets that still hold several classes, nodes of different classes
-are compared by bags of hashed words, whose common part bounds the alignment from above,
-and those that pass are aligned. Pairs within a class need no alignment: classes are the
+the bucket, its node with the most company; then, in buckets that still hold several classes, nodes of different classes
+are compared by the words they have in common, which bound the alignment from above, and
+of those that pass first each node's best of every class, then all others are aligned. Pairs within a class need no alignment: classes are the
 connected components of the links. Components are found by label propagation with
 pointer jumping over written tables, nothing of which reaches the driver but a count.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from graphleaf.llm.common import U64, blocks, materialise, mix, table, utf8, word_hashes
 
 K, TABLES, SAMPLED, SIMILARITY = 5, 16, 2, 0.8
-BAG = 64
+BAG = 128
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407)) | U64(1)
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -54,11 +54,10 @@ def _kmers(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, ahead
 
 
-def sketch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, bags of hashed words and order-MinHash keys (a row of ``TABLES`` for each document; unused for texts without words)."""
+def sketch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words and order-MinHash keys (a row of ``TABLES`` for each document; unused for texts without words)."""
     h, before = word_hashes(data, offsets)
     n = len(offsets) - 1
-    bags = np.bincount(np.repeat(np.arange(n) * BAG, np.diff(before)) + (h & U64(BAG - 1)).astype(np.int64), minlength=n * BAG).reshape(n, BAG).astype("<u4")
     x, ahead = _kmers(h, before)
     keys = np.zeros((n, TABLES), np.uint64)
     some = np.flatnonzero(np.diff(ahead))
@@ -79,7 +78,7 @@ def sketch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             for at in np.sort(np.stack(picked), 0):
                 key = mix(key + x[at] * _STEP[1])
             keys[some, t] = key
-    return np.diff(before), bags, keys
+    return np.diff(before), keys
 
 
 def aligned(a: list[int], b: list[int], similarity: float = SIMILARITY) -> bool:
@@ -137,17 +136,17 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """node, n_words, bag, keys for each row of (node, text)."""
+    """node, n_words, keys (also packed) for each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets):
-                n, bags, keys = sketch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n, keys = sketch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, TABLES, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), pa.array([b.tobytes() for b in bags], pa.binary()), lists], names=["node", "n_words", "bag", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), lists, pa.array([k.tobytes() for k in keys.astype("<u8")], pa.binary())], names=["node", "n_words", "keys", "packed"])
 
-    return docs.mapInArrow(run, "node binary, n_words int, bag binary, keys array<long>")
+    return docs.mapInArrow(run, "node binary, n_words int, keys array<long>, packed binary")
 
 
 def _word_lists(docs: DataFrame) -> DataFrame:
@@ -199,31 +198,81 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members (bucket, node, n_words, bag, label) of a bucket with different labels whose bags allow the similarity."""
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of components after more ``links``: only the links between different labels are followed."""
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    up = components(between.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    fresh = up.select(F.col("label").alias("node")).join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return materialise(labels.union(fresh).join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+
+
+def _labelled_words(words: np.ndarray) -> np.ndarray:
+    """Sorted codes of words with their occurrence numbers: what two texts have in common as multisets, their codes have as sets."""
+    words = np.sort(words).astype(np.uint64)
+    fresh = np.concatenate([[True], words[1:] != words[:-1]])
+    nth = np.arange(len(words)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return np.sort((words << U64(32)) | nth.astype(np.uint64))
+
+
+class _Window:
+    """Members of one bucket near in length to the next, with their bags in one growing array."""
+
+    def __init__(self):
+        self.bags, self.members, self.first = np.zeros((64, BAG), np.int32), [], 0
+
+    def add(self, member: tuple, bag: np.ndarray) -> None:
+        at = len(self.members)
+        if at == len(self.bags):
+            self.bags = np.concatenate([self.bags[self.first :], np.zeros((max(64, at - self.first), BAG), np.int32)])
+            self.members, self.first = self.members[self.first :], 0
+            at = len(self.members)
+        self.bags[at] = bag
+        self.members.append(member)
+
+    def drop_shorter(self, least: float) -> None:
+        while self.first < len(self.members) and self.members[self.first][0] < least:
+            self.members[self.first] = ()
+            self.first += 1
+
+    def with_common(self, bag: np.ndarray, least: float) -> list[tuple]:
+        out = []
+        for k in range(self.first, len(self.members), 2048):
+            own = self.bags[k : min(k + 2048, len(self.members))]
+            out += [self.members[k + i] for i in np.flatnonzero(np.minimum(own, bag).sum(1) >= least).tolist()]
+        return out
+
+
+def _across(members: DataFrame, best: bool) -> DataFrame:
+    """Pairs of members (bucket, t, node, n_words, words, keys, label) of a bucket with different labels whose common words allow the similarity.
+
+    A pair comes from the first table in which it meets; if ``best``, of each node's pairs with one label only that with the most common words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, window = None, _Window()
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for key, node, n, bag, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != bucket:
-                    bucket, held = key, []
-                own = np.frombuffer(bag, "<u4")
-                while held and held[0][0] < SIMILARITY * n - 1e-9:  # sorted by words: no longer near in length
-                    held.pop(0)
-                for k in range(0, len(held), 4096):
-                    part = held[k : k + 4096]
-                    common = np.minimum(np.stack([h[2] for h in part]), own).sum(1)
-                    for i in np.flatnonzero(common >= SIMILARITY * n - 1e-9).tolist():
-                        if part[i][3] != label:
-                            out[0].append(min(node, part[i][1]))
-                            out[1].append(max(node, part[i][1]))
-                held.append((n, node, own, label))
+            for bucket_here, t, node, n, packed, keys, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket_here != bucket:
+                    bucket, window = bucket_here, _Window()
+                words, own_keys, least = np.frombuffer(packed, "<u4"), np.frombuffer(keys, "<u8"), SIMILARITY * n - 1e-9
+                bag, own = np.bincount(words & (BAG - 1), minlength=BAG), _labelled_words(words)
+                window.drop_shorter(least)  # sorted by words
+                near: dict[bytes, list[tuple[int, bytes]]] = {}
+                for _, other, other_words, other_label, other_keys in window.with_common(bag, least):
+                    if other_label != label and (best or int((own_keys == other_keys).argmax()) == t):
+                        common = len(np.intersect1d(own, other_words, assume_unique=True))
+                        if common >= least:
+                            near.setdefault(other_label, []).append((common, other))
+                for found in near.values():
+                    for _, other in [max(found)] if best else found:
+                        out[0].append(min(node, other))
+                        out[1].append(max(node, other))
+                window.add((n, node, own, label, own_keys), bag)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket", "n_words", "node").mapInArrow(run, "a binary, b binary")
+    return members.repartition("bucket").sortWithinPartitions("bucket", "n_words", "node").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,22 +283,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     only has a null class; an empty table gives no rows; other columns are ignored."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node"))
-    sketched = materialise(_sketches(source.select("node", "text")).groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("bag").alias("bag"), F.first("keys").alias("keys")))
-    buckets = sketched.select("node", F.posexplode("keys").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-    shared = materialise(buckets.join(leaders, "bucket"))
-    involved = shared.select("node").distinct()
-    words = materialise(_word_lists(source.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))))
-    stars = shared.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_verified(stars, words))
+    sketched = materialise(_sketches(source.select("node", "text")).groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("packed").alias("packed")))
+    buckets = sketched.select("node", "n_words", F.posexplode("keys").alias("t", "key")).select("node", "n_words", "t", F.xxhash64("t", "key").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialise(buckets.join(sizes, "bucket"))
+    # a bucket's leader is the node with the most company over all its buckets: the text that others were made from, rather than another copy
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    leaders = members.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node", "n_words")).alias("leader")).select("bucket", F.col("leader.node").alias("leader"), F.col("leader.n_words").alias("leader_words"))
+    shared = materialise(members.drop("n").join(leaders, "bucket"))
+    words = materialise(_word_lists(source.select("node", "text").join(company.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))))
+    near_length = F.least("n_words", "leader_words") >= SIMILARITY * F.greatest("n_words", "leader_words") - F.lit(1e-9)
+    tested = materialise(shared.filter((F.col("leader") != F.col("node")) & near_length).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    links = materialise(_verified(tested, words))
     labels = components(links)
 
-    labelled = shared.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    members = labelled.join(mixed, "bucket", "left_semi").join(sketched.select("node", "n_words", "bag"), "node").select("bucket", "node", "n_words", "bag", "label")
-    more = _verified(_across(members).distinct(), words)
-    links = materialise(links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = components(links)
+    keys = sketched.select("node", "packed").join(words, "node")
+    for best in (True, False):  # the likeliest pairs first: few classes are left for the rest
+        labelled = shared.select("bucket", "t", "node", "n_words").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+        across = labelled.join(mixed, "bucket", "left_semi").join(keys, "node").select("bucket", "t", "node", "n_words", "words", "packed", "label")
+        pairs = materialise(_across(across, best).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        more = materialise(_verified(pairs, words))
+        links, labels = links.union(more), merged(labels, more)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     rows = source.select("doc_id", "node").join(labels.join(degree, "node", "left"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
