@@ -2,7 +2,6 @@ import bz2
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from graphleaf.operators import evaluation as E
 from graphleaf.operators import graph as G
