@@ -179,7 +179,7 @@ def with_following(docs: DataFrame) -> DataFrame:
         return pd.Series([[2 * r, 2 * int(ranges[i - 1]) + 1] if keys[i] == x else [2 * r] for r, i, x in zip(own.tolist(), at.tolist(), v.tolist(), strict=True)])
 
     dealt = docs.select(F.explode(slots_of("key")).alias("slot"), "doc_id", "text")
-    return dealt.withColumn("range", F.shiftright("slot", 1)).repartition(k, "range").drop("range").sortWithinPartitions("slot", "doc_id", "text")
+    return dealt.withColumn("range", F.shiftright("slot", 1)).repartitionById(k, F.col("range")).drop("range").sortWithinPartitions("slot", "doc_id", "text")
 
 
 def compare_with_following(docs: DataFrame, terms: np.ndarray) -> DataFrame:
