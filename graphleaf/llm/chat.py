@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import table
+from graphleaf.llm.common import in_small_batches, released, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings with a meaning for common chat templates.
@@ -78,7 +78,7 @@ def format_events(log: DataFrame) -> DataFrame:
     taken as a delta, deltas before any ``message`` open one. Rows of a conversation
     follow each other within a partition, parts in order."""
     order = ["conv_id", "message", "tie", "seq"]
-    log = log.select(F.col("conv_id").cast("long"), "message", "tie", "seq", "event", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
+    log = in_small_batches(log).select(F.col("conv_id").cast("long"), "message", "tie", "seq", "event", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -111,7 +111,7 @@ def format_events(log: DataFrame) -> DataFrame:
         if done:
             yield _batch(done, _FORMATTED)
 
-    return log.mapInArrow(run, "conv_id long, part int, turns long, formatted string, loss_spans array<struct<start: long, past: long>>")
+    return log.mapInArrow(released(run), "conv_id long, part int, turns long, formatted string, loss_spans array<struct<start: long, past: long>>")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -164,7 +164,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if conv != ():
             yield _batch([(conv, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars)], schema)
 
-    return formatted.mapInArrow(run, kind)
+    return formatted.mapInArrow(released(run), kind)
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:

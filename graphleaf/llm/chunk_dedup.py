@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, materialise, mix, table, utf8
+from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, table, utf8
 
 GEAR_BYTES, CUT_BITS = 32, 6
 LEAST, MOST, RUN = 16, 256, 128
@@ -93,7 +93,7 @@ def _chunk_lists(source: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.StructArray.from_arrays(parts, names=["digest", "check", "start", "length"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), lists], names=["doc_id", "tie", "n_bytes", "chunks"])
 
-    return source.mapInArrow(run, "doc_id long, tie long, n_bytes long, chunks array<struct<digest: long, check: int, start: int, length: int>>")
+    return source.mapInArrow(released(run), "doc_id long, tie long, n_bytes long, chunks array<struct<digest: long, check: int, start: int, length: int>>")
 
 
 def _runs(duplicates: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _runs(duplicates: DataFrame) -> DataFrame:
                     out.append(kept)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["doc_id", "tie", "spans"])
 
-    return duplicates.mapInArrow(run, "doc_id long, tie long, spans array<struct<first: int, past: int>>")
+    return duplicates.mapInArrow(released(run), "doc_id long, tie long, spans array<struct<first: int, past: int>>")
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +125,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document; of rows with one id and several texts the order is that of a hash of the text;
     null ids come first; other columns are ignored."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     lists = materialise(_chunk_lists(source))
     each = lists.select("doc_id", "tie", F.explode("chunks").alias("c")).select("doc_id", "tie", "c.*")
     at = F.struct("doc_id", "tie", "start")

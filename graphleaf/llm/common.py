@@ -9,6 +9,7 @@ that later steps read more than once are written as Parquet below the folder in
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that the numpy code looks at together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -29,13 +31,20 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Where none is set (tests on one machine) a temporary folder becomes it."""
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphleaf-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    Where none is set, a temporary folder becomes it on a single machine; on a cluster that is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphleaf-"))
+    return context.getCheckpointDir()
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, its session sending Python workers at most ``BATCH_BYTES`` at a time (Spark's own limit counts rows, and rows may be long)."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -59,6 +68,21 @@ def _remove_written() -> None:
             return
 
 
+def released(run: Callable) -> Callable:
+    """``run``, a function over Arrow batches, giving freed memory back to the system at its end: Python workers live on between tasks and stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphleaf.llm.common import IS_WORD, LOWER, U64, blocks, materialise, set_aside, table, utf8, without
+from graphleaf.llm.common import IS_WORD, LOWER, U64, blocks, in_small_batches, materialise, released, set_aside, table, utf8, without
 
 WIDTH = 10
 NEW = ("n_words", "hit_spans", "hit_items")
@@ -193,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     windows; an item without id marks words but is not listed; repeated rows and items
     repeat; with an empty benchmark nothing is hit. Columns of ``docs`` that have one of
     the three new names are replaced."""
-    docs = without(docs, NEW)
+    docs = in_small_batches(without(docs, NEW))
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -202,7 +202,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for k in range(n_blocks):
         own = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         shared = spark.sparkContext.broadcast(Patterns([(r["item"], r["text"]) for r in own.collect()], width))
-        docs = docs.mapInArrow(_searcher(shared, text_col, k > 0), schema)
+        docs = docs.mapInArrow(released(_searcher(shared, text_col, k > 0)), schema)
         if k < n_blocks - 1:
             docs = materialise(docs)
     return docs

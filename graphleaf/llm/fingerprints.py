@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import U64, blocks, mix, table, utf8, without, word_hashes
+from graphleaf.llm.common import U64, blocks, in_small_batches, mix, released, table, utf8, without, word_hashes
 
 IDF_LEAST, IDF_MOST = math.log(10), math.log(2000)
 SUBSETS = 32
@@ -73,7 +73,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if hashes:
             yield _terms(*_summed(hashes, counts))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return in_small_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(released(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def _terms(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -138,7 +138,7 @@ def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> DataFrame:
     """Add ``fingerprint`` (hexadecimal) to ``docs``. Null texts count as empty; equal texts have equal fingerprints; a column of that name is replaced."""
-    docs = without(docs, ["fingerprint"])
+    docs = in_small_batches(without(docs, ["fingerprint"]))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> D
             rows = fingerprints(*utf8(batch.column(names.index(text_col))), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes().hex() for r in rows])], names=[*names, "fingerprint"])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in docs.dtypes + [('fingerprint', 'string')])}")
+    return docs.mapInArrow(released(run), f"{', '.join(f'`{n}` {t}' for n, t in docs.dtypes + [('fingerprint', 'string')])}")
 
 
 def with_following(docs: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def compare_with_following(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             pa.array(likeness(own[at], new)), pa.array(likeness(own[at], own[at + 1])),
         ], names=names)
 
-    return with_following(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_following(docs).mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import U64, blocks, materialise, mix, table, utf8, word_hashes
+from graphleaf.llm.common import U64, blocks, in_small_batches, materialise, mix, released, table, utf8, word_hashes
 
 K, TABLES, SAMPLED, SIMILARITY = 5, 16, 2, 0.8
 BAG = 128
@@ -146,7 +146,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, TABLES, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), lists, pa.array([k.tobytes() for k in keys.astype("<u8")], pa.binary())], names=["node", "n_words", "keys", "packed"])
 
-    return docs.mapInArrow(run, "node binary, n_words int, keys array<long>, packed binary")
+    return docs.mapInArrow(released(run), "node binary, n_words int, keys array<long>, packed binary")
 
 
 def _word_lists(docs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _word_lists(docs: DataFrame) -> DataFrame:
                 words = [h[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words, pa.binary())], names=["node", "words"])
 
-    return docs.mapInArrow(run, "node binary, words binary")
+    return docs.mapInArrow(released(run), "node binary, words binary")
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("left"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(released(run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket", "n_words", "node").mapInArrow(run, "a binary, b binary").distinct()
+    return members.repartition("bucket").sortWithinPartitions("bucket", "n_words", "node").mapInArrow(released(run), "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +282,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near equal texts; repeated rows are copies; null ids are kept, and a class of null ids
     only has a null class; an empty table gives no rows; other columns are ignored."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node"))
     sketched = materialise(_sketches(source.select("node", "text")).groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("packed").alias("packed")))
     buckets = sketched.select("node", "n_words", F.posexplode("keys").alias("t", "key")).select("node", "n_words", "t", F.xxhash64("t", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")

@@ -33,11 +33,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, blocks, dense_rank_slots, materialise, mix, table, utf8
+from graphleaf.llm.common import ROLL_A, blocks, dense_rank_slots, in_small_batches, materialise, mix, released, table, utf8
 
 CAPACITY = 4096
 END_ID = 1
-MAX_CACHED, MAX_CHUNKS = 500_000, 2_000_000
+MAX_CACHED, MAX_CHUNKS = 150_000, 1_000_000
 END_OF_WORD = "</w>"
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
                 m = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:m], types[:m], strict=True)], names=names[:m])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), kind)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

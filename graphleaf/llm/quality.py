@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphleaf.llm.common import table, without
+from graphleaf.llm.common import in_small_batches, released, table, without
 from graphleaf.llm.labelled import is_held_out, training_texts
 
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 32_768
@@ -127,7 +127,7 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """Add ``quality`` (0 to 1) to ``docs``; null texts count as empty. A column of that name in ``docs`` is replaced."""
-    docs = without(docs, ["quality"])
+    docs = in_small_batches(without(docs, ["quality"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text")
                 x = np.array([statistics(t) for t in pc.fill_null(part.column(names.index(text_col)), "").to_pylist()]).reshape(-1, len(STATISTICS))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predict(shared.value, x))], names=[*names, "quality"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:

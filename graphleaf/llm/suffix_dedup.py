@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, materialise, mix, set_aside, table, utf8
+from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, utf8
 
 LENGTH, GRAM = 400, 64
 #: Bytes of segments that are sorted together, and segments of one anchor that one shard takes.
@@ -194,7 +194,7 @@ def _anchor_rows(source: DataFrame) -> DataFrame:
                 rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["node", *(k for k, _ in kinds)])
                 yield rows.filter(pa.array(cut[1:] > cut[:-1]))
 
-    return source.mapInArrow(run, "node binary, first array<int>, n array<int>, anchor array<long>, digest array<long>")
+    return source.mapInArrow(released(run), "node binary, first array<int>, n array<int>, anchor array<long>, digest array<long>")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _segments(texts: DataFrame) -> DataFrame:
                     rows += [(w["anchor"], w["digest"], w["copies"], w["split"], raw[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted]
                 yield _rows(rows, names)
 
-    return texts.mapInArrow(run, "anchor long, digest long, copies long, split int, segment binary")
+    return texts.mapInArrow(released(run), "anchor long, digest long, copies long, split int, segment binary")
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -251,7 +251,7 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
             yield shard(held)
 
     dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "digest")
-    return dealt.mapInArrow(run, f"anchor long, digest long, spans {_SPANS}, split int, marks array<long>")
+    return dealt.mapInArrow(released(run), f"anchor long, digest long, spans {_SPANS}, split int, marks array<long>")
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def _merged(found: DataFrame) -> DataFrame:
                 at = np.flatnonzero(split == s)[np.argsort(key[split == s])][twice]
                 yield from own.take(pa.array(at)).select(["anchor", "mark"]).combine_chunks().to_batches()
 
-    twice = one_each.repartition("anchor", "mark").mapInArrow(search, "anchor long, mark long").distinct()
+    twice = one_each.repartition("anchor", "mark").mapInArrow(released(search), "anchor long, mark long").distinct()
     more = marks.join(twice, ["anchor", "mark"], "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     return more.select("anchor", "digest", F.transform("starts", lambda s: F.struct(s.alias("first"), (s + 1).alias("past"))).alias("spans"))
 
@@ -305,7 +305,7 @@ def _cut(texts: DataFrame) -> DataFrame:
                     rows.append((part.column(0)[i].as_py(), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"first": a, "past": b} for a, b in gone], whole))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["node", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"])
 
-    return texts.mapInArrow(run, f"node binary, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept_text string")
+    return texts.mapInArrow(released(run), f"node binary, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept_text string")
 
 
 def repeated_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -314,7 +314,7 @@ def repeated_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null texts count as empty; texts of less than ``LENGTH`` bytes lose nothing; of repeated
     rows and copies every one loses all; an empty table gives no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.unhex(F.sha2(text, 256)).alias("node"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
+    source = in_small_batches(docs).select(F.unhex(F.sha2(text, 256)).alias("node"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
     runs = materialise(_anchor_rows(source).groupBy("node").agg(*[F.first(c).alias(c) for c in ("first", "n", "anchor", "digest")], F.count("*").alias("rows")))
     each = runs.select("node", "rows", F.explode(F.arrays_zip("first", "n", "anchor", "digest")).alias("r")).select("node", "rows", "r.*")
     kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"), F.min(F.struct("node", "first", "n")).alias("at"))

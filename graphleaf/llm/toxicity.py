@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphleaf.llm.common import set_aside, table, without
+from graphleaf.llm.common import in_small_batches, released, set_aside, table, without
 from graphleaf.llm.labelled import is_held_out, training_texts
 
 BUCKETS = 1 << 18
@@ -36,7 +36,7 @@ TOXIC_WEIGHT = 2.0
 LEAST_WORDS, SENTENCE_WORDS = 8, 40
 #: Documents whose tokens are expanded into features together.
 FIT_DOCS = 200
-MAX_CACHED = 500_000
+MAX_CACHED = 150_000
 _SPLIT = re.compile(r"[.!?\n\r]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     Reads the text only. Null, empty and wordless texts have no sentences: score 0.
     Columns of ``docs`` that have one of the new names are replaced."""
     new = {"toxicity": pa.float64(), "worst_sentence": pa.int32(), "worst_score": pa.float64()}
-    docs = without(docs, new)
+    docs = in_small_batches(without(docs, new))
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("worst_sentence", T.IntegerType()), T.StructField("worst_score", T.DoubleType())])
 
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 got = [scorer.score(t) for t in pc.fill_null(part.column(names.index(text_col)), "").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([g[i] for g in got], t) for i, t in enumerate(new.values()))], names=[*names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
