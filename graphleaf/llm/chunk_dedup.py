@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, table, utf8
 
-GEAR_BYTES, CUT_BITS = 32, 6
-LEAST, MOST, RUN = 16, 256, 128
+GEAR_BYTES, CUT_BITS = 32, 5
+LEAST, MOST, RUN = 16, 256, 64
 _GEAR = mix(np.arange(256, dtype=np.uint64) + U64(0x5851F42D4C957F2D)) >> U64(32)
 
 

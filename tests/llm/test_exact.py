@@ -336,3 +336,14 @@ def test_duplicate_chunks(spark, hard, nothing):
     assert sum(s["past"] - s["first"] for s in got[201]["spans"]) > 0.8 * len(base) and not got[202]["spans"] and not got[5]["spans"]
     assert rows(chunk_dedup.duplicate_spans(nothing)) == []
     assert CLASH
+
+def test_passages_of_just_over_fifty_words_are_found(spark):
+    """Passages of 51 to 70 words, 6.2 bytes a word, in two otherwise different documents."""
+    rng = np.random.default_rng(9)
+    text = lambda n: b" ".join(bytes(rng.integers(97, 123, rng.integers(3, 9)).astype(np.uint8)) for _ in range(n // 3))[:n].decode()
+    passages = [text(int(words * 6.2)) for words in range(51, 71) for _ in range(10)]
+    docs = frame(spark, [(2 * i + late, text(400 + 77 * late) + p + text(300)) for i, p in enumerate(passages) for late in (0, 1)])
+    got = {r["doc_id"]: r["spans"] for r in chunk_dedup.duplicate_spans(docs).collect()}
+    assert not any(got[2 * i] for i in range(len(passages)))
+    assert sum(bool(got[2 * i + 1]) for i in range(len(passages))) >= 0.97 * len(passages)
+
