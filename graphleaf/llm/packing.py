@@ -81,8 +81,6 @@ class PieceIds:
 
     def _fill(self, hashes: np.ndarray, chunks: list[str]) -> None:
         """Remember ``chunks``, parts of lower-cased texts between white space, by their hashes."""
-        if len(self.hashes) + len(chunks) > MAX_CHUNKS:
-            self._forget()
         cut = list(map(_pieces, chunks))
         unknown = set(itertools.chain.from_iterable(cut)) - self.known.keys()
         if len(self.known) + len(unknown) > MAX_CACHED:
@@ -125,12 +123,17 @@ class PieceIds:
         starts = np.flatnonzero(black & np.concatenate([[True], ~black[:-1]]))
         ends = np.flatnonzero(black & np.concatenate([~black[1:], [True]])) + 1
         hashes, first, nth = np.unique(mix(ROLL_A.of(ROLL_A.running(data), starts, ends)), return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time if the memory was emptied meanwhile
-            at, there = self._at(hashes)
-            if len(new := np.flatnonzero(~there)):
-                a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-                self._fill(hashes[new], [joined[x:y].decode() for x, y in zip(a, b, strict=True)])
-        at, _ = self._at(hashes)
+        _, there = self._at(hashes)
+        new = np.flatnonzero(~there)
+        if len(self.hashes) + len(new) > MAX_CHUNKS:  # emptied once; all chunks of these texts are filled together, even if they are more
+            self._forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._fill(hashes[new], [joined[x:y].decode() for x, y in zip(a, b, strict=True)])
+        at, there = self._at(hashes)
+        if not there.all():
+            raise RuntimeError("chunks without ids")
         many, at = self.many[at].astype(np.int64), self.first[at]
         size = many[nth]
         run = np.cumsum(size)

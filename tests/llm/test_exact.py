@@ -286,6 +286,15 @@ def test_a_group_larger_than_a_shard_is_dealt(spark, nothing):
     assert sharding.shard(docs, target_bytes=20_000).select("shard").distinct().count() == -(-docs.select(F.sum(F.octet_length("text") + 1)).first()[0] // 20_000)
 
 
+def test_texts_of_more_chunks_than_are_remembered(monkeypatch):
+    """A text of more distinct chunks than the cap, some of them seen before."""
+    monkeypatch.setattr(packing, "MAX_CHUNKS", 50)
+    pieces = packing.PieceIds(packing.default_tokenizer())
+    for n in (10, 60, 45, 70):
+        text = " ".join(f"w{k}x{n if k % 2 else 0}" for k in range(n))
+        assert pieces.of([text, "w0x0"]) == [packing._packed(pieces._encode(text)), packing._packed(pieces._encode("w0x0"))]
+
+
 # --- 1: chunks
 
 def plain_chunks(raw):
