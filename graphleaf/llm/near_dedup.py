@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphleaf.llm.common import U64, blocks, in_small_batches, materialise, mix, released, table, utf8, word_hashes
@@ -275,14 +275,26 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket", "n_words", "node").mapInArrow(released(run), "a binary, b binary").distinct()
 
 
+def _node(text: Column) -> Column:
+    """The text's hash that stands for it."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links``: the least id of the class, and the number of links found to other texts, a row for each row of ``docs``.
 
     Null texts count as empty and all empty texts are equal; texts without words are only
     near equal texts; repeated rows are copies; null ids are kept, and a class of null ids
     only has a null class; an empty table gives no rows; other columns are ignored."""
+    rows = _labelled(docs, id_col, text_col)
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "label").select("doc_id", "class_id", "n_links")
+
+
+def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node, label of the class, n_links for each row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _node(text).alias("node"))
     sketched = materialise(_sketches(source.select("node", "text")).groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("packed").alias("packed")))
     buckets = sketched.select("node", "n_words", F.posexplode("keys").alias("t", "key")).select("node", "n_words", "t", F.xxhash64("t", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -308,17 +320,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links, labels = links.union(more), merged(labels, more)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    rows = source.select("doc_id", "node").join(labels.join(degree, "node", "left"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = materialise(rows)
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "label").select("doc_id", "class_id", "n_links")
+    rows = source.select("doc_id", "node").join(labels.join(degree, "node", "left"), "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return materialise(rows)
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the least of their class, columns as they were; of repeated rows of that id one stays; rows without id stay."""
-    classes = near_classes(docs)
-    keep = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each class, of the least id and then the least text hash, columns as they were; of rows that repeat id and text one stays; rows without id stay."""
+    keep = _labelled(docs).filter("doc_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.node").alias("_kept_node"))
+    own = docs.filter("doc_id is not null").withColumn("_own_node", _node(F.coalesce(F.col("text"), F.lit(""))))
+    kept = own.join(keep, (F.col("doc_id").cast("long") == F.col("_kept_id")) & (F.col("_own_node") == F.col("_kept_node")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_own_node"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,12 @@ def test_near_duplicates(spark, hard, nothing):
     assert rows(near_dedup.near_classes(nothing)) == [] and rows(near_dedup.one_of_each_class(nothing)) == []
 
 
+def test_one_row_of_each_class_when_an_id_has_two_texts(spark):
+    a, b, c = prose(900, 60), prose(901, 60), prose(902, 60)
+    docs = frame(spark, [(1, a), (1, b), (2, a), (3, c), (3, c)])
+    assert Counter(tuple(r) for r in near_dedup.one_of_each_class(docs).select("doc_id", "text").collect()) == Counter([(1, a), (1, b), (3, c)])
+
+
 def test_classes_match_all_pairs(spark, sf):
     """Against the alignment of every pair of distinct texts with words in common."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.length("text") < 6000)
