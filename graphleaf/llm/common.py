@@ -17,9 +17,11 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphleaf.session import ship
+
 U64 = np.uint64
 #: Bytes of text that the numpy code looks at together.
 BLOCK = 1 << 20
@@ -43,6 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, its session sending Python workers at most ``BATCH_BYTES`` at a time (Spark's own limit counts rows, and rows may be long)."""
+    ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs
 
@@ -87,6 +90,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: Column) -> Column:
+    """The 16 bytes of hash that stand for a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def without(docs: DataFrame, names: Iterable[str]) -> DataFrame:
     """``docs`` less the columns that an operator's results of these names replace."""
     taken = {n.lower() for n in names}
@@ -178,38 +186,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+PRIME = (1 << 31) - 1
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder modulo ``PRIME``: of 64 bits about 33, of 34 bits about 31."""
+    return (x & U64(PRIME)) + (x >> U64(31))
+
+
 class Rolling:
-    """Polynomial hash modulo 2**64 of any substring, from one running sum over the bytes."""
+    """Polynomial hash of any substring, modulo a prime in each of ``lanes``, from running sums over the bytes."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, lanes: int):
         rng = np.random.default_rng(seed)
-        self.values = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(0, 1 << 62, dtype=np.uint64)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.values = rng.integers(1, PRIME, (lanes, 256), dtype=np.uint64)
+        self.bases = [int(b) for b in rng.integers(256, PRIME, lanes)]
+        self.up = [np.ones(1, np.uint64)] * lanes
+        self.down = [np.ones(1, np.uint64)] * lanes
 
     def _grow(self, n: int) -> None:
-        if len(self.up) < n:
+        if len(self.up[0]) < n:
             size = max(n, BLOCK + 1)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+            self.up = [_powers(b, size) for b in self.bases]
+            self.down = [_powers(pow(b, -1, PRIME), size) for b in self.bases]
 
     def running(self, data: np.ndarray) -> np.ndarray:
+        """A row of sums for each lane; below 2**64 for texts of up to 2**32 bytes."""
         self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
+        out = np.zeros((len(self.values), len(data) + 1), np.uint64)
+        for row, values, up in zip(out, self.values, self.up, strict=True):
+            np.cumsum(_reduced(values[data] * up[: len(data)]), out=row[1:])
         return out
 
     def of(self, running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (running[ends] - running[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
+        """31 bits for each lane (of two at most), spread over 64 together with the length."""
+        out = (ends - starts).astype(np.uint64)
+        for row, down in zip(running, self.down, strict=True):
+            x = _reduced(_reduced(row[ends] - row[starts])) * down[starts]
+            x = _reduced(_reduced(_reduced(x)))
+            out = mix(out) ^ np.where(x >= U64(PRIME), x - U64(PRIME), x)
+        return mix(out)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, have = np.ones(n, np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * U64(pow(base, have, PRIME)) % U64(PRIME)
+        have += more
+    return out
+
+
+class Grams:
+    """Polynomial hash modulo 2**64 of the grams of one length: fast, for choosing places only, as built-up texts can collide in it."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.values = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.base = int(rng.integers(0, 1 << 62, dtype=np.uint64)) * 2 + 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray, gram: int) -> np.ndarray:
+        """The hash of the ``gram`` bytes from each place that has so many."""
+        if len(self.up) <= len(data):
+            size = max(len(data), BLOCK) + 1
+            self.up, self.down = (_wrapped_powers(b, size) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.up[: len(data)], out=total[1:])
+        n = max(0, len(data) - gram + 1)
+        return mix((total[gram : gram + n] - total[:n]) * self.down[:n])
+
+
+def _wrapped_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-ROLL_A, ROLL_B = Rolling(20_011), Rolling(77_003)
+ROLL_A, ROLL_B, GRAMS = Rolling(20_011, 2), Rolling(77_003, 1), Grams(20_011)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z as a-z) and the number of words before each document."""
     starts, ends, before = word_bounds(data, offsets)
-    return mix(ROLL_A.of(ROLL_A.running(LOWER[data]), starts, ends)), before
+    return ROLL_A.of(ROLL_A.running(LOWER[data]), starts, ends), before

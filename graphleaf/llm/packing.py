@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, blocks, dense_rank_slots, in_small_batches, materialise, mix, released, table, utf8
+from graphleaf.llm.common import ROLL_A, blocks, dense_rank_slots, in_small_batches, materialise, released, table, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -122,7 +122,7 @@ class PieceIds:
         black = ~_SPACE[data]
         starts = np.flatnonzero(black & np.concatenate([[True], ~black[:-1]]))
         ends = np.flatnonzero(black & np.concatenate([~black[1:], [True]])) + 1
-        hashes, first, nth = np.unique(mix(ROLL_A.of(ROLL_A.running(data), starts, ends)), return_index=True, return_inverse=True)
+        hashes, first, nth = np.unique(ROLL_A.of(ROLL_A.running(data), starts, ends), return_index=True, return_inverse=True)
         _, there = self._at(hashes)
         new = np.flatnonzero(~there)
         if len(self.hashes) + len(new) > MAX_CHUNKS:  # emptied once; all chunks of these texts are filled together, even if they are more
