@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import U64, blocks, in_small_batches, materialise, mix, released, table, utf8, word_hashes
+from graphleaf.llm.common import U64, blocks, in_small_batches, materialise, mix, released, table, text_key, utf8, word_hashes
 
 K, TABLES, SAMPLED, SIMILARITY = 5, 16, 2, 0.8
 BAG = 128
+#: Members of a bucket that one task compares with each other or with as many others.
+BLOCK_ROWS = 2000
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407)) | U64(1)
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -244,17 +246,22 @@ class _Window:
 
 
 def _across(members: DataFrame, best: bool) -> DataFrame:
-    """Pairs of members (bucket, t, node, n_words, words, keys, label) of a bucket with different labels whose common words allow the similarity.
+    """Pairs of members (bucket, t, node, n_words, words, keys, label, blocks) of a bucket with different labels whose common words allow the similarity.
 
-    A pair comes from the first table in which it meets; if ``best``, of each node's pairs with one label only that with the most common words."""
+    A pair comes from the first table in which it meets; if ``best``, of each node's pairs with one label only that with the most common words.
+    A bucket of several blocks of members is dealt as all pairs of blocks, so that no task has more than two blocks of it at once."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = members.withColumn("own", block).select("*", others.alias("other")).select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "t", "node", "n_words", "words", "packed", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, window = None, _Window()
+        bucket, windows = None, {}
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for bucket_here, t, node, n, packed, keys, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket_here != bucket:
-                    bucket, window = bucket_here, _Window()
+            for bucket_here, lo, hi, own_block, t, node, n, packed, keys, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket_here, lo, hi) != bucket:
+                    bucket, windows = (bucket_here, lo, hi), {k: _Window() for k in (lo, hi)}
+                window = windows[lo + hi - own_block]  # the members to compare with
                 words, own_keys, least = np.frombuffer(packed, "<u4"), np.frombuffer(keys, "<u8"), SIMILARITY * n - 1e-9
                 bag, own = np.bincount(words & (BAG - 1), minlength=BAG), _labelled_words(words)
                 window.drop_shorter(least)  # sorted by words
@@ -268,16 +275,11 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
                     for _, other in [max(found)] if best else found:
                         out[0].append(min(node, other))
                         out[1].append(max(node, other))
-                window.add((n, node, own, label, own_keys), bag)
+                windows[own_block].add((n, node, own, label, own_keys), bag)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket", "n_words", "node").mapInArrow(released(run), "a binary, b binary").distinct()
-
-
-def _node(text: Column) -> Column:
-    """The text's hash that stands for it."""
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    return members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n_words", "node").mapInArrow(released(run), "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,7 +296,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node, label of the class, n_links for each row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _node(text).alias("node"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("node"))
     sketched = materialise(_sketches(source.select("node", "text")).groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("packed").alias("packed")))
     buckets = sketched.select("node", "n_words", F.posexplode("keys").alias("t", "key")).select("node", "n_words", "t", F.xxhash64("t", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -312,8 +314,8 @@ def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keys = sketched.select("node", "packed").join(words, "node")
     for best in (True, False):  # the likeliest pairs first: few classes are left for the rest
         labelled = shared.select("bucket", "t", "node", "n_words").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        across = labelled.join(mixed, "bucket", "left_semi").join(keys, "node").select("bucket", "t", "node", "n_words", "words", "packed", "label")
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("lo <> hi").select("bucket", "blocks")
+        across = labelled.join(mixed, "bucket").join(keys, "node").select("bucket", "t", "node", "n_words", "words", "packed", "label", "blocks")
         pairs = materialise(_across(across, best).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         more = materialise(_verified(pairs, words))
@@ -327,7 +329,7 @@ def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """One row of each class, of the least id and then the least text hash, columns as they were; of rows that repeat id and text one stays; rows without id stay."""
     keep = _labelled(docs).filter("doc_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.node").alias("_kept_node"))
-    own = docs.filter("doc_id is not null").withColumn("_own_node", _node(F.coalesce(F.col("text"), F.lit(""))))
+    own = docs.filter("doc_id is not null").withColumn("_own_node", text_key(F.coalesce(F.col("text"), F.lit(""))))
     kept = own.join(keep, (F.col("doc_id").cast("long") == F.col("_kept_id")) & (F.col("_own_node") == F.col("_kept_node")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_own_node"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
