@@ -15,12 +15,15 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, most_rows: in
     """At most ``most_rows`` texts of at most ``most_bytes`` bytes each, with labels 0 or 1.
 
     Rows are taken in the order of a hash of their id, so that the sample is the same
-    each time. Held-out and unlabelled rows never enter; of several labels of an id the
-    highest counts, of several texts the least. The sample of ids is broadcast: its size
-    is bounded by ``most_rows``."""
+    each time; ids without a text of that size are passed over before rows are counted.
+    Held-out and unlabelled rows never enter; of several labels of an id the highest
+    counts, of several texts the least. The sample of ids is broadcast: its size is
+    bounded by ``most_rows``."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~is_held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(*order).limit(most_rows)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
+    short = docs.filter(F.octet_length(text) <= most_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~is_held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = known.join(short.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(most_rows)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["y"] for r in rows]

@@ -1,7 +1,7 @@
 """Quality by histogram gradient-boosted trees over document statistics.
 
 Statistics of a text (lengths, shares of character kinds, repetition of words, lines
-and word pairs) are cut into at most 255 bins at the sample's quantiles. Trees of fixed
+and word pairs) are cut into at most ``BINS`` bins at the sample's quantiles. Trees of fixed
 depth grow level by level from histograms of gradients over the bins; each is kept as
 flat arrays of a full binary tree, so that numpy sends all rows of a batch down a level
 at a time. Fitting sees a bounded sample of labelled rows; scoring is one pass without

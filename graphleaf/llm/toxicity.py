@@ -36,7 +36,7 @@ TOXIC_WEIGHT = 2.0
 LEAST_WORDS, SENTENCE_WORDS = 8, 40
 #: Documents whose tokens are expanded into features together.
 FIT_DOCS = 200
-MAX_CACHED = 150_000
+MAX_CACHED, LONG_WORD = 150_000, 64
 _SPLIT = re.compile(r"[.!?\n\r]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -67,10 +67,11 @@ class Scorer(dict):
         self.weights, self.bias = weights, bias
 
     def __missing__(self, word: str) -> float:
-        w = float(self.weights[features(word)].sum()) if len(word) < 64 else 0.0
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        self[word] = w
+        w = float(self.weights[features(word)].sum())
+        if len(word) < LONG_WORD:  # longer ones are weighed each time, which keeps the memory small
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            self[word] = w
         return w
 
     def score(self, text: str) -> tuple[float, int, float]:
@@ -86,7 +87,7 @@ class Scorer(dict):
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights of features and bias. Without both labels in the sample the score is the share of label 1."""
+    """Weights of features and bias. Without both labels in the sample the weights are zero, and every text with sentences scores close to 0 if there is no label 1, close to 1 if there is no label 0."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS), -30.0 if not len(y) or y[0] == 0 else 3.0
@@ -145,7 +146,9 @@ def _expanded(feature: np.ndarray, word_of: np.ndarray, token: np.ndarray, n_wor
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
     """Add to ``docs``: ``toxicity`` (0 to 1), ``worst_sentence`` (its number from 0, -1 if none) and ``worst_score``.
 
-    Reads the text only. Null, empty and wordless texts have no sentences: score 0.
+    Reads the text only. Null, empty and wordless texts have no sentences: score 0. Texts and
+    words may be of any length; of equally bad sentences the first counts; repeated rows
+    score alike; an empty table gives no rows.
     Columns of ``docs`` that have one of the new names are replaced."""
     new = {"toxicity": pa.float64(), "worst_sentence": pa.int32(), "worst_score": pa.float64()}
     docs = in_small_batches(without(docs, new))
