@@ -6,12 +6,15 @@ frequency, log(documents / frequency). Its upper edge also bounds the lexicon: t
 that at least a share s of the documents hold number at most (distinct terms of an
 average document) / s, however large the corpus, so the lexicon can be broadcast.
 
-A fingerprint hashes a text's distinct lexicon terms in order, and then again for each
-of ``SUBSETS`` randomised parts of the lexicon. Each part is a chain of nested random
-subsets, each half of the one before; the text uses the smallest in which it has a term
-at all, so that long and short texts alike hash one or two terms and a part survives an
-edit about as often as terms do. The likeness of two fingerprints is the share of parts
-that agree. A text without lexicon terms uses all its terms.
+A fingerprint hashes a text's distinct lexicon terms in order, and then those of them that
+lie in each of several randomised subsets of the lexicon. The subsets are fixed: subset
+(k, v) holds each term of the lexicon with chance 2**-v, by a hash of the term, and all of a
+text's terms in it are hashed. A single edit changes the hash of every subset that holds an
+edited term, so dense subsets suit short texts and sparse ones long texts: a text with m
+terms, 2**v <= m < 2**(v+1), uses the ``SUBSETS`` subsets of density 2**-(v+1) and those of
+density 2**-(v+2). The likeness of two fingerprints is the share of the subsets used by both
+in which they agree, of those in which at least one has a term. A text without lexicon terms
+uses all its terms.
 
 Words are runs of 0-9, A-Z (as a-z) and characters beyond ASCII.
 """
@@ -31,11 +34,14 @@ from pyspark.sql import functions as F
 from graphleaf.llm.common import U64, blocks, in_small_batches, mix, released, table, utf8, without, word_hashes
 
 IDF_LEAST, IDF_MOST = math.log(10), math.log(2000)
-SUBSETS = 32
+#: Randomised subsets of each density.
+SUBSETS = 24
+WORDS = 3 + 2 * SUBSETS
 #: The lexicon's proven bound has this many terms if an average document has 2,000 distinct ones.
 LEXICON_MOST = 4_000_000
 HELD_TERMS = 1_000_000
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+#: Ranges of ids have about so many bytes of text; ids looked at for each range to find the ranges' ends.
+RANGE_BYTES, LOOKED_AT = 16 << 20, 20
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -93,9 +99,9 @@ def lexicon(docs: DataFrame, idf_least: float = IDF_LEAST, idf_most: float = IDF
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """A row for each document: two words of the whole list's hash, then one for each part of the lexicon."""
+    """A row for each document: two words of the whole list's hash, the level v, then a hash for each subset of the two densities, 0 where it holds no term."""
     n = len(offsets) - 1
-    out = np.zeros((n, 2 + SUBSETS), np.uint32)
+    out = np.zeros((n, WORDS), np.uint32)
     for i, j in blocks(offsets):
         doc, h = _distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         if not len(h):
@@ -114,21 +120,31 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> np
         whole = mix(np.add.reduceat(mix(h + rank.astype(np.uint64) * U64(0xD1B54A32D192ED03)), first))
         rows = out[i:j]
         rows[own, 0], rows[own, 1] = whole >> U64(32), whole & U64(0xFFFFFFFF)
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        rows[own, 2] = level
+        below = (U64(1) << (U64(63) - level.astype(np.uint64)))[np.repeat(np.arange(len(size)), size)]
         for k, seed in enumerate(_SEEDS):
-            r = mix(h ^ seed) >> U64(12)  # 52 bits: exact as a float
-            least = np.minimum.reduceat(r, first)
-            level = np.frexp(least.astype(np.float64))[1].astype(np.uint64)
-            member = np.flatnonzero(r < np.repeat(U64(1) << level, size))
-            total = np.zeros(j - i, np.uint64)
-            np.add.at(total, doc[member], mix(r[member] + U64(k)))
-            rows[own, 2 + k] = (mix(total[own] + level) >> U64(32)) | U64(1)
+            r = mix(h ^ seed)
+            for dense, column in ((1, 3 + k), (2, 3 + SUBSETS + k)):
+                member = np.flatnonzero(r < (below >> U64(dense - 1)))
+                total, there = np.zeros(j - i, np.uint64), np.zeros(j - i, bool)
+                np.add.at(total, doc[member], mix(r[member]))
+                there[doc[member]] = True
+                rows[there, column] = (mix(total[there]) >> U64(32)) | U64(1)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """0 to 1 for rows of ``fingerprints``: 1 if the whole lists agree, else the share of parts that do."""
+    """0 to 1 for rows of ``fingerprints``: 1 if the whole lists agree, else the share of common subsets that do (0 if the texts differ so much in size that none are common)."""
     same = (a[:, :2] == b[:, :2]).all(1)
-    return np.where(same, 1.0, (a[:, 2:] == b[:, 2:]).mean(1))
+    agree, informed = np.zeros(len(a)), np.zeros(len(a))
+    for own in range(2):
+        for other in range(2):
+            x, y = (r[:, 3 + k * SUBSETS : 3 + (k + 1) * SUBSETS] for r, k in ((a, own), (b, other)))
+            common = (a[:, 2].astype(np.int64) + own == b[:, 2].astype(np.int64) + other)[:, None]
+            agree += ((x == y) & (x > 0) & common).sum(1)
+            informed += (((x > 0) | (y > 0)) & common).sum(1)
+    return np.where(same, 1.0, agree / np.maximum(informed, 1))
 
 
 def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +153,10 @@ def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Add ``fingerprint`` (hexadecimal) to ``docs``. Null texts count as empty; equal texts have equal fingerprints; a column of that name is replaced."""
+    """Add ``fingerprint`` (hexadecimal) to ``docs``.
+
+    Null texts count as empty; equal texts, repeated rows among them, have equal fingerprints;
+    texts may be of any length; an empty table gives no rows; a column of that name is replaced."""
     docs = in_small_batches(without(docs, ["fingerprint"]))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -155,20 +174,31 @@ def with_following(docs: DataFrame) -> DataFrame:
 
     Rows are (slot, doc_id, text), a slot being twice the range's number, or that plus one
     for a copy of the row that follows the range's last one. Partitions hold whole ranges,
-    in order of slot, id and text. Ids equal to each other are in one range; null comes first."""
+    in order of slot, id and text. Ids equal to each other are in one range; null comes first.
+
+    The ends of the ranges come from the ids whose hash is divisible by a number, and the
+    bytes of their texts; they and the first ids of the ranges, a few numbers for each
+    ``RANGE_BYTES`` of text, are what the driver gets. A range is read as a stream."""
     total, n, lo = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.min("doc_id")).first()
     low = (lo or 0) - 1
     key = F.coalesce(F.col("doc_id"), F.lit(low))
     docs = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    k = max(1, min(MOST_RANGES, -(-total // RANGE_BYTES)))
-    cuts = docs.agg(F.percentile_approx("key", [i / k for i in range(1, k)], 20 * k)).first()[0] if k > 1 and n else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    k = max(1, -(-total // RANGE_BYTES))
+    bounds = np.zeros(0, np.int64)
+    if k > 1:
+        looked_at = docs.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (k * LOOKED_AT)))) == 0).groupBy("key").agg(F.sum(F.octet_length("text") + 1).alias("size"))
+        seen = looked_at.toArrow().sort_by("key")
+        size = np.cumsum(seen["size"].to_numpy())
+        if len(size):
+            at = np.searchsorted(size, size[-1] * np.arange(1, k) / k)
+            bounds = np.unique(seen["key"].to_numpy()[np.minimum(at, len(size) - 1)])
+    k = len(bounds) + 1
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="right").astype(np.int32))
 
-    firsts = sorted(docs.select("key", range_of("key").alias("r")).groupBy("r").agg(F.min("key").alias("key")).collect())  # at most MOST_RANGES
+    firsts = sorted(docs.select("key", range_of("key").alias("r")).groupBy("r").agg(F.min("key").alias("key")).collect())  # a row for each range
     ranges, keys = np.array([r["r"] for r in firsts]), np.array([r["key"] for r in firsts], np.int64)
 
     @F.pandas_udf("array<int>")
@@ -183,7 +213,12 @@ def with_following(docs: DataFrame) -> DataFrame:
 
 
 def compare_with_following(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """Each document beside its edited text (its last quarter replaced by the beginning of the next document) and the next document."""
+    """Each document beside its edited text (its last quarter replaced by the beginning of the next document) and the next document.
+
+    The next is that of the next greater id, after the last the first; of rows with one id in
+    order of the text, so that repeated rows follow each other; null ids come first, null texts
+    are empty; a document alone follows itself; an empty table gives no rows; texts may be of
+    any length; further columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -70,6 +70,61 @@ def test_toxicity_of_hard_texts(hard, nothing):
         assert 0 <= toxicity.Scorer(*toxicity.fit(["a b"] * len(y), y)).score("a b c")[0] <= 1
 
 
+@pytest.mark.parametrize("letters", [5, 63, 64, 3000])
+def test_words_of_any_length_count(letters):
+    word = "q" * letters
+    texts = [prose(i, 60) for i in range(40)] + [prose(i, 30) + f" {word} " + prose(i + 500, 30) for i in range(40, 80)]
+    scorer = toxicity.Scorer(*toxicity.fit(texts, [0] * 40 + [1] * 40))
+    assert scorer.score(prose(900, 30) + f" {word} " + prose(901, 30))[0] > 0.9 and scorer.score(prose(902, 60))[0] < 0.5
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "bcd", "vile", "vilest", "x" * 70]), min_size=8, max_size=12), max_size=6), st.integers(0, 9))
+def test_scores_are_the_noisy_or_of_sentences(bags, seed):
+    weights, bias = np.random.default_rng(seed).normal(size=toxicity.BUCKETS), -2.0
+    missed, each = 1.0, []
+    for words in bags:
+        z = bias + sum(weights[b] for w in set(words) for b in toxicity.features(w))
+        each.append(1 / (1 + np.exp(-z)))
+        missed *= 1 - each[-1]
+    score, at, worst = toxicity.Scorer(weights, bias).score(". ".join(" ".join(w) for w in bags))
+    assert np.isclose(score, 1 - missed, atol=1e-9) and (not each or np.isclose(worst, max(each)) and np.isclose(each[at], max(each)))
+
+
+def test_the_sample_holds_short_texts_only_and_is_full(spark):
+    docs = frame(spark, [(i, "long " * 9 if i % 2 else "short") for i in range(100)])
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, toxic int")
+    assert training_texts(docs, labels, "toxic", 20, 10)[0] == ["short"] * 20
+
+
+def test_the_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = (x[:, 2] > 6).astype(float)
+    y[:20] = 1 - y[:20]
+    model = quality.fit(x, y)
+    p = y.mean()
+    best = None
+    for s in range(4):
+        for c in np.unique(x[:, s])[:-1]:
+            low = x[:, s] <= c
+            if min(low.sum(), (~low).sum()) < quality.LEAST_ROWS:
+                continue
+            gain = sum((p - y[part]).sum() ** 2 / (part.sum() * p * (1 - p) + quality.RIDGE) for part in (low, ~low))
+            best = max(best or (gain, s, c), (gain, s, c))
+    assert model["statistic"][0][0] == best[1] == 2 and best[2] <= model["cut"][0][0] < best[2] + 1
+
+
+def test_statistics_by_a_plain_program():
+    text = "One two, two THREE!\n\nfour (5) ö-ö\nOne two"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+    raw = text.encode()
+    for name, chars in quality._KINDS.items():
+        assert np.isclose(got[f"{name}_share"], sum(b in chars for b in raw) / len(raw))
+    share = [raw.count(bytes([b])) / len(raw) for b in set(raw)]
+    assert np.isclose(got["byte_entropy"], -sum(s * np.log2(s) for s in share)) or np.isclose(got["byte_entropy"], -sum(s * np.log(s) for s in share))
+    assert quality.statistics("") == [0.0] * len(quality.STATISTICS)
+
+
 def test_trees_split_and_predict_alike():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 5))
@@ -137,6 +192,49 @@ def test_edited_texts_and_followers(spark, hard, nothing):
     assert len(one) == 1 and one[0]["near_next"] == 1 and len(fingerprints.lexicon(nothing)) == 0
 
 
+def plain_fingerprint(words, terms):
+    """Whole list and subsets of one text, with Python integers; ``terms``: hash of each term of the lexicon."""
+    top = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+
+    own = sorted({w for w in words if w in terms} or set(words))
+    if not own:
+        return None, 0, [0] * 48
+    level = len(own).bit_length() - 1
+    subsets = []
+    for density in (level + 1, level + 2):
+        for k in range(24):
+            seed = mixed((k + 1) * 0x9E3779B97F4A7C15 & top)
+            members = [mixed(h ^ seed) for h in own]
+            members = [m for m in members if m < (1 << 64) >> density]
+            subsets.append(mixed(sum(map(mixed, members)) & top) >> 32 | 1 if members else 0)
+    return tuple(own), level, subsets
+
+
+def test_fingerprints_and_likeness_by_a_plain_program():
+    base = [prose(i, n) for i, n in enumerate([0, 1, 2, 3, 7, 30, 31, 64, 500])]
+    texts = base + [t[: len(t) - len(t) // 4] + prose(99, 40)[: len(t) // 4] for t in base] + [prose(50, 400)]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    h, before = fingerprints.word_hashes(np.frombuffer(b"".join(raw), np.uint8), off)
+    words = [h[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)]
+    terms = sorted({w for own in words for w in own})[::2]
+    got = fingerprints.fingerprints(np.frombuffer(b"".join(raw), np.uint8), off, np.array(terms, np.uint64))
+    plain = [plain_fingerprint(w, set(terms)) for w in words]
+    for row, (_, level, subsets) in zip(got.tolist(), plain, strict=True):
+        assert row[2:] == [level, *subsets]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    for x, y, value in zip(i.tolist(), j.tolist(), fingerprints.likeness(got[i], got[j]).tolist(), strict=True):
+        (whole, v, s), (other, w, t) = plain[x], plain[y]
+        pairs = [(s[24 * a + k], t[24 * b + k]) for a in (0, 1) for b in (0, 1) if v + a == w + b for k in range(24)]
+        some = [(a, b) for a, b in pairs if a or b]
+        assert value == (1 if whole == other else sum(a == b for a, b in some) / max(1, len(some)))
+
+
 # --- 10: near-duplicates
 
 def distance(a, b):
@@ -181,7 +279,9 @@ def classes_of(out):
     return by
 
 
-def test_near_duplicates(spark, hard, nothing):
+@pytest.mark.parametrize("block", [2000, 2])
+def test_near_duplicates(spark, hard, nothing, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
     bases = [(1000 + 10 * i, prose(200 + i, 60 + 12 * i)) for i in range(12)]
     near = [(d + k, edited(t, 0.06, d + k)) for d, t in bases for k in (1, 2, 3)]
     far = [(d + 9, edited(t, 0.5, d + 9)) for d, t in bases]
