@@ -6,11 +6,13 @@ bytes only. A chunk ends where the hash's top bits are zero, not before ``LEAST`
 not after ``MOST`` bytes; an insertion moves the cuts around it and no others. Chunks
 with equal digests are equal; the one that comes first (by document id, then place)
 stays and the others are duplicates. Short chunks also repeat by chance or in stock
-phrases, so that only runs of neighbouring duplicates of at least ``RUN`` bytes go.
+phrases, so that only runs of neighbouring duplicates of at least ``RUN`` bytes go, or all
+on demand. Digests have 93 bits, modulo primes, so that no two chunks are taken for equal
+by chance or by their build.
 
 One narrow row for each chunk is shuffled, by digest. Counting keeps one row for each
-digest and task before the shuffle, and the join with the repeated digests is one that
-Spark splits where a digest is frequent.
+digest and task before the shuffle; the repeated digests are written, so that the one join
+with them is between two plain shuffles, which Spark splits where a digest is frequent.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, table, utf8
+from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, utf8
 
 GEAR_BYTES, CUT_BITS = 32, 5
 LEAST, MOST, RUN = 16, 256, 64
@@ -89,55 +91,78 @@ def _chunk_lists(source: DataFrame) -> DataFrame:
                 start, past, before = chunks(own, off)
                 a, b = ROLL_A.of(ROLL_A.running(own), start, past), ROLL_B.of(ROLL_B.running(own), start, past)
                 doc = np.repeat(np.arange(j - i), np.diff(before))
-                parts = [pa.array(mix(a ^ mix(b)).view(np.int64)), pa.array((mix(b) >> U64(32)).astype(np.uint32).view(np.int32)), pa.array((start - off[doc]).astype(np.int32)), pa.array((past - start).astype(np.int32))]
+                parts = [pa.array(a.view(np.int64)), pa.array((b >> U64(32)).astype(np.uint32).view(np.int32)), pa.array((start - off[doc]).astype(np.int32)), pa.array((past - start).astype(np.int32))]
                 lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.StructArray.from_arrays(parts, names=["digest", "check", "start", "length"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), lists], names=["doc_id", "tie", "n_bytes", "chunks"])
 
-    return source.mapInArrow(released(run), "doc_id long, tie long, n_bytes long, chunks array<struct<digest: long, check: int, start: int, length: int>>")
+    return source.mapInArrow(released(run), "doc_id long, tie int, n_bytes long, chunks array<struct<digest: long, check: int, start: int, length: int>>")
 
 
-def _runs(duplicates: DataFrame) -> DataFrame:
-    """doc_id, tie, spans: runs of at least ``RUN`` bytes of each row's duplicate chunks (array of start, length)."""
+def _runs(duplicates: DataFrame, least_run: int) -> DataFrame:
+    """d, t, n_duplicates, spans: the number of each row's duplicate chunks, (start, length) each, and their runs of at least ``least_run`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, ties, out = [], [], []
-            for doc, tie, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            count, out = [], []
+            for parts in batch.column(2).to_pylist():
                 spans: list[list[int]] = []
                 for start, length in sorted((p["start"], p["length"]) for p in parts):
                     if spans and spans[-1][1] == start:
                         spans[-1][1] = start + length
                     else:
                         spans.append([start, start + length])
-                if kept := [{"first": a, "past": b} for a, b in spans if b - a >= RUN]:
-                    docs.append(doc)
-                    ties.append(tie)
-                    out.append(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["doc_id", "tie", "spans"])
+                count.append(len(parts))
+                out.append([{"first": a, "past": b} for a, b in spans if b - a >= least_run])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["d", "t", "n_duplicates", "spans"])
 
-    return duplicates.mapInArrow(released(run), "doc_id long, tie long, spans array<struct<first: int, past: int>>")
+    return duplicates.mapInArrow(released(run), "d long, t int, n_duplicates long, spans array<struct<first: int, past: int>>")
 
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_chunks, n_duplicates, spans`` for each row of ``docs``: byte spans of runs of chunks that occur before.
+def _tie(text: Column) -> Column:
+    return F.hash(text)
+
+
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = RUN) -> DataFrame:
+    """``doc_id, tie, n_bytes, n_chunks, n_duplicates, spans`` for each row of ``docs``: byte spans of runs of at least ``least_run`` bytes (0: all) of chunks that occur before.
 
     Null texts count as empty and have no chunks; rows that repeat both id and text are one
-    document; of rows with one id and several texts the order is that of a hash of the text;
-    null ids come first; other columns are ignored."""
+    document; of rows with one id and several texts the order is that of ``tie``, a hash of the
+    text; null ids come first; texts may be of any length; an empty table gives no rows; other
+    columns are ignored."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), _tie(text).alias("tie"), text.alias("text"))
     lists = materialise(_chunk_lists(source))
     each = lists.select("doc_id", "tie", F.explode("chunks").alias("c")).select("doc_id", "tie", "c.*")
-    at = F.struct("doc_id", "tie", "start")
-    often = each.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").select("digest", "check", "first")
-    here = F.struct(F.col("doc_id"), F.col("tie"), F.col("start"))
-    again = each.join(often, ["digest", "check"]).filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tie", "start", "length").distinct()
-    found = again.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "length")).alias("parts"), F.count("*").alias("n_duplicates"))
-    runs = _runs(found.select("doc_id", "tie", "parts")).withColumnRenamed("doc_id", "d").withColumnRenamed("tie", "t")
-    count = found.select(F.col("doc_id").alias("d2"), F.col("tie").alias("t2"), "n_duplicates")
+    here = F.struct("doc_id", "tie", "start")
+    often = materialise(each.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(here).alias("first")).filter("n > 1").select("digest", "check", "first"))
+    again = each.join(often, ["digest", "check"]).filter(~here.eqNullSafe(F.col("first")))
+    found = again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "length")).alias("parts"))  # the chunks of one text
     rows = lists.select("doc_id", "tie", "n_bytes", F.size("chunks").cast("long").alias("n_chunks"))
-    out = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left").join(count, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")), "left")
-    return out.select("doc_id", "n_bytes", "n_chunks", F.coalesce("n_duplicates", F.lit(0)).alias("n_duplicates"), F.coalesce("spans", F.expr("cast(array() AS array<struct<first: int, past: int>>)")).alias("spans"))
+    out = rows.join(_runs(found, least_run), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left")
+    return out.select("doc_id", "tie", "n_bytes", "n_chunks", F.coalesce("n_duplicates", F.lit(0)).alias("n_duplicates"), F.coalesce("spans", F.expr("cast(array() AS array<struct<first: int, past: int>>)")).alias("spans"))
+
+
+def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = RUN) -> DataFrame:
+    """``docs`` with the spans of ``duplicate_spans`` cut out of the texts, a character that loses a byte going whole.
+
+    Every row stays, if with an empty text; null texts stay null; columns keep their names and order."""
+    inside, back = set_aside(docs, ("_d", "_t", "_spans", "_tie"))
+    spans = duplicate_spans(inside, id_col, text_col, least_run).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("spans").alias("_spans")).distinct()
+    marked = inside.withColumn("_tie", _tie(F.coalesce(F.col(text_col), F.lit("")))).join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")), "left")
+    schema = marked.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index(text_col)
+            texts = batch.column(at).to_pylist()
+            for i, gone in enumerate(batch.column(batch.schema.names.index("_spans")).to_pylist()):
+                if gone:
+                    raw = texts[i].encode()
+                    edges = [0, *(x for s in gone for x in (s["first"], s["past"])), len(raw)]
+                    texts[i] = "".join(raw[a:b].decode(errors="ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return back(marked.mapInArrow(released(run), schema))
 
 
 def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
