@@ -167,11 +167,29 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(released(run), kind)
 
 
+#: Characters of a text that order turns of the same number, before its hash does.
+TIE_CHARS = 64
+
+
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """The event log of a table of finished turns (conv_id, turn, role, text): one ``message`` event for each row; repeated rows are turns each."""
+    """An event log whose fold is a table of finished turns (conv_id, turn, role, text), as a chat service would have written it.
+
+    An assistant's turn is opened without text, streamed in two deltas of which the first is
+    regenerated; any other turn is opened with half its text, which an edit replaces by the
+    whole. Null texts and roles are empty. Turns of the same number come in order of role and
+    text (its first ``TIE_CHARS`` characters, then its hash); repeated rows are turns each, as
+    are those of one hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
-    return turns.select("conv_id", F.col("turn").cast("long").alias("message"), F.concat(role, F.lit("\n"), text).alias("tie"), F.lit(0).alias("seq"), F.lit("message").alias("event"), role.alias("role"), text.alias("text"))
+    half = F.floor(F.length(text) / 2).cast("int")
+    head, tail, none = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)), F.lit(None).cast("string")
+    event = lambda seq, name, part, own=none: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("event"), own.alias("role"), part.alias("text"))
+    streamed = F.array(event(0, "message", none, role), event(1, "delta", head), event(2, "regenerate", none), event(3, "delta", head), event(4, "delta", tail))
+    edited = F.array(event(0, "message", head, role), event(1, "edit", text))
+    tie = F.concat(role, F.lit("\n"), F.substring(text, 1, TIE_CHARS), F.hex(F.xxhash64(text)))
+    copy = F.monotonically_increasing_id()  # tells repeated rows apart, in no order that shows
+    events = turns.select("conv_id", F.col("turn").cast("long").alias("message"), F.struct(tie.alias("order"), copy.alias("copy")).alias("tie"), F.when(role == TRAINED_ROLE, streamed).otherwise(edited).alias("events"))
+    return events.select("conv_id", "message", "tie", F.explode("events").alias("e")).select("conv_id", "message", "tie", "e.*")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
