@@ -1,8 +1,10 @@
 """Removal of repeated passages with suffix arrays.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else too.
+A byte goes if a string of ``length`` bytes that covers it starts anywhere else too; or,
+on demand, only if such a string starts earlier, so that the corpus keeps the first of each
+(by id, then hash of the text, then place).
 
-Routing. Every string of ``LENGTH`` bytes has an anchor: the least of its ``GRAM``-byte
+Routing. Every string of ``length`` bytes has an anchor: the least of its ``gram``-byte
 grams by hash, the first of equals. Equal strings have equal anchors, so only strings
 with the same anchor need to meet. The starts of a text that share one anchor form a run,
 whose segment reaches from its first start to the end of its last string. Anchors that
@@ -15,22 +17,24 @@ Larsson-Sadakane refinement: first by eight bytes, then only groups that are sti
 by the rank of the suffix as far ahead as they are known to agree. Kasai's rule, that a
 suffix shares at least one byte less with its neighbour than its predecessor did, gives
 the common prefixes of neighbours, for many stretches of text at once. Starts whose
-suffix shares ``LENGTH`` bytes with a neighbour repeat. For anchors split over shards, the
+suffix shares ``length`` bytes with a neighbour repeat. For anchors split over shards, the
 classes of each shard go to merge tasks as sorted digests, and each shard's run is looked
-up by binary search among all of them.
+up by binary search among those of all shards, a range of digests at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, utf8
+from graphleaf.llm.common import GRAMS, ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, text_key, utf8
 
 LENGTH, GRAM = 400, 64
 #: Bytes of segments that are sorted together, and segments of one anchor that one shard takes.
@@ -39,6 +43,7 @@ SHARD_BYTES, SHARD_SEGMENTS = 1 << 20, 1000
 PART_BYTES = 1 << 22
 #: Rows that are Python objects at one time.
 PYTHON_ROWS = 500
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _LOW = U64((1 << 24) - 1)
 
 
@@ -55,9 +60,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
             doc, first, n, anchor, digest = anchors(piece, np.array([0, len(piece)]), length, gram)
             parts.append((doc, first + at, n, anchor, digest))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    run_a = ROLL_A.running(data)
-    at = np.arange(len(data) - gram + 1)
-    v = mix(ROLL_A.of(run_a, at, at + gram))
+    v = GRAMS.of(data, gram)
+    at = np.arange(len(v))
     w = length - gram + 1
     key = np.full(-(-len(v) // w) * w + w, U64(0xFFFFFFFFFFFFFFFF))
     key[: len(v)] = (v & ~_LOW) | at.astype(np.uint64)
@@ -77,9 +81,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     doc = np.searchsorted(offsets, first, side="right") - 1
     stop = np.minimum(np.append(first[1:], n), offsets[doc + 1] - length + 1)
     past = stop + length - 1
-    run_b = ROLL_B.running(data)
-    digest = mix(mix(ROLL_A.of(run_a, first, past)) ^ ROLL_B.of(run_b, first, past))
-    return doc, first - offsets[doc], stop - first, v[least[first]], digest
+    return doc, first - offsets[doc], stop - first, v[least[first]], _digests(data, first, past)
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return ROLL_A.of(ROLL_A.running(data), starts, ends) ^ mix(ROLL_B.of(ROLL_B.running(data), starts, ends))
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +157,10 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, most:
     return shared[order]
 
 
-def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all starts of all segments, one after another: segment, start, whether it repeats here, and its class (the place in the text of one member)."""
+def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LENGTH, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For all starts of all segments, one after another: segment, start, whether it repeats here, whether an earlier start here is equal, and its class (the place in the text of one member).
+
+    ``rank``: the order in which the segments come first in the corpus; by default that of the list."""
     text = np.frombuffer(b"".join(segments), np.uint8)
     size = np.array([len(s) for s in segments], np.int64)
     past = np.cumsum(size)
@@ -160,15 +168,20 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LEN
     order, _ = suffix_array(text, ends, int(size.max()))  # to the end: Kasai's rule needs the full order
     lcp = common_prefixes(text, ends, order, length)
     same = lcp >= length
+    fresh = np.flatnonzero(~same)
     group = np.cumsum(~same) - 1
     class_of = np.empty(len(text), np.int64)
-    class_of[order] = order[np.flatnonzero(~same)][group]
+    class_of[order] = order[fresh][group]
     which = np.repeat(np.arange(len(size)), size)
+    start = np.arange(len(text)) - (past - size)[which]
     weight = np.bincount(group, weights=np.asarray(counts)[which[order]])
     more = np.empty(len(text), bool)
     more[order] = (weight > 1)[group]
-    start = np.flatnonzero(ends - np.arange(len(text)) >= length)
-    return which[start], start - (past - size)[which[start]], more[start], class_of[start]
+    when = (which if rank is None else np.asarray(rank)[which]) * (int(size.max()) + 1) + start
+    later = np.empty(len(text), bool)
+    later[order] = when[order] > np.minimum.reduceat(when[order], fresh)[group]
+    use = np.flatnonzero(ends - np.arange(len(text)) >= length)
+    return which[use], start[use], more[use], later[use], class_of[use]
 
 
 def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -180,163 +193,261 @@ _SPANS = "array<struct<first: int, past: int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
 
-def _anchor_rows(source: DataFrame) -> DataFrame:
-    """node, n_bytes, runs of each row of (node, text) that is long enough."""
+def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
+    """node, doc, runs of each row of (node, text, doc) that is long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets):
-                doc, first, n, anchor, digest = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                doc, first, n, anchor, digest = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 kinds = (("first", first.astype(np.int32)), ("n", n.astype(np.int32)), ("anchor", anchor.view(np.int64)), ("digest", digest.view(np.int64)))
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for _, v in kinds]
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["node", *(k for k, _ in kinds)])
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *lists], names=["node", "doc", *(k for k, _ in kinds)])
                 yield rows.filter(pa.array(cut[1:] > cut[:-1]))
 
-    return source.mapInArrow(released(run), "node binary, first array<int>, n array<int>, anchor array<long>, digest array<long>")
+    return source.mapInArrow(released(run), "node binary, doc long, first array<int>, n array<int>, anchor array<long>, digest array<long>")
+
+
+_KINDS = {"anchor": pa.int64(), "digest": pa.int64(), "copies": pa.int64(), "split": pa.int32(), "splits": pa.int32(), "doc": pa.int64(), "node": pa.binary(), "first": pa.int32(), "segment": pa.binary()}
 
 
-def _segments(texts: DataFrame) -> DataFrame:
-    """anchor, digest, copies, shard and the bytes of each wanted segment of (text, wanted)."""
+def _segments(texts: DataFrame, length: int) -> DataFrame:
+    """anchor, digest, copies, shard, number of the anchor's shards, first place (doc, node, first) and the bytes of each wanted segment of (node, text, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "digest", "copies", "split", "segment"]
         for batch in batches:
             for k in range(0, batch.num_rows, PYTHON_ROWS):
                 part, rows = batch.slice(k, PYTHON_ROWS), []
-                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for node, text, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     raw = text.encode()
-                    rows += [(w["anchor"], w["digest"], w["copies"], w["split"], raw[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted]
-                yield _rows(rows, names)
+                    rows += [(w["anchor"], w["digest"], w["copies"], w["split"], w["splits"], w["doc"], node, w["first"], raw[w["first"] : w["first"] + w["n"] + length - 1]) for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS.values())], names=list(_KINDS))
 
-    return texts.mapInArrow(released(run), "anchor long, digest long, copies long, split int, segment binary")
+    return texts.mapInArrow(released(run), "anchor long, digest long, copies long, split int, splits int, doc long, node binary, first int, segment binary")
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
-
-
-def _sorted_shards(segments: DataFrame) -> DataFrame:
-    """For each segment its repeated starts; for segments of split anchors also the sorted digests of all starts, to be merged."""
+def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
+    """For each segment its starts that repeat and those that come later than an equal one; for segments of split anchors also the digests of all starts, to be merged."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[4] for r in rows]
-        which, start, more, class_of = repeated_starts(texts, np.array([r[2] for r in rows]))
-        cut = np.searchsorted(which, np.arange(len(rows) + 1))
-        spans = [[{"first": a, "past": b} for a, b in _intervals(more[x:y])] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        marks: list[list | None] = [None] * len(rows)
-        if any(r[3] for r in rows):
-            text = np.frombuffer(b"".join(texts), np.uint8)
-            a, b = ROLL_A.running(text), ROLL_B.running(text)
-            mark = mix(mix(ROLL_A.of(a, class_of, class_of + LENGTH)) ^ ROLL_B.of(b, class_of, class_of + LENGTH))
-            for k, r in enumerate(rows):
-                if r[3]:
-                    marks[k] = mark[cut[k] : cut[k + 1]].view(np.int64).tolist()
-        return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array([r[3] for r in rows], pa.int32()), pa.array(marks, pa.list_(pa.int64())),
-        ], names=["anchor", "digest", "spans", "split", "marks"])
+        texts = [r[8] for r in rows]
+        rank = np.empty(len(rows), np.int64)
+        rank[sorted(range(len(rows)), key=lambda i: (rows[i][5] is not None, rows[i][5], rows[i][6], rows[i][7]))] = np.arange(len(rows))
+        which, start, more, later, class_of = repeated_starts(texts, np.array([r[2] for r in rows]), length, rank)
+        cut = np.searchsorted(which, np.arange(len(rows) + 1)).tolist()
+        spans, late = ([[{"first": a, "past": b} for a, b in _intervals(flags[x:y])] for x, y in zip(cut[:-1], cut[1:], strict=True)] for flags in (more, later))
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        listed = np.array([r[3] > 0 for r in rows])[which]
+        mark = _digests(text, class_of[listed], class_of[listed] + length).view(np.int64)
+        many = np.bincount(which[listed], minlength=len(rows))
+        marks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(mark))
+        own = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_KINDS.items()) if n not in ("copies", "segment")}
+        return pa.RecordBatch.from_arrays([*own.values(), pa.array(spans, _SPANS_ARROW), pa.array(late, _SPANS_ARROW), marks], names=[*own, "spans", "later", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (size + len(row[4]) > SHARD_BYTES) and (row[0], row[3]) != (held[-1][0], held[-1][3]):
+                if held and (size + len(row[8]) > SHARD_BYTES) and (row[0], row[3]) != (held[-1][0], held[-1][3]):
                     yield shard(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[8])
         if held:
             yield shard(held)
 
     dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "digest")
-    return dealt.mapInArrow(released(run), f"anchor long, digest long, spans {_SPANS}, split int, marks array<long>")
+    return dealt.mapInArrow(released(run), f"anchor long, digest long, split int, splits int, doc long, node binary, first int, spans {_SPANS}, later {_SPANS}, marks array<long>")
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """Spans of segments of split anchors over all their shards: each shard's sorted marks are looked up among those of all."""
-    marks = found.filter("split > 0").select("anchor", "digest", "split", F.posexplode("marks").alias("start", "mark"))
-    one_each = marks.select("anchor", "split", "mark").distinct()
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.Table.from_batches(list(batches))
-        if not own.num_rows:
-            return
-        key = mix(own["anchor"].to_numpy().view(np.uint64)) ^ own["mark"].to_numpy().view(np.uint64)
-        split = own["split"].to_numpy()
-        everywhere = np.sort(key)
-        for s in np.unique(split):
-            run = np.sort(key[split == s])
-            twice = np.searchsorted(everywhere, run, "right") - np.searchsorted(everywhere, run, "left") > 1
-            if twice.any():
-                at = np.flatnonzero(split == s)[np.argsort(key[split == s])][twice]
-                yield from own.take(pa.array(at)).select(["anchor", "mark"]).combine_chunks().to_batches()
-
-    twice = one_each.repartition("anchor", "mark").mapInArrow(released(search), "anchor long, mark long").distinct()
-    more = marks.join(twice, ["anchor", "mark"], "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    return more.select("anchor", "digest", F.transform("starts", lambda s: F.struct(s.alias("first"), (s + 1).alias("past"))).alias("spans"))
+    """anchor, digest, place, spans, later of segments of split anchors whose starts repeat over several shards.
+
+    Marks travel as sorted arrays: each shard's, cut into as many ranges as the anchor has
+    shards, meet those of the same range, and what several shards have goes back to each."""
+    split = found.filter("split > 0").select("anchor", "split", "splits", "digest", "doc", "node", "first", "marks")
+    runs = split.repartition("anchor", "split").sortWithinPartitions("anchor", "split").mapInArrow(released(_sorted_marks), "anchor long, range int, split int, mark array<long>, doc array<long>, node array<binary>, at array<int>")
+    shared = runs.repartition("anchor", "range").sortWithinPartitions("anchor", "range").mapInArrow(released(_shared_marks), "anchor long, split int, marks array<long>, late array<long>")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("digest", "long"), ("doc", "long"), ("node", "binary"), ("first", "int"))]
+    both = split.select("anchor", "split", F.lit(1).alias("kind"), "digest", "doc", "node", "first", "marks", F.expr("cast(array() AS array<long>) AS late")).unionByName(shared.select("anchor", "split", F.lit(0).alias("kind"), *none, "marks", "late"))
+    return both.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "kind").mapInArrow(released(_marked_starts), f"anchor long, digest long, doc long, node binary, first int, spans {_SPANS}, later {_SPANS}")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables of the neighbouring rows that are equal in ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for batch in batches:
+        values = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
+        at = 0
+        for i, own in enumerate(values):
+            if own != last:
+                if i > at:
+                    held.append(batch.slice(at, i - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last, at = [], own, i
+        if at < len(values):
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists, and for each the row that it is from."""
+    lists = column.combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+
+
+def _list_of(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _by_place(mark: np.ndarray, doc: pa.Array, node: pa.Array, at: np.ndarray) -> np.ndarray:
+    """The order of mark, then place; a null document comes first."""
+    halves = np.frombuffer(b"".join(node.to_pylist()), ">u8").reshape(-1, 2) if len(node) else np.zeros((0, 2), ">u8")
+    return np.lexsort((at, halves[:, 1], halves[:, 0], doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False), mark))
+
+
+def _sorted_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard of an anchor its distinct marks with their first places, a row for each range of marks."""
+    for own in _groups(batches, "anchor", "split"):
+        mark, row = _flat(own["marks"])
+        start = np.arange(len(mark)) - np.searchsorted(row, row)
+        doc, node = (own[c].combine_chunks().take(pa.array(row)) for c in ("doc", "node"))
+        at = own["first"].to_numpy()[row] + start
+        order = _by_place(mark, doc, node, at)
+        order = order[np.concatenate([[True], mark[order][1:] != mark[order][:-1]])] if len(order) else order
+        n = own["splits"][0].as_py()
+        bounds = np.searchsorted(mark[order], np.linspace(-(1 << 63), 1 << 63, n + 1)[1:-1]) if n > 1 else []
+        for k, part in enumerate(np.split(order, bounds)):
+            if len(part):
+                take = pa.array(part)
+                lists = [_list_of(pa.array(mark[part])), _list_of(doc.take(take)), _list_of(node.take(take)), _list_of(pa.array(at[part].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([own["anchor"][:1].combine_chunks(), pa.array([k], pa.int32()), own["split"][:1].combine_chunks(), *lists], names=["anchor", "range", "split", "mark", "doc", "node", "at"])
+
+
+def _shared_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard the marks that others have too, and those of them of which another shard has the first place.
+
+    Each shard's sorted run is looked up by binary search among the marks of all."""
+    for own in _groups(batches, "anchor", "range"):
+        mark, row = _flat(own["mark"])
+        everywhere = np.sort(mark)
+        shared = np.flatnonzero(np.searchsorted(everywhere, mark, "right") - np.searchsorted(everywhere, mark, "left") > 1)
+        mark, row, take = mark[shared], row[shared], pa.array(shared)
+        doc, node, at = (own[c].combine_chunks().flatten().take(take) for c in ("doc", "node", "at"))
+        order = _by_place(mark, doc, node, at.to_numpy())
+        late = np.ones(len(mark), bool)
+        late[order[np.concatenate([[True], mark[order][1:] != mark[order][:-1]])] if len(order) else order] = False
+        for k in np.unique(row):
+            mine = row == k
+            yield pa.RecordBatch.from_arrays([own["anchor"].slice(k, 1).combine_chunks(), own["split"].slice(k, 1).combine_chunks(), _list_of(pa.array(mark[mine])), _list_of(pa.array(mark[mine & late]))], names=["anchor", "split", "marks", "late"])
+
+
+def _marked_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the starts whose marks several shards have (rows of kind 0, which come first), and of those that come later than another shard's."""
+    for own in _groups(batches, "anchor", "split"):
+        kind = own["kind"].to_numpy()
+        shared, of_shared = _flat(own["marks"])
+        known, late = shared[kind[of_shared] == 0], _flat(own["late"])[0]
+        segments = own.slice(int((kind == 0).sum()))
+        if not len(known) or not len(segments):
+            continue
+        mark, row = _flat(segments["marks"])
+        cut = np.searchsorted(row, np.arange(len(segments) + 1)).tolist()
+        spans, later = (pa.array([[{"first": a, "past": b} for a, b in _intervals(flags[x:y])] for x, y in zip(cut[:-1], cut[1:], strict=True)], _SPANS_ARROW) for flags in (np.isin(mark, known), np.isin(mark, late)))
+        columns = [segments[c].combine_chunks() for c in ("anchor", "digest", "doc", "node", "first")]
+        rows = pa.RecordBatch.from_arrays([*columns, spans, later], names=["anchor", "digest", "doc", "node", "first", "spans", "later"])
+        yield rows.filter(pc.greater(pc.list_value_length(rows["spans"]), 0))
 
 
 def _covered(first: np.ndarray, past: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte spans that strings at the starts from ``first`` to ``past`` cover, joined where they touch."""
+    if not len(first):
+        return []
     order = np.argsort(first)
     first, past = first[order], np.maximum.accumulate(past[order]) + length - 1
     fresh = np.flatnonzero(np.concatenate([[True], first[1:] > past[:-1]]))
     return list(zip(first[fresh].tolist(), past[np.append(fresh[1:], len(first)) - 1].tolist(), strict=True))
 
 
-def _cut(texts: DataFrame) -> DataFrame:
-    """node, n_removed, n_spans, kept_sha256, removed, kept_text of (node, text, first, past): the starts of repeated strings."""
+def _cut(texts: DataFrame, length: int, least_words: int) -> DataFrame:
+    """node, doc, n_removed, n_spans, kept_sha256, removed, kept_text, whole of (node, doc, text, first, past): the starts of strings that go.
+
+    ``whole``: the text has words enough to go altogether."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), _SPANS_ARROW, pa.string()]
+        kinds = {"node": pa.binary(), "doc": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "removed": _SPANS_ARROW, "kept_text": pa.string(), "whole": pa.bool_()}
         for batch in batches:
             for k in range(0, batch.num_rows, PYTHON_ROWS):
                 part, rows = batch.slice(k, PYTHON_ROWS), []
                 for i in range(part.num_rows):
-                    raw, at, kept = part.column(1)[i].as_py().encode(), 0, []
-                    gone = _covered(part.column(2)[i].values.to_numpy(), part.column(3)[i].values.to_numpy(), LENGTH)
+                    raw, at, kept = part.column(2)[i].as_py().encode(), 0, []
+                    gone = _covered(part.column(3)[i].values.to_numpy(), part.column(4)[i].values.to_numpy(), length)
+                    if least_words:
+                        gone = [(a, b) for a, b in gone if len(_WORD.findall(raw, a, b)) >= least_words]
                     for a, b in gone:
                         kept.append(raw[at:a])
                         at = b
                     kept.append(raw[at:])
-                    whole = "".join(p.decode(errors="ignore") for p in kept)
-                    rows.append((part.column(0)[i].as_py(), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"first": a, "past": b} for a, b in gone], whole))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["node", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"])
+                    left = "".join(p.decode(errors="ignore") for p in kept)
+                    rows.append((part.column(0)[i].as_py(), part.column(1)[i].as_py(), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"first": a, "past": b} for a, b in gone], left, not least_words or len(_WORD.findall(raw)) >= least_words))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds.values())], names=list(kinds))
 
-    return texts.mapInArrow(released(run), f"node binary, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept_text string")
+    return texts.mapInArrow(released(run), f"node binary, doc long, n_removed long, n_spans long, kept_sha256 string, removed {_SPANS}, kept_text string, whole boolean")
 
 
-def repeated_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """For each distinct text from which bytes go: ``node`` (its SHA-256), ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (byte spans) and ``kept_text``, in which a character that loses a byte is gone whole.
+def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, least_words: int = 0) -> DataFrame:
+    """For each distinct text with a repeated string of ``length`` bytes: ``node`` (its ``text_key``), ``doc`` (its least id), ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (byte spans), ``kept_text``, in which a character that loses a byte is gone whole, and ``whole``.
 
-    Null texts count as empty; texts of less than ``LENGTH`` bytes lose nothing; of repeated
-    rows and copies every one loses all; an empty table gives no rows."""
+    With ``keep_first`` the first string of each class stays, so that these columns hold for
+    the row of id ``doc``; all other rows of that text repeat it whole, and lose it if ``whole``
+    is true. With ``least_words`` only spans of at least so many words go (runs of letters,
+    digits and characters beyond ASCII). ``gram``, the bytes of an anchor, is below ``length``.
+
+    Null texts count as empty; texts of less than ``length`` bytes lose nothing; of repeated
+    rows and copies every one loses all, but with ``keep_first`` rows that repeat id and text
+    are one; null ids come first; an empty table gives no rows; other columns are ignored;
+    of equal places there is none, so nothing ties; texts may be of any length."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = in_small_batches(docs).select(F.unhex(F.sha2(text, 256)).alias("node"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-    runs = materialise(_anchor_rows(source).groupBy("node").agg(*[F.first(c).alias(c) for c in ("first", "n", "anchor", "digest")], F.count("*").alias("rows")))
-    each = runs.select("node", "rows", F.explode(F.arrays_zip("first", "n", "anchor", "digest")).alias("r")).select("node", "rows", "r.*")
-    kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"), F.min(F.struct("node", "first", "n")).alias("at"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), text_key(text).alias("node"), text.alias("text")).filter(F.octet_length("text") >= length)
+    lists = _anchor_rows(source.select("node", "text", "doc"), length, gram)
+    runs = materialise(lists.groupBy("node").agg(*[F.first(c).alias(c) for c in ("first", "n", "anchor", "digest")], F.count("*").alias("rows"), F.min(F.struct("doc")).alias("doc")).select("node", "doc.doc", "rows", "first", "n", "anchor", "digest"))
+    each = runs.select("node", "doc", "rows", F.explode(F.arrays_zip("first", "n", "anchor", "digest")).alias("r")).select("node", "doc", "rows", "r.*")
+    kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"), F.min(F.struct("doc", "node", "first", "n")).alias("at"))
     often = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1").select("anchor", "kinds")
-    split = F.when(F.col("kinds") <= SHARD_SEGMENTS, 0).otherwise(1 + F.pmod(F.xxhash64("digest"), F.ceil(F.col("kinds") / SHARD_SEGMENTS))).cast("int")
-    wanted = materialise(kinds.join(often, "anchor").select("anchor", "digest", "copies", "at.node", "at.first", "at.n", split.alias("split")))
-    by_text = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "first", "n")).alias("wanted"))
+    splits = F.ceil(F.col("kinds") / SHARD_SEGMENTS)
+    split = F.when(splits == 1, 0).otherwise(1 + F.pmod(F.xxhash64("digest"), splits)).cast("int")
+    wanted = materialise(kinds.join(often, "anchor").select("anchor", "digest", "copies", "at.*", split.alias("split"), splits.cast("int").alias("splits")))
+    by_text = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "splits", "doc", "first", "n")).alias("wanted"))
     touched = each.join(wanted.select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("node").distinct()
     texts = materialise(source.join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    found = materialise(_sorted_shards(_segments(texts.join(by_text, "node").select("text", "wanted"))))
-    spans = found.filter(F.size("spans") > 0).select("anchor", "digest", "spans").unionByName(_merged(found))
-    moved = lambda end: F.transform("spans", lambda s: s[end] + F.col("first"))
+    found = materialise(_sorted_shards(_segments(texts.join(by_text, "node").select("node", "text", "wanted"), length), length))
+    spans = found.filter(F.size("spans") > 0).select("anchor", "digest", "doc", "node", "first", "spans", "later").unionByName(_merged(found))
+    spans = spans.select("anchor", "digest", F.struct("doc", "node", "first").alias("at"), "spans", "later")
+    here = F.struct("doc", "node", "first")
+    use = F.when(here.eqNullSafe(F.col("at")), F.col("later")).otherwise(F.col("spans")) if keep_first else F.col("spans")
+    moved = lambda end: F.transform("use", lambda s: s[end] + F.col("first"))
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    starts = each.join(spans, ["anchor", "digest"]).select("node", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(flat("firsts"), flat("pasts"))
-    return _cut(texts.join(starts, "node").select("node", "text", "firsts", "pasts"))
+    starts = each.join(spans, ["anchor", "digest"]).withColumn("use", use).select("node", "doc", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(F.first("doc").alias("doc"), flat("firsts"), flat("pasts"))
+    return _cut(texts.join(starts, "node").select("node", "doc", "text", "firsts", "pasts"), length, least_words)
+
 
+def remove_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with repeated passages cut out of the texts and ``n_chars``, if there, counted anew; ``how`` as for ``repeated_passages``.
 
-def remove_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut out of the texts (a character that loses a byte goes whole) and ``n_chars``, if there, counted anew."""
-    inside, back = set_aside(docs, ("_node", "_kept"))
-    gone = materialise(repeated_passages(inside, text_col).select(F.col("node").alias("_node"), F.col("kept_text").alias("_kept")))
-    out = inside.withColumn("_node", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(gone, "_node", "left").withColumn(text_col, F.coalesce(F.col("_kept"), F.col(text_col)))
+    A character that loses a byte goes whole. Every row stays, if with an empty text; rows that
+    lose nothing, null texts among them, are as they were; columns keep their names and order."""
+    inside, back = set_aside(docs, ("_node", "_doc", "_kept", "_whole"))
+    gone = materialise(repeated_passages(inside, text_col, id_col, **how).select(F.col("node").alias("_node"), F.col("doc").alias("_doc"), F.col("kept_text").alias("_kept"), F.col("whole").alias("_whole")))
+    own = F.col("_kept")
+    if how.get("keep_first"):
+        own = F.when(F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), own).when(F.col("_whole"), F.lit(""))
+    out = inside.withColumn("_node", text_key(F.coalesce(F.col(text_col), F.lit("")))).join(gone, "_node", "left").withColumn("_kept", own).withColumn(text_col, F.coalesce("_kept", text_col))
     if "n_chars" in inside.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(dict(inside.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return back(out)
@@ -347,6 +458,6 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = materialise(repeated_passages(docs).select("node", "n_removed", "n_spans", "kept_sha256"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole")).withColumn("node", F.unhex("whole"))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole")).withColumn("node", F.substring(F.unhex("whole"), 1, 16))
     zero = F.lit(0).cast("long")
     return rows.join(gone, "node", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphleaf.llm import chat, chunk_dedup, decontaminate, packing, queries, sharding, suffix_dedup
+from graphleaf.llm.common import ROLL_A, ROLL_B
 from llm_helpers import CLASH, frame, prose
 
 
@@ -155,11 +156,70 @@ def test_repeated_passages(spark, hard, monkeypatch, split):
     got = {r["node"].hex(): (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeated_passages(docs).collect()}
     texts = [r["text"] for r in docs.select("text").collect()]
     for text, expected in zip(texts, removed(texts), strict=True):
-        key = hashlib.sha256((text or "").encode()).hexdigest()
-        assert got.get(key, (0, 0, key)) == expected
+        whole = hashlib.sha256((text or "").encode()).hexdigest()
+        assert got.get(whole[:32], (0, 0, whole)) == expected
     assert any(0 < v[0] for v in got.values())
 
 
+def kept_first(docs, length, least_words):
+    """Texts of (id, text) without the strings that start earlier, in order of id, hash and place; one text for each (id, text)."""
+    order = sorted({(d is not None, d or 0, hashlib.sha256((t or "").encode()).digest()[:16], t or "") for d, t in docs})
+    seen, out = set(), {}
+    for known, d, _, t in order:
+        raw, gone = t.encode(), set()
+        for i in range(len(raw) - length + 1):
+            if raw[i : i + length] in seen:
+                gone.update(range(i, i + length))
+            seen.add(raw[i : i + length])
+        kept, at = b"", 0
+        while at < len(raw):
+            past = at
+            while past < len(raw) and (past in gone) == (at in gone):
+                past += 1
+            if at not in gone or len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw[at:past])) < least_words:
+                kept += raw[at:past]
+            at = past
+        out[(d if known else None, t)] = kept.decode(errors="ignore")
+    return out
+
+
+@pytest.mark.parametrize(("split", "length", "gram", "words"), [(1000, 400, 64, 0), (2, 400, 64, 0), (1, 120, 24, 0), (1000, 250, 48, 51)])
+def test_the_first_of_repeated_passages_stays(spark, hard, monkeypatch, split, length, gram, words):
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", split)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    passage, tail, short = prose(50, 120), prose(51, 90), prose(53, 49)
+    extra = [(300 - i, prose(60 + i, 30) + passage[i % 3 :] + prose(70 + i, 40)) for i in range(7)] + [(120, tail + passage + " " + tail), (121, prose(52, 100) + short), (122, short + " " + prose(54, 90)), (123, prose(55, 60) + "\n" + short)]
+    extra += [(7, prose(3, 80) + prose(56, 20)), (None, prose(57, 20) + passage)]
+    docs = frame(spark, extra).union(hard.filter("doc_id <> 4 or doc_id is null"))
+    out = suffix_dedup.remove_passages(docs.withColumn("was", F.col("text")), length=length, gram=gram, keep_first=True, least_words=words)
+    expected = kept_first([(r["doc_id"], r["text"]) for r in docs.collect()], length, words)
+    rows_out = out.collect()
+    assert len(rows_out) == docs.count()
+    for r in rows_out:
+        assert (r["text"] or "") == expected[r["doc_id"], r["was"] or ""], r["doc_id"]
+    assert sum(r["text"] != r["was"] for r in rows_out if r["was"]) > 6
+
+
+def test_built_up_strings_have_hashes_of_their_own():
+    word = b"ab"  # the two Thue-Morse words of a length agree in every polynomial modulo a power of two
+    for _ in range(11):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(word + other, np.uint8)
+    for hashed in (ROLL_A, ROLL_B):
+        a, b = hashed.of(hashed.running(data), np.array([0, len(word)]), np.array([len(word), len(data)])).tolist()
+        assert a != b
+
+
+@given(st.binary(min_size=2, max_size=60), st.integers(0, 30), st.integers(1, 30))
+def test_hashes_do_not_depend_on_place(raw, at, size):
+    size = min(size, len(raw))
+    moved = bytes(at) + raw
+    for hashed in (ROLL_A, ROLL_B):
+        one = hashed.of(hashed.running(np.frombuffer(raw, np.uint8)), np.array([0]), np.array([size]))
+        assert one == hashed.of(hashed.running(np.frombuffer(moved, np.uint8)), np.array([at]), np.array([at + size]))
+
+
 def test_anchors_of_a_long_text_in_parts(monkeypatch):
     data = np.frombuffer((prose(5, 700) + "x y " * 300).encode(), np.uint8)
     off = np.array([0, len(data)])
@@ -343,7 +403,20 @@ def test_duplicate_chunks(spark, hard, nothing):
                 spans.append([a, b])
         assert [(s["first"], s["past"]) for s in got[None if d < 0 else d]["spans"]] == [tuple(s) for s in spans if s[1] - s[0] >= chunk_dedup.RUN], d
     assert sum(s["past"] - s["first"] for s in got[201]["spans"]) > 0.8 * len(base) and not got[202]["spans"] and not got[5]["spans"]
-    assert rows(chunk_dedup.duplicate_spans(nothing)) == []
+    assert rows(chunk_dedup.duplicate_spans(nothing)) == [] and rows(chunk_dedup.remove_duplicates(nothing)) == []
+    every = {r["doc_id"]: r for r in chunk_dedup.duplicate_spans(docs, least_run=0).collect()}
+    for d, _ in order:
+        if d not in (4, 5):
+            assert sum(s["past"] - s["first"] for s in every[None if d < 0 else d]["spans"]) == sum(b - a for a, b in expected[d])
+    cut = chunk_dedup.remove_duplicates(docs)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    text_of = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in cut.collect():
+        raw, at, kept = (text_of[r["doc_id"]] or "").encode(), 0, []
+        for s in got[r["doc_id"]]["spans"]:
+            kept.append(raw[at : s["first"]])
+            at = s["past"]
+        assert (r["text"] or "") == "".join(k.decode(errors="ignore") for k in [*kept, raw[at:]])
     assert CLASH
 
 def test_passages_of_just_over_fifty_words_are_found(spark):
