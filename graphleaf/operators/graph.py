@@ -8,7 +8,7 @@ lowest page id that has them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +22,9 @@ MAX_REDIRECTS = 10
 
 @dataclass(frozen=True)
 class Graph:
-    """articles(page_id, title), sections(page_id, sec_i), paragraphs(page_id, sec_i, para_i, text), links(page_id, sec_i, para_i, target), redirects(page_id, target)."""
+    """articles(page_id, title), sections(page_id, sec_i), paragraphs(page_id, sec_i, para_i, text), links(page_id, sec_i, para_i, target), redirects(page_id, target).
+
+    ``stored`` keeps what reads derive from these, mentions and the ends of redirects, as tables."""
 
     articles: DataFrame
     sections: DataFrame
@@ -31,6 +33,15 @@ class Graph:
     redirects: DataFrame
     chunk_size: int = X.CHUNK_SIZE
     chunk_overlap: int = X.CHUNK_OVERLAP
+    mention_table: DataFrame | None = None
+    terminal_table: DataFrame | None = None
+
+    def stored(self) -> Graph:
+        return replace(self, mention_table=written(self.mentions()), terminal_table=written(self.terminals()))
+
+    def terminals(self) -> DataFrame:
+        """(page_id, terminal) of the redirects."""
+        return redirect_terminals(self.redirects) if self.terminal_table is None else self.terminal_table
 
     def chunks(self) -> DataFrame:
         """page_id, sec_i, para_i, chunk_i, text of overlapping pieces of the paragraphs."""
@@ -38,7 +49,7 @@ class Graph:
 
     def mentions(self) -> DataFrame:
         """Distinct (page_id, target) of the links."""
-        return self.links.select("page_id", "target").distinct()
+        return self.links.select("page_id", "target").distinct() if self.mention_table is None else self.mention_table
 
 
 def redirect_terminals(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataFrame:
@@ -60,17 +71,32 @@ def redirect_terminals(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataF
     return total.join(again, "target", "left").select("page_id", F.when(F.col("goes_on"), F.col("page_id")).otherwise(F.col("target")).alias("terminal"))
 
 
+def resolved_id(graph: Graph, title: str) -> int | None:
+    """The page of that title, or the one its redirects end at within ``MAX_REDIRECTS`` hops: a look-up of the title, then one for each hop, all of a single row."""
+    start = graph.articles.filter(F.col("title") == title).agg(F.min("page_id")).first()[0]
+    at = start
+    for hop in range(MAX_REDIRECTS + 1):
+        if at is None:
+            return None
+        further = graph.redirects.filter(F.col("page_id") == at).agg(F.min("target")).first()[0]
+        if further is None:
+            return at
+        at = further if hop < MAX_REDIRECTS else start
+    return at
+
+
 def resolved(graph: Graph, title: str) -> DataFrame:
     """(page_id, title): the article of that title, or the one its redirects end at."""
-    start = graph.articles.filter(F.col("title") == title).agg(F.min("page_id").alias("start")).filter("start is not null")
-    ends = redirect_terminals(graph.redirects).withColumnRenamed("page_id", "start")
-    page = start.join(ends, "start", "left").select(F.coalesce("terminal", "start").alias("page_id"))
-    return page.join(graph.articles, "page_id")
+    return graph.articles.filter(F.col("page_id") == F.lit(resolved_id(graph, title)).cast("long")).select("page_id", "title")
+
+
+def _of_page(rows: DataFrame, page_id: int | None) -> DataFrame:
+    return rows.filter(F.col("page_id") == F.lit(page_id).cast("long"))
 
 
 def article_text(graph: Graph, title: str) -> DataFrame:
     """nodeID, text of the paragraphs in reading order."""
-    own = graph.paragraphs.join(resolved(graph, title).select("page_id"), "page_id", "left_semi")
+    own = _of_page(graph.paragraphs, resolved_id(graph, title))
     return own.orderBy("sec_i", "para_i").select(X.paragraph_id(F.col("page_id"), F.col("sec_i"), F.col("para_i")).alias("nodeID"), "text")
 
 
@@ -118,20 +144,20 @@ def window_sections(graph: Graph, section_id: str, n: int = 2) -> DataFrame:
 
 def backlinks(graph: Graph, title: str, limit: int = 50) -> DataFrame:
     """source_article, paragraph_nodeID, text for each link from another article, a paragraph that links twice twice."""
-    target = resolved(graph, title).select(F.col("page_id").alias("target"))
-    into = graph.links.join(target, "target").filter("page_id <> target").select("page_id", "sec_i", "para_i")
+    target = F.lit(resolved_id(graph, title)).cast("long")
+    into = graph.links.filter((F.col("target") == target) & (F.col("page_id") != target)).select("page_id", "sec_i", "para_i")
     rows = into.join(graph.paragraphs, ["page_id", "sec_i", "para_i"]).join(graph.articles, "page_id")
     return rows.orderBy("title", "page_id", "sec_i", "para_i").limit(limit).select(F.col("title").alias("source_article"), X.paragraph_id(F.col("page_id"), F.col("sec_i"), F.col("para_i")).alias("paragraph_nodeID"), "text")
 
 
-def _first_paragraphs(graph: Graph, pages: DataFrame) -> DataFrame:
-    own = graph.paragraphs.join(pages.select("page_id"), "page_id", "left_semi")
+def _first_paragraphs(graph: Graph, page_id: int | None) -> DataFrame:
+    own = _of_page(graph.paragraphs, page_id)
     return own.groupBy("page_id", "sec_i").agg(F.min_by("text", "para_i").alias("text"), F.min("para_i").alias("para_i"))
 
 
 def section_titles(graph: Graph, title: str) -> DataFrame:
     """nodeID, title: heading lines of each section's first paragraph, else its first chunk (null if there is none)."""
-    first = _first_paragraphs(graph, resolved(graph, title))
+    first = _first_paragraphs(graph, resolved_id(graph, title))
     titles = F.when(F.size(X.headings(F.col("text"))) > 0, X.headings(F.col("text"))).otherwise(F.array(F.try_element_at(X.chunks(F.col("text"), graph.chunk_size, graph.chunk_overlap), F.lit(1))))
     rows = first.select("page_id", "sec_i", F.posexplode(titles).alias("at", "title"))
     return rows.orderBy("sec_i", "at").select(X.section_id(F.col("page_id"), F.col("sec_i")).alias("nodeID"), "title")
@@ -139,14 +165,14 @@ def section_titles(graph: Graph, title: str) -> DataFrame:
 
 def article_infoboxes(graph: Graph, title: str) -> DataFrame:
     """infobox: balanced spans of the article's distinct paragraphs, joined by line breaks, in order."""
-    own = graph.paragraphs.join(resolved(graph, title).select("page_id"), "page_id", "left_semi")
+    own = _of_page(graph.paragraphs, resolved_id(graph, title))
     whole = own.groupBy("page_id").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("sec_i", "para_i", "text"))), lambda s: s["text"])), "\n").alias("doc"))  # the paragraphs of one article
     return whole.select(F.posexplode(X.infoboxes(F.col("doc"))).alias("at", "infobox")).orderBy("at").select("infobox")
 
 
 def section_titles_and_infoboxes(graph: Graph, title: str) -> DataFrame:
     """kind, nodeID, text: infoboxes, then section titles; the first chunk stands in for headings only where no infobox begins."""
-    first = _first_paragraphs(graph, resolved(graph, title))
+    first = _first_paragraphs(graph, resolved_id(graph, title))
     chunk = F.try_element_at(X.chunks(F.col("text"), graph.chunk_size, graph.chunk_overlap), F.lit(1))
     found = X.headings(F.col("text"))
     fallback = F.when(chunk.isNotNull() & ~F.col("text").contains(X.INFOBOX), F.array(chunk)).otherwise(F.expr("cast(array() AS array<string>)"))
@@ -172,9 +198,8 @@ def _levels(mentions: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 def within_distance(graph: Graph, title: str, n: int = 2) -> DataFrame:
     """title, distance of articles within ``n`` mentions, redirects followed after the distance is known; rows that end at the source's title go."""
     source = resolved(graph, title)
-    near = _levels(written(graph.mentions()) if n > 1 else graph.mentions(), source, n)
-    ends = redirect_terminals(graph.redirects)
-    real = near.join(ends, "page_id", "left").select(F.coalesce("terminal", "page_id").alias("page_id"), "distance").join(graph.articles, "page_id")
+    near = _levels(written(graph.mentions()) if n > 1 and graph.mention_table is None else graph.mentions(), source, n)
+    real = near.join(graph.terminals(), "page_id", "left").select(F.coalesce("terminal", "page_id").alias("page_id"), "distance").join(graph.articles, "page_id")
     own = source.select(F.col("title").alias("source"))
     return real.join(own, real["title"] == own["source"], "left_anti").groupBy("title").agg(F.min("distance").alias("distance")).orderBy("distance", "title")
 
@@ -187,10 +212,10 @@ def shortest_path(graph: Graph, title_a: str, title_b: str, most: int = 6) -> Da
     one has no row. The same start and end, or no path, give no rows."""
     spark = graph.articles.sparkSession
     schema = "hop int, from_article string, to_article string, paragraph_nodeID string, paragraph_text string"
-    ends = [r["page_id"] for t in (title_a, title_b) for r in resolved(graph, t).select("page_id").collect()]
-    if len(ends) < 2 or ends[0] == ends[1]:
+    ends = [resolved_id(graph, t) for t in (title_a, title_b)]
+    if None in ends or ends[0] == ends[1]:
         return spark.createDataFrame([], schema)
-    mentions = written(graph.mentions())  # read by every level
+    mentions = written(graph.mentions()) if graph.mention_table is None else graph.mentions()  # read by every level
     levels = [spark.createDataFrame([(ends[0], None)], "page_id long, parent long")]
     seen = levels[0].select("page_id")
     for _ in range(most):
@@ -208,11 +233,14 @@ def shortest_path(graph: Graph, title_a: str, title_b: str, most: int = 6) -> Da
         at = level.filter(F.col("page_id") == at).first()["parent"]
         path.insert(0, at)
     hops = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False))], "hop int, page_id long, to_id long"))
-    target = graph.links.join(redirect_terminals(graph.redirects).select(F.col("page_id").alias("target"), "terminal"), "target", "left")
-    reach = target.select("page_id", "sec_i", "para_i", F.explode(F.array_distinct(F.array("target", F.coalesce("terminal", "target")))).alias("to_id"))
-    evidence = reach.join(hops, ["page_id", "to_id"]).join(graph.paragraphs, ["page_id", "sec_i", "para_i"]).groupBy("hop", "page_id", "to_id").agg(F.min_by(F.struct("sec_i", "para_i", "text"), F.struct(F.length("text"), "sec_i", "para_i")).alias("e"))
-    names = graph.articles.select(F.col("page_id").alias("to_id"), F.col("title").alias("to_article"))
-    rows = evidence.join(graph.articles, "page_id").join(names, "to_id")
+    starts, passed = path[:-1], path[1:]  # at most six each
+    by_redirect = graph.terminals().filter(F.col("terminal").isin(passed)).select(F.col("page_id").alias("target"), F.col("terminal").alias("to_id"))
+    wanted = by_redirect.union(spark.createDataFrame([(p, p) for p in passed], "target long, to_id long")).distinct()
+    reach = graph.links.filter(F.col("page_id").isin(starts)).join(wanted, "target").select("page_id", "sec_i", "para_i", "to_id")
+    evidence = reach.join(hops, ["page_id", "to_id"]).join(graph.paragraphs.filter(F.col("page_id").isin(starts)), ["page_id", "sec_i", "para_i"]).groupBy("hop", "page_id", "to_id").agg(F.min_by(F.struct("sec_i", "para_i", "text"), F.struct(F.length("text"), "sec_i", "para_i")).alias("e"))
+    on_path = graph.articles.filter(F.col("page_id").isin(path))
+    names = on_path.select(F.col("page_id").alias("to_id"), F.col("title").alias("to_article"))
+    rows = evidence.join(on_path, "page_id").join(names, "to_id")
     return rows.orderBy("hop").select("hop", F.col("title").alias("from_article"), "to_article", X.paragraph_id(F.col("page_id"), F.col("e.sec_i"), F.col("e.para_i")).alias("paragraph_nodeID"), F.col("e.text").alias("paragraph_text"))
 
 

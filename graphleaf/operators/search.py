@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphleaf.functions import text as X
 from graphleaf.functions.fuzzy import wratio_column
+from graphleaf.tables import written
 
 K1, B, FTS_LIMIT = 1.2, 0.75, 1000
 
@@ -63,18 +64,17 @@ def match_titles(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT)
     ``score`` is the likeness in step 3. Of several titles the lowest page id counts; of equal
     likeness the one closest in length, then the best BM25 rank."""
     queries = queries.select("query").filter("query is not null").distinct()
-    exact = titles.groupBy(F.col("title").alias("query")).agg(F.min("page_id").alias("page_id"))
-    one = queries.join(exact, "query").select("query", "page_id", F.col("query").alias("matched"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("step"))
-    rest = queries.join(one.select("query"), "query", "left_anti")
+    exact = titles.groupBy(F.col("title").alias("query")).agg(F.min("page_id").alias("exact_id"))
     normal = titles.groupBy(X.normal_title(F.col("title")).alias("normal")).agg(F.min(F.struct("page_id", "title")).alias("t"))
-    two = rest.withColumn("normal", X.normal_title(F.col("query"), stripped=True)).join(normal, "normal").select("query", F.col("t.page_id").alias("page_id"), F.col("t.title").alias("matched"), F.lit(None).cast("double").alias("score"), F.lit(2).alias("step"))
-    rest = rest.join(two.select("query"), "query", "left_anti")
-    near = bm25(rest, titles, limit).withColumn("likeness", wratio_column("query", "title"))
-    rank = Window.partitionBy("query").orderBy(F.desc("likeness"), F.abs(F.length("title") - F.length("query")), F.desc("score"), "page_id")
-    three = near.withColumn("r", F.row_number().over(rank)).filter("r = 1").select("query", "page_id", F.col("title").alias("matched"), F.round("likeness", 6).alias("score"), F.lit(3).alias("step"))
-    found = one.unionByName(two).unionByName(three)
-    none = queries.join(found.select("query"), "query", "left_anti").select("query", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("matched"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("step"))
-    return found.unionByName(none)
+    looked_up = queries.join(exact, "query", "left").withColumn("normal", X.normal_title(F.col("query"), stripped=True)).join(normal, "normal", "left")
+    step = F.when(F.col("exact_id").isNotNull(), 1).when(F.col("t").isNotNull(), 2)
+    plain = written(looked_up.select("query", step.alias("step"), F.coalesce("exact_id", "t.page_id").alias("page_id"), F.when(step == 1, F.col("query")).otherwise(F.col("t.title")).alias("matched")))
+    near = bm25(plain.filter("step is null").select("query"), titles, limit).withColumn("likeness", wratio_column("query", "title"))
+    likest = F.struct("likeness", -F.abs(F.length("title") - F.length("query")), "score", -F.col("page_id"))
+    best = near.groupBy("query").agg(F.max_by(F.struct("page_id", "title", "likeness"), likest).alias("b"))
+    return plain.join(best, "query", "left").select(
+        "query", F.coalesce("page_id", "b.page_id").alias("page_id"), F.coalesce("matched", "b.title").alias("matched"), F.round("b.likeness", 6).alias("score"), F.coalesce("step", F.when(F.col("b").isNotNull(), 3).otherwise(0)).alias("step")
+    )
 
 
 def process_traces(traces: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -31,6 +31,42 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
     )
 
 
+_stored: dict[tuple[str, str], Graph] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The derived graph with its mentions and redirect ends as tables, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = derived_graph(spark, sf_dir).stored()
+    return _stored[key]
+
+
+def boxed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Every document as an article of two sections: an infobox that holds a template and a lead; a heading line with the whole text, and a second infobox."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text", "lang", "source")
+    paragraph = lambda s, p, text: F.struct(F.lit(s).alias("sec_i"), F.lit(p).alias("para_i"), text.alias("text"))
+    parts = F.array(
+        paragraph(0, 0, F.concat(F.lit("{{Infobox a|{{b|"), F.col("lang"), F.lit("}}|c}}"))), paragraph(0, 1, F.col("lang")),
+        paragraph(1, 0, F.concat(F.lit("== "), F.col("source"), F.lit(" ==\n"), F.col("text"))), paragraph(1, 1, F.concat(F.lit("{{Infobox d|"), F.col("source"), F.lit("}} tail"))),
+    )
+    paragraphs = docs.select("page_id", F.explode(parts).alias("p")).select("page_id", "p.*")
+    none = docs.filter("false").select("page_id", F.col("page_id").alias("target"))
+    return Graph(
+        articles=docs.select("page_id", F.concat(F.lit("Doc "), F.col("page_id")).alias("title")), sections=paragraphs.select("page_id", "sec_i").distinct(), paragraphs=paragraphs,
+        links=none.select("page_id", F.lit(0).alias("sec_i"), F.lit(0).alias("para_i"), "target"), redirects=none,
+    )
+
+
+def derived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of wikitext: every document with links by title, by a title in other white space and to no page; every 50th redirects to the one before it."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    text = F.concat(F.col("text"), F.lit("\n\n== links ==\n\nsee [[Doc "), (F.col("doc_id") * 7 + 3) % n, F.lit("|this]] and [[Doc_"), (F.col("doc_id") * 3 + 1) % n, F.lit("#top]] and [[No page]]"))
+    redirect = F.when(F.col("doc_id") % 50 == 49, F.concat(F.lit("Doc_"), F.col("doc_id") - 1))
+    return docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("Doc_"), F.col("doc_id")).alias("title"), redirect.alias("redirect"), text.alias("text"))
+
+
 #: The same tables for DuckDB.
 SQL = """
 lines AS (SELECT doc_id, i - 1 AS li, parts[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) WHERE trim(parts[i], ' ') <> ''),

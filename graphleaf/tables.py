@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,8 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = written_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended first
+            return
