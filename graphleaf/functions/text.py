@@ -94,10 +94,16 @@ def infoboxes(text: Column) -> Column:
 
     def spanned(rest: Column) -> Column:
         parts = F.split(rest, r"\}\}")
-        counted = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(1), lambda a, p: a + opens(p)))
-        ends = F.filter(F.transform(counted, lambda c, i: F.when((c == i + 1) & (i + 1 < F.size(parts)), i + 1)), lambda k: k.isNotNull())
-        first = F.try_element_at(ends, F.lit(1))
-        return F.when(first.isNotNull(), F.concat(F.lit(INFOBOX), F.array_join(F.slice(parts, 1, first), "}}"), F.lit("}}")))
+
+
+        def further(a: Column, part: Column) -> Column:
+            opened, closed = a["opened"] + opens(part), a["closed"] + 1
+            ends_here = (a["first"] == 0) & (opened == closed) & (closed < F.size(parts))
+            return F.struct(opened.alias("opened"), closed.alias("closed"), F.when(ends_here, closed).otherwise(a["first"]).alias("first"))
+
+        start = F.struct(F.lit(1).alias("opened"), F.lit(0).alias("closed"), F.lit(0).alias("first"))
+        first = F.aggregate(parts, start, further, lambda a: a["first"])
+        return F.when(first > 0, F.concat(F.lit(INFOBOX), F.array_join(F.slice(parts, 1, first), "}}"), F.lit("}}")))
 
     starts = F.sequence(F.lit(2), F.size(pieces))
     rests = F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), INFOBOX))

@@ -171,14 +171,24 @@ def matched_entries(index: DataFrame, titles: DataFrame | None = None, page_ids:
 
 def require_all(wanted: DataFrame, found: DataFrame, key: str) -> None:
     """Raise LookupError with the first twenty wanted keys that were not found."""
-    missing = [r[0] for r in wanted.select(key).distinct().join(found.select(key), key, "left_anti").orderBy(key).limit(20).collect()]
-    if missing:
-        raise LookupError(f"not found: {missing}")
+    lost = [r[0] for r in missing(wanted, found, key).orderBy(key).limit(20).collect()]
+    if lost:
+        raise LookupError(f"not found: {lost}")
+
+
+def repeated(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """``key`` and ``n`` of the pages that occur more than once."""
+    return pages.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The wanted keys that were not found, each once."""
+    return wanted.select(key).distinct().join(found.select(key), key, "left_anti")
 
 
 def require_unique(pages: DataFrame, key: str = "page_id") -> None:
     """Raise ValueError if a page occurs twice."""
-    twice = [r[0] for r in pages.groupBy(key).count().filter("count > 1").limit(20).collect()]
+    twice = [r[0] for r in repeated(pages, key).limit(20).collect()]
     if twice:
         raise ValueError(f"more than one page for {twice}")
 

@@ -17,7 +17,7 @@ def test_query_matches_its_sql(spark, sf, tmp_path, name):
         assert spark.read.parquet(str(tmp_path / "out")).columns
         return
     c = duckdb.connect()
-    for t in ("part", "orders", "events", "documents", "embeddings", "conversations", "labels", "benchmark"):
+    for t in ("part", "orders", "events", "documents", "embeddings", "conversations", "labels", "benchmark", "customer"):
         c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     c.execute(f"create table expected as {graph_queries.ORACLES[name]}")
     c.execute(f"create table got as select * from read_parquet('{tmp_path}/out/*.parquet')")

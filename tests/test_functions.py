@@ -92,6 +92,30 @@ def test_calculate_column(spark):
     assert values(spark, ["1+1", "nope(", None], calculate_column) == ["2", None, None]
 
 
+def common_by_table(a, b):
+    """Longest common subsequence by the usual table."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[-1]))
+        rows.append(row)
+    return rows[-1][-1]
+
+
+@given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
+def test_likeness_by_a_table(a, b):
+    plain = lambda x, y: 200 * common_by_table(x, y) / (len(x) + len(y)) if x or y else 100
+    assert ratio(a, b) == pytest.approx(plain(a, b))
+    if a and b:
+        short, long = sorted((a, b), key=len)
+        windows = {long[i:j] for i in range(len(long)) for j in range(i + 1, min(len(long), i + len(short)) + 1) if j - i == len(short) or i == 0 or j == len(long)}
+        best = max(plain(short, w) for w in windows)
+        if len(a) == len(b):
+            best = max(best, max(plain(long, short[i:j]) for i in range(len(short)) for j in range(i + 1, len(short) + 1) if i == 0 or j == len(short)))
+        assert partial_ratio(a, b) == pytest.approx(best)
+
+
 def test_wratio():
     assert wratio("abc", "abc") == 100 and wratio("", "a") == 0 and wratio(None, "a") == 0
     assert ratio("this is a test", "this is a test!") == pytest.approx(96.551724)
