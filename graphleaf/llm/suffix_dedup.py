@@ -13,7 +13,7 @@ Equal texts are one text with a count from the outset.
 
 Suffix arrays. Segments are dealt by anchor to shards; the segments of an anchor that has
 very many are split over several. A shard sorts the suffixes of its segments by
-Larsson-Sadakane refinement: first by eight bytes, then only groups that are still tied,
+Larsson-Sadakane refinement: first by seven bytes, then only groups that are still tied,
 by the rank of the suffix as far ahead as they are known to agree. Kasai's rule, that a
 suffix shares at least one byte less with its neighbour than its predecessor did, gives
 the common prefixes of neighbours, for many stretches of text at once. Starts whose
@@ -38,7 +38,7 @@ from graphleaf.llm.common import GRAMS, ROLL_A, ROLL_B, U64, blocks, in_small_ba
 
 LENGTH, GRAM = 400, 64
 #: Bytes of segments that are sorted together, and segments of one anchor that one shard takes.
-SHARD_BYTES, SHARD_SEGMENTS = 1 << 20, 1000
+SHARD_BYTES, SHARD_SEGMENTS = 1 << 19, 1000
 #: Starts of a long text that are looked at together; a place takes 24 bits of a key.
 PART_BYTES = 1 << 22
 #: Rows that are Python objects at one time.
@@ -96,15 +96,16 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.ndarray(n, ">u8", padded, 0, (1,)).astype(np.uint64)
     left = np.minimum(ends - np.arange(n), 8).astype(np.uint64)
-    key &= ~U64(0) << (U64(8) * (U64(8) - left)) if n else key
-    order = np.lexsort((left, key))
+    key = (key & (~U64(0) << (U64(8) * (U64(8) - np.minimum(left, U64(7)))))) | left  # seven bytes, and how many there are
+    order = np.argsort(key)
     new = np.ones(n, bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] != left[order][:-1])
+    new[1:] = key[order][1:] != key[order][:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
-    known = 8
+    known = 7
     tied = _tied(new)
+    order[tied] = order[tied][np.argsort(head[tied] * n + order[tied])]
     while known < depth and len(tied):
         at = order[tied]
         ahead = at + known
@@ -160,7 +161,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, most:
 def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LENGTH, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For all starts of all segments, one after another: segment, start, whether it repeats here, whether an earlier start here is equal, and its class (the place in the text of one member).
 
-    ``rank``: the order in which the segments come first in the corpus; by default that of the list."""
+    ``rank``: the order in which the segments come first in the corpus; without it no start counts as later."""
     text = np.frombuffer(b"".join(segments), np.uint8)
     size = np.array([len(s) for s in segments], np.int64)
     past = np.cumsum(size)
@@ -177,9 +178,10 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LEN
     weight = np.bincount(group, weights=np.asarray(counts)[which[order]])
     more = np.empty(len(text), bool)
     more[order] = (weight > 1)[group]
-    when = (which if rank is None else np.asarray(rank)[which]) * (int(size.max()) + 1) + start
-    later = np.empty(len(text), bool)
-    later[order] = when[order] > np.minimum.reduceat(when[order], fresh)[group]
+    later = np.zeros(len(text), bool)
+    if rank is not None:
+        when = (rank[which] * (int(size.max()) + 1) + start)[order]
+        later[order] = when > np.minimum.reduceat(when, fresh)[group]
     use = np.flatnonzero(ends - np.arange(len(text)) >= length)
     return which[use], start[use], more[use], later[use], class_of[use]
 
@@ -228,13 +230,14 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(released(run), "anchor long, digest long, copies long, split int, splits int, doc long, node binary, first int, segment binary")
 
 
-def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
+def _sorted_shards(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """For each segment its starts that repeat and those that come later than an equal one; for segments of split anchors also the digests of all starts, to be merged."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[8] for r in rows]
-        rank = np.empty(len(rows), np.int64)
-        rank[sorted(range(len(rows)), key=lambda i: (rows[i][5] is not None, rows[i][5], rows[i][6], rows[i][7]))] = np.arange(len(rows))
+        rank = np.empty(len(rows), np.int64) if keep_first else None
+        if keep_first:
+            rank[sorted(range(len(rows)), key=lambda i: (rows[i][5] is not None, rows[i][5], rows[i][6], rows[i][7]))] = np.arange(len(rows))
         which, start, more, later, class_of = repeated_starts(texts, np.array([r[2] for r in rows]), length, rank)
         cut = np.searchsorted(which, np.arange(len(rows) + 1)).tolist()
         spans, late = ([[{"first": a, "past": b} for a, b in _intervals(flags[x:y])] for x, y in zip(cut[:-1], cut[1:], strict=True)] for flags in (more, later))
@@ -426,7 +429,7 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     by_text = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "splits", "doc", "first", "n")).alias("wanted"))
     touched = each.join(wanted.select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("node").distinct()
     texts = materialise(source.join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    found = materialise(_sorted_shards(_segments(texts.join(by_text, "node").select("node", "text", "wanted"), length), length))
+    found = materialise(_sorted_shards(_segments(texts.join(by_text, "node").select("node", "text", "wanted"), length), length, keep_first))
     spans = found.filter(F.size("spans") > 0).select("anchor", "digest", "doc", "node", "first", "spans", "later").unionByName(_merged(found))
     spans = spans.select("anchor", "digest", F.struct("doc", "node", "first").alias("at"), "spans", "later")
     here = F.struct("doc", "node", "first")
