@@ -24,6 +24,16 @@ MOST_OFFSETS = 50_000
 MATCHES = "ex_num long, question string, sources array<struct<page_id: string, title: string>>"
 
 
+def index_files(a: argparse.Namespace, dump: str) -> list[str]:
+    """The index named, or with ``-`` those beside the dump or the dumps of the folder."""
+    if a.index != "-":
+        return [a.index]
+    found = [index for _, index in D.index_pairs(dump)]
+    if not found:
+        raise SystemExit(f"no index beside {dump}: make one with build_index")
+    return found
+
+
 def build_index(spark: SparkSession, a: argparse.Namespace) -> None:
     D.index_lines(spark, a.dump).write.mode("overwrite").text(a.output)
 
@@ -41,7 +51,7 @@ def wanted_pages(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None
 def wiki2parquet(spark: SparkSession, a: argparse.Namespace) -> None:
     """Nodes and edges of a dump, or of the chosen pages of it with stubs for what they refer to."""
     X.check_chunking(a.chunk_size, a.chunk_overlap)
-    index = D.read_index(spark, a.index)
+    index = D.read_index(spark, index_files(a, a.dump))
     ids, pages = wanted_pages(spark, a), None
     if a.title or ids is not None:
         titles = spark.createDataFrame([(t,) for t in a.title], "title string") if a.title else None
@@ -71,12 +81,51 @@ def materialize_mentions(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def load_traces(spark: SparkSession, a: argparse.Namespace) -> None:
-    titles = D.read_index(spark, a.index).select("page_id", "title")
+    titles = D.read_index(spark, index_files(a, a.dump)).select("page_id", "title")
     matches, corrections, unmatched = S.process_traces(read_traces(spark, a.traces), titles, a.fts_limit)
     matches.write.mode("overwrite").json(a.matches)
     corrections.write.mode("overwrite").option("header", True).csv(a.corrections)
     if a.unmatched_csv:
         unmatched.write.mode("overwrite").option("header", True).csv(a.unmatched_csv)
+        unmatched = spark.read.schema("ex_num long, title string").option("header", True).csv(a.unmatched_csv)
+    row = S.trace_counts(spark.read.schema(MATCHES).json(a.matches), spark.read.option("header", True).csv(a.corrections), unmatched).first()
+    print(f"Results: {row['results']}\nSources: {row['sources']}\nCorrections: {row['corrections']}\nUnmatched: {row['unmatched']}")
+
+
+def humaneval_corrections(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Each corrections file with the decisions on its rows, beside it as ``...-humaneval.csv``."""
+    decisions = spark.read.option("header", True).csv(a.decisions)
+    for path in a.files:
+        rows = E.decided_rows(spark.read.option("header", True).csv(path), decisions)
+        rows.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/').removesuffix('.csv')}-humaneval.csv")
+
+
+def join_batches(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The result files of one experiment as one, in order of file name."""
+    rows = K.read_results(spark, a.files)
+    if rows.select("file").distinct().limit(2).count() < 2:
+        raise SystemExit("at least two files are needed")
+    E.merge_batches(rows).drop("file").write.mode("overwrite").option("header", True).option("escape", '"').csv(a.output)
+
+
+def merge_experiments(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Failed rows of a run replaced by those of its repeat."""
+    first, again = (K.read_results(spark, p).drop("file") for p in (a.original, a.repeats))
+    merged = E.merge_runs(first, again, ["agent_answer", "crag_score", "crag_v3_score"], success_only=a.success_only)
+    merged.write.mode("overwrite").option("header", True).option("escape", '"').csv(a.output)
+
+
+def embed_parquet(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Node shards with embeddings in another folder; shards that are there are skipped."""
+
+    def embedder():
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(a.model)
+        return lambda texts: model.encode(texts, batch_size=a.batch_size).tolist()
+
+    written, skipped = K.embed_shards(spark, a.files, a.out_dir, getattr(a, "embedder", embedder), a.batch_size, a.prefix)
+    print(f"Written: {written}\nSkipped: {skipped}")
 
 
 def filter_by_humaneval(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -139,8 +188,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chunk-overlap", type=int, default=X.CHUNK_OVERLAP)
     add(materialize_mentions, "input", "output")
     p = add(load_traces, "index", "traces", "matches", "corrections")
+    p.add_argument("--dump", help="with index -: the dump or folder of dumps that the indexes are beside")
     p.add_argument("--fts-limit", type=int, default=S.FTS_LIMIT)
     p.add_argument("--unmatched-csv")
+    add(humaneval_corrections, "decisions").add_argument("files", nargs="+")
+    add(join_batches, "files", "output")
+    add(merge_experiments, "original", "repeats", "output").add_argument("--success-only", action="store_true")
+    p = add(embed_parquet)
+    p.add_argument("files", nargs="+")
+    p.add_argument("--model", required=True)
+    p.add_argument("--batch-size", type=int, default=256)
+    p.add_argument("--prefix", default="")
+    p.add_argument("--out-dir", required=True)
     add(filter_by_humaneval, "decisions", "matches", "output")
     add(filter_questions, "matches", "output").add_argument("--release-jsonl", required=True)
     add(list_namespaces, "dump")

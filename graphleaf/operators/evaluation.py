@@ -51,26 +51,39 @@ def removal_totals(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def replay_decisions(corrections: DataFrame, decisions: DataFrame) -> DataFrame:
-    """original, matched, score, accept, files of corrections (with ``file``) that were decided before."""
+    """original, matched, score, accept, files of corrections (with ``file``) that were decided before; a row for each pair."""
     pairs = corrections.groupBy("original", "matched").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("file")).alias("files"))
     decided = decisions.groupBy("original", "matched").agg(F.max("accept").alias("accept"))
     return pairs.join(decided, ["original", "matched"]).select("original", "matched", "score", "accept", "files")
 
 
+def decided_rows(corrections: DataFrame, decisions: DataFrame) -> DataFrame:
+    """original, matched, score, accept: every correction row with the decision on its pair.
+
+    A pair without a decision raises RecordError."""
+    decided = decisions.groupBy("original", "matched").agg(F.max("accept").alias("accept"))
+    rows = corrections.join(decided, ["original", "matched"], "left").select("original", "matched", "score", "accept")
+    open_pairs = rows.filter("accept is null").select("original", "matched").distinct().limit(20).collect()
+    if open_pairs:
+        raise RecordError(f"corrections without a decision: {[tuple(r) for r in open_pairs]}")
+    return rows
+
+
 def batches(questions: DataFrame, rows: int = BATCH_ROWS, order: str = "pos") -> DataFrame:
     """Add ``batch``: 0 for the first ``rows`` positions (gapless from 0), and so on."""
     return questions.withColumn("batch", F.floor(F.col(order) / rows).cast("int"))
 
 
-def merge_runs(originals: DataFrame, repeats: DataFrame, not_null: list[str], settings: str = "agent_settings", key: tuple[str, ...] = ("query", "ex_num"), success_only: bool = False) -> DataFrame:
+def merge_runs(originals: DataFrame, repeats: DataFrame, not_null: list[str], settings: tuple[str, ...] = ("agent_settings", "models"), key: tuple[str, ...] = ("query", "ex_num"), success_only: bool = False) -> DataFrame:
     """Rows of both runs with all of ``not_null`` present.
 
-    Raises AssertionError if the runs' settings differ and KeyError if a key occurs twice."""
+    Raises AssertionError if the runs differ in a column of ``settings`` that they have, and KeyError if a key occurs twice."""
     kept = originals.dropna(subset=not_null).unionByName(repeats.dropna(subset=not_null))
     if success_only:
-        kept = kept.filter("success")
-    if kept.select(settings).distinct().limit(2).count() > 1:
-        raise AssertionError("the runs have different settings")
+        kept = kept.filter(F.col("success").cast("boolean"))
+    for column in settings:
+        if column in kept.columns and kept.select(column).distinct().limit(2).count() > 1:
+            raise AssertionError(f"the runs differ in {column}")
     twice = kept.groupBy(*key).count().filter("count > 1").limit(1).collect()
     if twice:
         raise KeyError(f"{dict(zip(key, twice[0], strict=False))} occurs more than once")
@@ -89,6 +102,31 @@ def token_usage(runs: DataFrame) -> DataFrame:
     return each.groupBy("ex_num", F.coalesce("m.name", F.lit("")).alias("tool")).agg(F.count("*").alias("calls"), F.coalesce(F.sum("m.usage.total_tokens"), F.lit(0)).alias("tokens"))
 
 
+def agent_records(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``token_usage``, ``function_calls``, ``agent_reasoning`` (JSON lists) and ``model`` of its ``messages``.
+
+    ``messages`` is a JSON array as agents log it; only those of type ``ai`` count: their usage_metadata,
+    the items of their content by type, and the first model_name. Messages that cannot be read give empty lists."""
+    kind = "array<struct<type: string, content: array<string>, usage_metadata: string, response_metadata: struct<model_name: string>>>"
+    spoken = F.filter(F.coalesce(F.from_json("messages", kind), F.from_json(F.lit("[]"), kind)), lambda m: m["type"] == "ai")
+    items = F.flatten(F.transform(spoken, lambda m: F.coalesce(m["content"], F.expr("cast(array() AS array<string>)"))))
+    as_list = lambda values: F.concat(F.lit("["), F.array_join(values, ",", "null"), F.lit("]"))
+    of_type = lambda name: as_list(F.filter(items, lambda i: F.get_json_object(i, "$.type") == name))
+    models = F.filter(F.transform(spoken, lambda m: m["response_metadata"]["model_name"]), lambda n: n.isNotNull())
+    return runs.withColumns({"token_usage": as_list(F.transform(spoken, lambda m: m["usage_metadata"])), "function_calls": of_type("function_call"), "agent_reasoning": of_type("reasoning"), "model": F.try_element_at(models, F.lit(1))})
+
+
+def result_rows(runs: DataFrame, settings: str, evaluator: str, embeddings: str) -> DataFrame:
+    """Result rows (``RESULT_SCHEMA``) of judged runs: ``agent_records`` with ex_num, query, expected_answer, decomposition, the agent's answer and the scores; absent columns are null.
+
+    ``error`` is a JSON list; a run succeeded if it is empty."""
+    named = {f.split()[0]: f.split()[1] for f in RESULT_SCHEMA.split(", ")}
+    models = F.to_json(F.struct(F.col("model").alias("generator"), F.lit(evaluator).alias("evaluator_model"), F.lit(embeddings).alias("evaluator_embeddings")))
+    error = F.coalesce(F.col("error"), F.lit("[]")) if "error" in runs.columns else F.lit("[]")
+    made = {"error": error, "success": error == "[]", "agent_settings": F.lit(settings), "models": models}
+    return runs.select(*[(made[c] if c in made else F.col(c) if c in runs.columns else F.lit(None)).cast(t).alias(c) for c, t in named.items()])
+
+
 def answerable_share(summary: DataFrame) -> DataFrame:
     """tag, percentage of answerable questions."""
     return summary.select("tag", (F.col("answerable") / F.col("total") * 100).alias("percentage"))

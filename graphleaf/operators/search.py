@@ -89,3 +89,10 @@ def process_traces(traces: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT)
     corrections = found.filter("step = 3").select(F.col("query").alias("original"), "matched", "score")
     unmatched = joined.filter("step = 0").select("ex_num", F.col("query").alias("title"))
     return matches, corrections, unmatched
+
+
+def trace_counts(matches: DataFrame, corrections: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """results, sources, corrections, unmatched: one row for the three tables of ``process_traces``."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    questions = matches.agg(F.count("*").alias("results"), F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("sources"))
+    return questions.join(count(corrections, "corrections")).join(count(unmatched, "unmatched"))  # one row with one row

@@ -495,3 +495,57 @@ def turns_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").select(F.col("ts").alias("logged_at"), F.col("event_type").alias("event"))
     return events_by_minute(rows)
+
+
+@query("SELECT conv_id AS ex_num, text AS query, CASE WHEN conv_id % 5 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM conversations WHERE turn = 0 AND conv_id % 7 <> 3")
+def merge_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``merge_runs``, rows whose judging failed left out; the runs agree in settings and models."""
+    rows = _questions(spark, sf_dir).select("ex_num", F.col("question").alias("query"), F.lit("{}").alias("agent_settings"), F.lit("m").alias("models"), (F.col("ex_num") % 7 != 3).alias("success"))
+    again = F.col("ex_num") % 5 == 0
+    first = rows.withColumn("score", F.when(~again, 0.5))
+    return E.merge_runs(first, rows.filter(again).withColumn("score", F.lit(1.0)), ["score"], success_only=True).select("ex_num", "query", "score")
+
+
+@query("SELECT p_name AS original, p_brand AS matched, p_retailprice AS score, CASE WHEN length(p_name) % 2 = 0 THEN 'True' ELSE 'False' END AS accept FROM part")
+def decided_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the correction files with its decision."""
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("original"), F.col("p_brand").alias("matched"), F.col("p_retailprice").alias("score"))
+    decisions = part.select("original", "matched", F.when(F.length("original") % 2 == 0, "True").otherwise("False").alias("accept")).distinct()
+    return E.decided_rows(part, decisions)
+
+
+_SPOKEN = "'[' || coalesce(string_agg({}, ',' ORDER BY turn) FILTER (role = 'assistant'), '') || ']'"
+_USAGE, _CALL = "'{\"total_tokens\":' || turn || '}'", "'{\"type\":\"function_call\",\"name\":\"t' || turn || '\"}'"
+
+
+@query(f"SELECT conv_id AS ex_num, {_SPOKEN.format(_USAGE)} AS token_usage, {_SPOKEN.format(_CALL)} AS function_calls, '[]' AS agent_reasoning, max('model') FILTER (role = 'assistant') AS model FROM conversations GROUP BY 1")
+def agent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as agent logs: what each assistant turn used and called."""
+    call = F.array(F.struct(F.lit("function_call").alias("type"), F.concat(F.lit("t"), F.col("turn")).alias("name")))
+    message = F.struct("turn", F.when(F.col("role") == "assistant", "ai").otherwise("human").alias("type"), call.alias("content"), F.struct(F.col("turn").alias("total_tokens")).alias("usage_metadata"), F.struct(F.lit("model").alias("model_name")).alias("response_metadata"))
+    runs = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("ex_num")).agg(F.to_json(F.sort_array(F.collect_list(message))).alias("messages"))
+    return E.agent_records(runs).drop("messages")
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every part's title as a question with a link to it and a link to no page."""
+    titles = _titles(spark, sf_dir)
+    link = lambda c: F.concat(F.lit("https://x.org/wiki/"), F.replace(c, F.lit(" "), F.lit("%20")))
+    url = F.concat(link(F.col("title")), F.lit("\n"), link(F.concat(F.lit("zzz"), F.col("page_id"))))
+    return S.process_traces(titles.select(F.col("page_id").alias("ex_num"), F.concat(F.lit("q "), F.col("page_id")).alias("question"), url.alias("source_url")), titles)
+
+
+@query(f"WITH {_TITLES} SELECT page_id AS ex_num, 'q ' || page_id AS question, (SELECT min(u.page_id) FROM titles u WHERE u.title = t.title)::VARCHAR AS source, title FROM titles t")
+def trace_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches, _, _ = _traces(spark, sf_dir)
+    return matches.select("ex_num", "question", F.explode("sources").alias("s")).select("ex_num", "question", F.col("s.page_id").alias("source"), F.col("s.title").alias("title"))
+
+
+@query("SELECT p_partkey AS ex_num, 'zzz' || p_partkey AS title FROM part")
+def trace_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traces(spark, sf_dir)[2]
+
+
+@query("SELECT count(*)::BIGINT AS results, count(*)::BIGINT AS sources, 0::BIGINT AS corrections, count(*)::BIGINT AS unmatched FROM part")
+def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.trace_counts(*_traces(spark, sf_dir))

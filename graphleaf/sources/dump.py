@@ -23,17 +23,30 @@ from graphleaf.functions import text as X
 from graphleaf.operators.graph import Graph
 from graphleaf.sources.wikitext import parsed_pages
 
-STREAMS_IN_PARTITION = 64
+#: Bytes of a dump whose streams one task reads, or streams given by offset.
+RANGE_BYTES, STREAMS_IN_PARTITION = 32 << 20, 64
 _STREAM = re.compile(rb"BZh[1-9]1AY&SY")
 _PAGE = re.compile(rb"<page>(.*?)(?:<revision>|</page>)", re.S)
 _ID, _TITLE = re.compile(rb"<id>(\d+)</id>"), re.compile(rb"<title>(.*?)</title>", re.S)
 PAGE_SCHEMA = "offset long, position int, page_id long, title string, ns int, redirect string, timestamp string, text string"
 
 
-def stream_offsets(path: str) -> list[int]:
-    """Where the streams of a bz2 file begin."""
+def stream_offsets(path: str, first: int = 0, past: int | None = None) -> list[int]:
+    """Where the streams of a bz2 file begin, of those from ``first`` to ``past``."""
     with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-        return [m.start() for m in _STREAM.finditer(data)]
+        stop = len(data) if past is None else past
+        return [m.start() for m in _STREAM.finditer(data, first, min(len(data), stop + 9)) if m.start() < stop]
+
+
+def _whole_stream(f) -> bytes:
+    """The decompressed stream that begins where the file is."""
+    stream, out = bz2.BZ2Decompressor(), []
+    while not stream.eof:
+        block = f.read(1 << 18)
+        if not block:
+            raise EOFError("a stream has no end")
+        out.append(stream.decompress(block))
+    return b"".join(out)
 
 
 def header_pages(data: bytes) -> list[tuple[int, str]]:
@@ -78,9 +91,11 @@ class MultistreamDump(DataSource):
         return _StreamReader(self.options["path"], self.options.get("text", "true") != "false", None if offsets is None else {int(o) for o in offsets.split(",") if o})
 
 
-class _Streams(InputPartition):
-    def __init__(self, path: str, spans: list[tuple[int, int]]):
-        self.path, self.spans = path, spans
+class _Range(InputPartition):
+    """The streams of a dump that begin in a range of bytes, or at the offsets given."""
+
+    def __init__(self, path: str, first: int, past: int, offsets: list[int] | None = None):
+        self.path, self.first, self.past, self.offsets = path, first, past, offsets
 
 
 class _StreamReader(DataSourceReader):
@@ -92,18 +107,23 @@ class _StreamReader(DataSourceReader):
         for p in sorted(Path(self.path).glob("*.bz2")) if Path(self.path).is_dir() else [Path(self.path)]:
             if "index" in p.name:
                 continue
-            starts = stream_offsets(str(p))
-            spans = [x for x in zip(starts, [*starts[1:], p.stat().st_size], strict=True) if self.offsets is None or x[0] in self.offsets]
-            out += [_Streams(str(p), spans[k : k + STREAMS_IN_PARTITION]) for k in range(0, len(spans), STREAMS_IN_PARTITION)]
+            if self.offsets is not None and not Path(self.path).is_dir():  # known to be this file's
+                wanted = sorted(self.offsets)
+                out += [_Range(str(p), 0, 0, wanted[k : k + STREAMS_IN_PARTITION]) for k in range(0, len(wanted), STREAMS_IN_PARTITION)]
+                continue
+            out += [_Range(str(p), at, at + RANGE_BYTES) for at in range(0, p.stat().st_size, RANGE_BYTES)]
         return out
 
-    def read(self, partition: _Streams | None) -> Iterator[tuple]:
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
         if partition is None:  # there are no streams
             return
+        starts = partition.offsets
+        if starts is None:
+            starts = [s for s in stream_offsets(partition.path, partition.first, partition.past) if self.offsets is None or s in self.offsets]
         with open(partition.path, "rb") as f:
-            for start, end in partition.spans:
+            for start in starts:
                 f.seek(start)
-                data = bz2.decompress(f.read(end - start))
+                data = _whole_stream(f)
                 if self.text:
                     for k, (page, title, ns, redirect, stamp, text) in enumerate(pages_of(data)):
                         yield start, k, page, title, ns, redirect, stamp, text
@@ -144,7 +164,7 @@ def parse_index(lines: DataFrame) -> DataFrame:
     return ok.select("file", parts[0].cast("long").alias("offset"), parts[1].cast("long").alias("page_id"), X.canon_title(parts[2]).alias("title"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``parse_index`` of text or bz2 index files; ``file`` is the path."""
     return parse_index(spark.read.text(path).withColumn("file", F.col("_metadata.file_path")))
 
@@ -200,10 +220,13 @@ def namespaces(pages: DataFrame) -> DataFrame:
 
 
 def index_pairs(folder: str) -> list[tuple[str, str]]:
-    """(dump, index) of each dump in ``folder`` with an index beside it: ``…multistream<part>.xml….bz2`` and ``…multistream-index<part>.txt….bz2``."""
+    """(dump, index) of each dump in ``folder``, or of the one dump that it is, with an index beside it.
+
+    ``…multistream<part>.xml….bz2`` goes with ``…multistream-index<part>.txt….bz2``, any other ``….xml.bz2`` with ``…-index.txt.bz2``."""
     out = []
-    for dump in sorted(Path(folder).glob("*multistream*.xml*.bz2")):
-        stem = dump.name.replace("multistream", "multistream-index", 1).replace(".xml", ".txt", 1)
+    for dump in sorted(Path(folder).glob("*.xml*.bz2")) if Path(folder).is_dir() else [Path(folder)]:
+        stem = dump.name.replace("multistream", "multistream-index", 1) if "multistream" in dump.name else dump.name.replace(".xml", "-index.xml", 1)
+        stem = stem.replace(".xml", ".txt", 1)
         for name in (stem, stem.removesuffix(".bz2")):
             if (dump.parent / name).exists():
                 out.append((str(dump), str(dump.parent / name)))

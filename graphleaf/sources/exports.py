@@ -54,8 +54,8 @@ def read_shards(spark: SparkSession, folder: str, prefix: str, columns: dict[str
     return rows.select(*[F.col(f"`{n}`").alias(c) for c, n in columns.items()])
 
 
-def embedded_nodes(nodes: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 256) -> DataFrame:
-    """Add ``embedding`` (text of numbers parted by ``;``): titles of articles and texts of chunks if not blank, else null. ``embedder`` makes the model once in each worker task."""
+def embedded_nodes(nodes: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 256, prefix: str = "") -> DataFrame:
+    """Add ``embedding`` (text of numbers parted by ``;``): titles of articles and texts of chunks if not blank, else null. ``prefix`` is put before each. ``embedder`` makes the model once in each worker task."""
     marked = nodes.withColumn("_input", F.when((F.col("label") == "Article") & (X.strip(F.col("title")) != ""), F.col("title")).when((F.col("label") == "Chunk") & (X.strip(F.col("text")) != ""), F.col("text")))
 
     names = [*nodes.columns, "embedding"]
@@ -68,13 +68,34 @@ def embedded_nodes(nodes: DataFrame, embedder: Callable[[], Callable[[list[str]]
             out: list[str | None] = [None] * len(texts)
             for k in range(0, len(at), batch):
                 part = at[k : k + batch]
-                for i, vector in zip(part, model([texts[i] for i in part]), strict=True):
+                for i, vector in zip(part, model([prefix + texts[i] for i in part]), strict=True):
                     out[i] = ";".join(repr(float(x)) for x in vector)
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(out, pa.string())], names=names)
 
     return marked.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*nodes.dtypes, ("embedding", "string")]))
 
 
+def embed_shards(spark: SparkSession, shards: list[str], folder: str, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 256, prefix: str = "") -> tuple[int, int]:
+    """Write each node shard with its embeddings under its own name in ``folder``; numbers of shards written and skipped.
+
+    A shard that is there whole is skipped, so that a run that was cut short goes on where it stopped."""
+    jvm = spark.sparkContext._jvm
+    written = 0
+    for shard in shards:
+        name = shard.rstrip("/").rsplit("/", 1)[-1]
+        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            continue
+        rows = spark.read.parquet(shard)
+        if missing := [n for n in NODE_COLUMNS.values() if n not in rows.columns]:
+            raise ValueError(f"columns {missing} are missing in {shard}")
+        nodes = rows.select(*[F.col(f"`{n}`").alias(c) for c, n in NODE_COLUMNS.items()])
+        named = NODE_COLUMNS | {"embedding": EMBEDDING_COLUMN}
+        embedded_nodes(nodes, embedder, batch, prefix).select(*[F.col(c).alias(n) for c, n in named.items()]).write.mode("overwrite").parquet(f"{folder}/{name}")
+        written += 1
+    return written, len(shards) - written
+
+
 def token_counts(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], list[int]]], text_col: str = "text") -> DataFrame:
     """Add ``n_tokens``; ``encoder`` makes, once in each task, a function from texts to their token counts."""
 

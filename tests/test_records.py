@@ -31,18 +31,18 @@ def test_paragraph_topk_may_return_fewer(spark):
     assert rows(S.paragraph_topk(chunks, paragraphs, [1.0, 0.0], 2)) == [("p1", "x", "c0", 1.0)]
 
 
-def test_title_match_asks_every_title_for_the_likest_of_all(spark, tmp_path):
+def test_title_match_asks_for_the_likest_of_all(spark, tmp_path):
     """120 titles share the asked title's words and are closer in BM25; the likest one ranks after them."""
     from graphleaf.plans.queries import title_match
 
-    crowd = [(k, "red red tin box", "tin", 1) for k in range(100, 220)]
-    odd = [(7, "red old tin boxes and a long list of other words", "steel", 2)]
+    crowd = [(50 * k, "red red tin box", "tin", 1) for k in range(100, 220)]
+    odd = [(350, "red old tin boxes and a long list of other words", "steel", 2)]
     spark.createDataFrame(crowd + odd, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["query"]: r for r in title_match(spark, str(tmp_path)).collect()}
     title = "red old tin boxes and a long list of other words steel 2"
     assert {q: r["step"] for q, r in got.items() if "old" in q or "OLD" in q} == {title: 1, title.upper().replace(" ", "_"): 2}
-    assert got["red thing tin boxes and a long list of other words steel 2"]["page_id"] == 7
-    assert got["red thing tin box tin 1"]["page_id"] == 100 and sum(q.startswith("zzz") for q in got) == 121
+    assert got["red thing tin boxes and a long list of other words steel 2"]["page_id"] == 350
+    assert got["red thing tin box tin 1"]["page_id"] == 5000 and sum(q.startswith("zzz") for q in got) == 121
 
 
 def test_title_match_takes_the_likest_of_a_thousand(spark, tmp_path):
@@ -51,13 +51,13 @@ def test_title_match_takes_the_likest_of_a_thousand(spark, tmp_path):
     from graphleaf.plans.queries import title_match
 
     names = ["blue extraordinary lamp", "blue thinglamp"] + ["thing lamp blue green yellow orange purple"] * 60
-    parts = [(40 * k + 2, n, "x", 0) for k, n in enumerate(names)]
+    parts = [(50 * k + 50, n, "x", 0) for k, n in enumerate(names)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     query = "blue thing lamp x 0"
     likest = max(wratio(query, f"{n} x 0") for n in names)
     assert likest == wratio(query, "blue thinglamp x 0")
     got = {r["query"]: r for r in title_match(spark, str(tmp_path)).collect()}[query]
-    assert (got["page_id"], got["score"]) == (42, round(likest, 6))
+    assert (got["page_id"], got["score"]) == (100, round(likest, 6))
 
 
 def test_title_matching_steps(spark):
