@@ -5,7 +5,8 @@ copies stay together. A node is split along the metadata dimension in which its
 points are widest, at the weighted quantile that leaves each side the bytes of its
 shards. The quantiles of all nodes of a level are found together: a few rounds of
 weighted histograms, each ``BINS`` counts for a node, narrow the cut to a single
-coordinate. Only those histograms reach the driver.
+coordinate; the bin in which a cut lies is found where the histogram is. Nodes and cuts are
+small tables joined with the points by node, and a few numbers for each node reach the driver.
 
 A group above ``1 / (shards * HEAVY)`` of the bytes or rows cannot be cut around
 evenly. There are at most ``2 * shards * HEAVY`` such groups whatever the input;
@@ -15,9 +16,10 @@ each shard has left. A group larger than a shard's share is dealt row by row.
 
 from __future__ import annotations
 
+import heapq
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphleaf.llm.common import dense_rank_slots, materialise, table
@@ -27,6 +29,8 @@ BINS = 1 << BINS_LOG2
 #: Coordinates have BINS_LOG2 * ROUNDS bits: the upper half from the value, the lower half from the group's digest, so that equal values can be cut.
 HALF = BINS_LOG2 * ROUNDS // 2
 HEAVY = 32
+#: Levels of the tree between written tables of the points.
+LEVELS_HELD = 4
 
 
 def _dimensions() -> dict[str, Column]:
@@ -40,18 +44,6 @@ def _dimensions() -> dict[str, Column]:
     }
 
 
-def _cut(weights: dict[int, int], want: float) -> tuple[int, int]:
-    """The bin in which the running weight passes ``want``, and the weight before it."""
-    before = 0
-    last = 0
-    for b in sorted(weights):
-        if before + weights[b] > want:
-            return b, before
-        before += weights[b]
-        last = b
-    return last, before - weights.get(last, 0)
-
-
 def shard(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal ``docs`` into shards of nearly equal bytes.
 
@@ -60,7 +52,8 @@ def shard(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None
     size = UTF-8 bytes + 1, slots gapless from 0 within a shard.
 
     Null texts count as empty; null ids, languages and sources are values like any
-    other; repeated rows each keep a row of their own; an empty table gives no rows;
+    other; repeated rows each keep a row of their own, their slots in no order; texts may be
+    of any length, one above a shard's share fills a shard; an empty table gives no rows;
     other columns are ignored, ``lang`` and ``source`` may be missing."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     meta = [F.col(c).cast("string").alias(a) if c in docs.columns else F.lit(None).cast("string").alias(a) for c, a in (("lang", "lang"), ("source", "source"))]
@@ -83,13 +76,15 @@ def shard(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None
     is_heavy = (F.col("bytes") > heavy_bytes) | (F.col("rows") > heavy_rows)
     heavy = points.filter(is_heavy).select("digest", "bytes", "rows").orderBy(F.desc("bytes"), "digest").collect()  # at most 2 * n_shards * HEAVY
     load = [0.0] * n_shards
+    emptiest = [(0.0, k) for k in range(n_shards)]  # a heap
     goal = n_bytes / n_shards
     whole: list[tuple[bytearray, int]] = []
     spread: list[tuple[bytearray, int, int]] = []  # digest, shard, rows up to which the shard takes them
     for g in heavy:
         if g["bytes"] <= goal or g["rows"] == 1:
-            k = min(range(n_shards), key=load.__getitem__)
+            k = emptiest[0][1]
             load[k] += g["bytes"]
+            heapq.heapreplace(emptiest, (load[k], k))
             whole.append((g["digest"], k))
             continue
         one, given = g["bytes"] / g["rows"], 0
@@ -101,14 +96,11 @@ def shard(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None
                 spread.append((g["digest"], k, given))
         if given < g["rows"]:
             spread[-1] = (g["digest"], spread[-1][1], g["rows"])
+        emptiest = [(x, k) for k, x in enumerate(load)]
+        heapq.heapify(emptiest)
     light = points.filter(~is_heavy)
     left = [max(0.0, goal - x) for x in load]
-    nodes = _grow_tree(light, list(dims), left)
-
-    leaf = F.lit(0)
-    for node, (dim, cut, low, high) in sorted(nodes.items()):
-        leaf = F.when(leaf == node, F.when(F.col(dim) < F.lit(cut), F.lit(low)).otherwise(F.lit(high))).otherwise(leaf)
-    leaf_of = light.select("digest", (-leaf - F.lit(1)).alias("leaf"))
+    leaf_of = _grow_tree(light, list(dims), left)
     session = docs.sparkSession
     fixed = session.createDataFrame([(bytes(d), k, None) for d, k in whole] + [(bytes(d), k, n) for d, k, n in spread], "digest binary, shard int, upto long")
     plain = rows.join(F.broadcast(fixed.select("digest").distinct()), "digest", "left_anti")  # bounded: see is_heavy
@@ -129,46 +121,41 @@ def _dealt(rows: DataFrame, fixed: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(first), "digest").select("doc_id", "size", "text_crc32", part.cast("int").alias("shard"))
 
 
-def _grow_tree(light: DataFrame, dims: list[str], left: list[float]) -> dict[int, tuple[str, int, int, int]]:
-    """Inner nodes by number: dimension, cut (below goes to the first child), children. Leaves are -1 - shard."""
-    nodes: dict[int, tuple[str, int, int, int]] = {}
-    if len(left) == 1:
-        return {0: (dims[0], 0, -1, -1)}
-    open_nodes, fresh = {0: (0, len(left))}, 1
+def _grow_tree(points: DataFrame, dims: list[str], left: list[float]) -> DataFrame:
+    """digest and leaf (a shard) of each point: the shards take their share of ``left``."""
+    session = points.sparkSession
+    moved = points.select("digest", "bytes", *dims, F.lit(0 if len(left) > 1 else -1).alias("node"))  # a leaf is -1 - shard
+    room = [0.0]
+    for x in left:
+        room.append(room[-1] + x)
+    open_nodes, fresh, level = ({0: (0, len(left))} if len(left) > 1 else {}), 1, 0
     while open_nodes:
-        node = F.lit(0)
-        for k, (dim, cut, low, high) in sorted(nodes.items()):
-            node = F.when(node == k, F.when(F.col(dim) < F.lit(cut), F.lit(low)).otherwise(F.lit(high))).otherwise(node)
-        here = light.withColumn("node", node).filter(F.col("node").isin(*open_nodes))
-        spans = {r["node"]: r for r in here.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).collect()}
-        dim_of, want, prefix, before = {}, {}, {}, {}
+        here = moved.filter("node >= 0")
+        spans = here.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dims])
+        widest = F.array_position(F.array(*dims), F.greatest(*dims)) - 1  # the first of equals
+        of_node = {r["node"]: r for r in spans.select("node", "bytes", widest.cast("int").alias("dim")).collect()}  # a row for each node
+        dim = {k: of_node[k]["dim"] if k in of_node else 0 for k in open_nodes}
+        want, prefix, before, size = {}, dict.fromkeys(open_nodes, 0), dict.fromkeys(open_nodes, 0), dict.fromkeys(open_nodes, 0)
         for k, (a, b) in open_nodes.items():
-            r = spans.get(k)
-            dim_of[k] = max(dims, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"]) if r else dims[0]
-            mid = (a + b) // 2
-            room = sum(left[a:b])
-            share = sum(left[a:mid]) / room if room else (mid - a) / (b - a)
-            want[k], prefix[k], before[k] = share * (r["bytes"] if r else 0), 0, 0
-        value = F.lit(0).cast("long")
-        for k in open_nodes:
-            value = F.when(F.col("node") == k, F.col(dim_of[k])).otherwise(value)
-        here = here.select("node", "bytes", value.alias("x"))
-        size: dict[int, int] = {}
+            mid, own = (a + b) // 2, room[b] - room[a]
+            share = (room[mid] - room[a]) / own if own > 0 else (mid - a) / (b - a)
+            want[k] = share * (of_node[k]["bytes"] if k in of_node else 0)
         for step in range(ROUNDS):
             down = BINS_LOG2 * (ROUNDS - step)
-            known = F.lit(-1).cast("long")
-            for k in open_nodes:
-                known = F.when(F.col("node") == k, F.lit(prefix[k])).otherwise(known)
-            part = here.filter(F.shiftright("x", down) == known)
-            hist: dict[int, dict[int, int]] = {k: {} for k in open_nodes}
-            for k, b, w in part.groupBy("node", F.shiftright("x", down - BINS_LOG2).bitwiseAND(F.lit(BINS - 1)).alias("b")).agg(F.sum("bytes")).collect():
-                hist[k][b] = w
+            goals = session.createDataFrame([(k, dim[k], prefix[k], want[k] - before[k]) for k in open_nodes], "node int, dim int, prefix long, goal double")
+            x = F.element_at(F.array(*dims), F.col("dim") + 1)
+            part = here.join(F.broadcast(goals), "node").filter(F.shiftright(x, down) == F.col("prefix"))  # goals: a row for each node
+            bins = part.groupBy("node", "goal", F.shiftright(x, down - BINS_LOG2).bitwiseAND(F.lit(BINS - 1)).alias("b")).agg(F.sum("bytes").alias("w"))
+            passed = F.sum("w").over(Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most BINS rows a node
+            found = F.struct("b", (F.col("run") - F.col("w")).alias("before"), "w")
+            picks = bins.withColumn("run", passed).groupBy("node").agg(F.coalesce(F.min(F.when(F.col("run") > F.col("goal"), found)), F.max(found)).alias("at"))
+            bin_of = {r["node"]: r["at"] for r in picks.collect()}  # a row for each node
             for k in open_nodes:
-                b, passed = _cut(hist[k], want[k] - before[k])
-                before[k] += max(0, passed)
-                size[k] = hist[k].get(b, 0)
+                b, passed_by, w = bin_of.get(k, (0, 0, 0))
+                before[k] += passed_by
+                size[k] = w
                 prefix[k] = (prefix[k] << BINS_LOG2) + b
-        following = {}
+        cuts, following = [], {}
         for k, (a, b) in open_nodes.items():
             mid = (a + b) // 2
             cut = prefix[k] + (1 if want[k] - before[k] > size[k] / 2 else 0)  # the point at the cut goes to the side that it suits
@@ -180,9 +167,14 @@ def _grow_tree(light: DataFrame, dims: list[str], left: list[float]) -> dict[int
                     following[fresh] = (lo, hi)
                     child.append(fresh)
                     fresh += 1
-            nodes[k] = (dim_of[k], cut, *child)
-        open_nodes = following
-    return nodes
+            cuts.append((k, dim[k], cut, *child))
+        table_of = session.createDataFrame(cuts, "node int, dim int, cut long, low int, high int")
+        below = F.element_at(F.array(*dims), F.col("dim") + 1) < F.col("cut")
+        moved = moved.join(F.broadcast(table_of), "node", "left").select("digest", "bytes", *dims, F.coalesce(F.when(below, F.col("low")).otherwise(F.col("high")), "node").alias("node"))
+        open_nodes, level = following, level + 1
+        if open_nodes and level % LEVELS_HELD == 0:
+            moved = materialise(moved)
+    return moved.select("digest", (-F.col("node") - F.lit(1)).alias("leaf"))
 
 
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,6 +336,44 @@ def test_sharding(spark, hard, shards):
     assert max(size) - min(size) <= 0.05 * sum(size) / shards
 
 
+def plain_leaves(points, dims, left):
+    """Shards of points (bytes, coordinates) by recursion: halve the shards at the weighted quantile of the widest dimension."""
+    out = {}
+
+    def split(own, a, b):
+        if b - a == 1:
+            out.update(dict.fromkeys(own, a))
+            return
+        mid = (a + b) // 2
+        width = [max((points[i][1][d] for i in own), default=0) - min((points[i][1][d] for i in own), default=0) for d in range(dims)]
+        d = width.index(max(width))
+        want = sum(left[a:mid]) / sum(left[a:b]) * sum(points[i][0] for i in own)
+        cut, before = 0, 0
+        for x in sorted({points[i][1][d] for i in own}):
+            at = sum(points[i][0] for i in own if points[i][1][d] == x)
+            cut = x + (want - before > at / 2)
+            if before + at > want:
+                break
+            before += at
+        split([i for i in own if points[i][1][d] < cut], a, mid)
+        split([i for i in own if points[i][1][d] >= cut], mid, b)
+
+    split(list(points), 0, len(left))
+    return out
+
+
+@pytest.mark.parametrize(("n", "shards", "held"), [(300, 8, 4), (80, 7, 1), (5, 6, 2), (40, 1, 4)])
+def test_the_tree_is_the_plain_one(spark, monkeypatch, n, shards, held):
+    monkeypatch.setattr(sharding, "LEVELS_HELD", held)
+    rng = np.random.default_rng(n)
+    top = 1 << (sharding.BINS_LOG2 * sharding.ROUNDS)
+    points = {i: (int(rng.integers(1, 900)), [int(x) for x in rng.integers(0, [top, top // 3, 50])]) for i in range(n)}
+    left = [float(x) for x in rng.integers(1, 9, shards)]
+    df = spark.createDataFrame([(i, w, *x) for i, (w, x) in points.items()], "digest int, bytes long, a long, b long, c long")
+    got = {r["digest"]: r["leaf"] for r in sharding._grow_tree(df, ["a", "b", "c"], left).collect()}
+    assert got == plain_leaves(points, 3, left)
+
+
 def test_a_group_larger_than_a_shard_is_dealt(spark, nothing):
     docs = frame(spark, [(i, "same text" * 20) for i in range(300)] + [(300 + i, prose(i, 30)) for i in range(100)])
     out = sharding.shard(docs, n_shards=4)
