@@ -17,6 +17,7 @@ each shard has left. A group larger than a shard's share is dealt row by row.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,6 +45,14 @@ def _dimensions() -> dict[str, Column]:
     }
 
 
+def _small_table(session: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's ``rows``, made by the JVM alone from one literal."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(":".join(c.split()) for c in schema.split(", "))
+    return session.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("r")).select("r.*")
+
+
 def shard(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal ``docs`` into shards of nearly equal bytes.
 
@@ -102,7 +111,7 @@ def shard(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None
     left = [max(0.0, goal - x) for x in load]
     leaf_of = _grow_tree(light, list(dims), left)
     session = docs.sparkSession
-    fixed = session.createDataFrame([(bytes(d), k, None) for d, k in whole] + [(bytes(d), k, n) for d, k, n in spread], "digest binary, shard int, upto long")
+    fixed = _small_table(session, [(bytes(d).hex(), k, None) for d, k in whole] + [(bytes(d).hex(), k, n) for d, k, n in spread], "digest string, shard int, upto long").withColumn("digest", F.unhex("digest"))
     plain = rows.join(F.broadcast(fixed.select("digest").distinct()), "digest", "left_anti")  # bounded: see is_heavy
     placed = plain.join(leaf_of, "digest").select("doc_id", "size", "text_crc32", F.col("leaf").cast("int").alias("shard"))
     kept = rows.join(F.broadcast(fixed.filter("upto is null").select("digest", "shard")), "digest").select("doc_id", "size", "text_crc32", "shard")
@@ -142,7 +151,7 @@ def _grow_tree(points: DataFrame, dims: list[str], left: list[float]) -> DataFra
             want[k] = share * (of_node[k]["bytes"] if k in of_node else 0)
         for step in range(ROUNDS):
             down = BINS_LOG2 * (ROUNDS - step)
-            goals = session.createDataFrame([(k, dim[k], prefix[k], want[k] - before[k]) for k in open_nodes], "node int, dim int, prefix long, goal double")
+            goals = _small_table(session, [(k, dim[k], prefix[k], want[k] - before[k]) for k in open_nodes], "node int, dim int, prefix long, goal double")
             x = F.element_at(F.array(*dims), F.col("dim") + 1)
             part = here.join(F.broadcast(goals), "node").filter(F.shiftright(x, down) == F.col("prefix"))  # goals: a row for each node
             bins = part.groupBy("node", "goal", F.shiftright(x, down - BINS_LOG2).bitwiseAND(F.lit(BINS - 1)).alias("b")).agg(F.sum("bytes").alias("w"))
@@ -168,7 +177,7 @@ def _grow_tree(points: DataFrame, dims: list[str], left: list[float]) -> DataFra
                     child.append(fresh)
                     fresh += 1
             cuts.append((k, dim[k], cut, *child))
-        table_of = session.createDataFrame(cuts, "node int, dim int, cut long, low int, high int")
+        table_of = _small_table(session, cuts, "node int, dim int, cut long, low int, high int")
         below = F.element_at(F.array(*dims), F.col("dim") + 1) < F.col("cut")
         moved = moved.join(F.broadcast(table_of), "node", "left").select("digest", "bytes", *dims, F.coalesce(F.when(below, F.col("low")).otherwise(F.col("high")), "node").alias("node"))
         open_nodes, level = following, level + 1
