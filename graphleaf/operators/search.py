@@ -12,25 +12,30 @@ from graphleaf.tables import written
 K1, B, FTS_LIMIT = 1.2, 0.75, 1000
 
 
+def _nearest(rows: DataFrame, vector: list[float], k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The ``k`` nearest rows with their whole ``score``."""
+    query = F.array(*[F.lit(float(x)) for x in vector])
+    fit = rows.filter(F.size(vector_col) == len(vector))
+    return fit.withColumn("score", X.cosine(F.col(vector_col), query)).filter("score is not null").orderBy(F.desc("score"), id_col).limit(k)
+
+
 def vector_topk(rows: DataFrame, vector: list[float], k: int, id_col: str, vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """The ``k`` rows nearest to ``vector`` by cosine, exactly: a task keeps its best k, so that nothing but k rows a task is moved.
 
-    Scores are rounded to ``digits``; equal ones are in order of id. Null vectors and those of another width are left out."""
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    score = F.round(X.cosine(F.col(vector_col), query), digits)
-    fit = rows.filter(F.size(vector_col) == len(vector))
-    return fit.select("*", score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    Whole scores are ranked, equal ones in order of id, and then rounded to ``digits``. Null vectors, those of
+    another width and those of zeros, which have no direction, are left out."""
+    return _nearest(rows, vector, k, id_col, vector_col).withColumn("score", F.round("score", digits))
 
 
 def paragraph_topk(chunks: DataFrame, paragraphs: DataFrame, vector: list[float], k: int) -> DataFrame:
     """paragraph_nodeID, text, matched_chunk_id, score: of the best 4k chunks the best of each paragraph, then k paragraphs (may be fewer).
 
-    ``chunks``: chunk_id, paragraph_id, embedding; ``paragraphs``: paragraph_id, text."""
-    best = vector_topk(chunks, vector, 4 * k, "chunk_id")
+    ``chunks``: chunk_id, paragraph_id, embedding; ``paragraphs``: paragraph_id, text. Whole scores are ranked, then rounded to six digits."""
+    best = _nearest(chunks, vector, 4 * k, "chunk_id", "embedding")
     rank = Window.partitionBy("paragraph_id").orderBy(F.desc("score"), "chunk_id")
     one = best.withColumn("r", F.row_number().over(rank)).filter("r = 1").orderBy(F.desc("score"), "paragraph_id").limit(k)
     found = paragraphs.join(F.broadcast(one.select("paragraph_id", "chunk_id", "score")), "paragraph_id")  # at most k rows
-    return found.orderBy(F.desc("score"), "paragraph_id").select(F.col("paragraph_id").alias("paragraph_nodeID"), "text", F.col("chunk_id").alias("matched_chunk_id"), "score")
+    return found.orderBy(F.desc("score"), "paragraph_id").select(F.col("paragraph_id").alias("paragraph_nodeID"), "text", F.col("chunk_id").alias("matched_chunk_id"), F.round("score", 6).alias("score"))
 
 
 def tokens(c: Column) -> Column:
@@ -41,7 +46,8 @@ def tokens(c: Column) -> Column:
 def bm25(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """query, page_id, title, score: for each query its ``limit`` best titles that share a word with it.
 
-    Words are not stemmed. Equal scores are in order of page id."""
+    Words are not stemmed. Scores are rounded before they are ranked, as their sums depend on the order
+    of the words in the last digits; equal ones are in order of page id."""
     words = titles.select("page_id", F.explode(tokens(F.col("title"))).alias("term"))
     if stop_words:
         words = words.filter(~F.col("term").isin(*stop_words))

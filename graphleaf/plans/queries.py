@@ -357,10 +357,10 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 
 
 _DOT = "list_reduce(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * {q}[i]::DOUBLE), lambda x, y: x + y)"
-_SCORE = f"round({_DOT.format(q='q.embedding')} / (sqrt({_DOT.format(q='e.embedding')}) * sqrt({_DOT.format(q='q.embedding').replace('e.embedding', 'q.embedding')})), 6)"
+_SCORE = f"{_DOT.format(q='q.embedding')} / (sqrt({_DOT.format(q='e.embedding')}) * sqrt({_DOT.format(q='q.embedding').replace('e.embedding', 'q.embedding')}))"
 
 
-@query(f"SELECT e.vec_id, {_SCORE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY score DESC, e.vec_id LIMIT 50")
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, {_SCORE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY s DESC, e.vec_id LIMIT 50)")
 def vector_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vector_topk(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 7), 50, "vec_id").select("vec_id", "score")
 
@@ -368,7 +368,7 @@ def vector_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""% first_chunks AS (SELECT c.cid, c.pid, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = (c.page_id * 7 + c.sec_i * 5 + c.para_i * 3 + c.chunk_i) % (SELECT count(*) FROM embeddings)),
 best AS (SELECT e.cid, e.pid, {_SCORE} AS score FROM first_chunks e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY score DESC, cid LIMIT 80),
 one AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY pid ORDER BY score DESC, cid) = 1 ORDER BY score DESC, pid LIMIT 20)
-SELECT pid AS "paragraph_nodeID", text, cid AS matched_chunk_id, score FROM one JOIN paragraphs USING (pid)""", graph_sql=True)
+SELECT pid AS "paragraph_nodeID", text, cid AS matched_chunk_id, round(score, 6) AS score FROM one JOIN paragraphs USING (pid)""", graph_sql=True)
 def vector_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived_graph(spark, sf_dir)
     numbers = [F.col(c) for c in ("page_id", "sec_i", "para_i", "chunk_i")]

@@ -25,6 +25,13 @@ def test_topk_breaks_ties_by_id(spark):
     assert [r["id"] for r in S.vector_topk(data, [1.0, 0.0], 3, "id").collect()] == [1, 3, 2]
 
 
+def test_vector_topk_ranks_whole_scores(spark):
+    data = spark.createDataFrame([(1, [1.0, 1e-5]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 0.0])], "id int, embedding array<double>")
+    assert [(r["id"], r["score"]) for r in S.vector_topk(data, [1.0, 0.0], 4, "id").collect()] == [(2, 1.0), (4, 1.0), (1, 1.0)]
+    chunks = spark.createDataFrame([("c0", "p1", [1.0, 1e-5]), ("c1", "p1", [1.0, 0.0]), ("c2", "p0", [0.0, 0.0])], "chunk_id string, paragraph_id string, embedding array<double>")
+    assert rows(S.paragraph_topk(chunks, spark.createDataFrame([("p1", "x"), ("p0", "y")], "paragraph_id string, text string"), [1.0, 0.0], 2)) == [("p1", "x", "c1", 1.0)]
+
+
 def test_paragraph_topk_may_return_fewer(spark):
     chunks = spark.createDataFrame([(f"c{i}", "p1" if i < 8 else "p2", [1.0, i / 10]) for i in range(9)], "chunk_id string, paragraph_id string, embedding array<double>")
     paragraphs = spark.createDataFrame([("p1", "x"), ("p2", "y")], "paragraph_id string, text string")
