@@ -1,6 +1,6 @@
 """How far the sources of a language differ in their words.
 
-Words are counted for each language and source, with one count of documents beside. A term that enough
+Each task counts the words of some documents at once, each language's and source's, with the number of documents beside. A term that enough
 documents of its language hold becomes one wide row: its counts as an array over the language's sources, by number.
 Higher-order functions turn counts into smoothed shares in whole billionths and, for each source, into the
 differences to all later ones, which a sum that begins in every task adds up to the distances of pairs.
@@ -11,15 +11,22 @@ one source at a time. Where shares need what is known of a language, that small
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import materialise, table
+from graphleaf.llm.common import IS_WORD, blocks, in_small_batches, materialise, released, table, utf8, word_bounds
+from graphleaf.llm.common import LOWER as LOWER_BYTES
 
 LEAST_DOCUMENTS, ADDED, SHARES, TERMS, SALTS = 30, 5, 1_000_000_000, 50, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Everything that ends a term: ASCII but its letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Lower-case letters and bytes beyond ASCII as they are, A-Z in lower case, a space for all that ends a term.
+TERM_BYTES = np.where(IS_WORD & ~np.isin(np.arange(256), np.arange(48, 58)), LOWER_BYTES, 32).astype(np.uint8)
+#: Bytes of text that a task counts together, and of a piece of a longer document.
+GATHERED, PIECE = 8 << 20, 8 << 20
 
 
 def share(count: Column, of: Column) -> Column:
@@ -32,13 +39,78 @@ def share(count: Column, of: Column) -> Column:
     return out + 1
 
 
+def counted(text: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """For some documents' bytes and groups: each group and term once, with its occurrences and documents."""
+    text = TERM_BYTES[text]
+    starts, ends, before = word_bounds(text, offsets)
+    if not len(starts):
+        return groups[:0], pa.array([], pa.string()), starts, starts
+    edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(text[IS_WORD[text]])).dictionary_encode()
+    terms, size = words.dictionary, len(words.dictionary)
+    at = np.repeat(np.arange(len(offsets) - 1), np.diff(before)) * size + np.asarray(words.indices)
+    held, n = np.unique(at, return_counts=True)  # a document and a term
+    pair = groups[held // size] * size + held % size
+    order = np.argsort(pair, kind="stable")
+    pair, n = pair[order], n[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    return pair[first] // size, terms.take(pa.array(pair[first] % size)), np.add.reduceat(n, first), np.diff(np.append(first, len(pair)))
+
+
+def long_counted(text: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms of one long document and their occurrences, a piece of it at a time."""
+    found: list[tuple[pa.Array, np.ndarray]] = []
+    while len(text):
+        end = len(text)
+        if end > PIECE:  # after the last separator of a piece, or else before the first one behind it
+            between = np.flatnonzero(~IS_WORD[TERM_BYTES[text[:PIECE]]])
+            end = int(between[-1]) + 1 if len(between) else PIECE
+            while end < len(text) and not len(between):
+                between = np.flatnonzero(~IS_WORD[TERM_BYTES[text[end : end + PIECE]]])
+                end = end + int(between[0]) if len(between) else min(len(text), end + PIECE)
+        _, terms, n, _ = counted(text[:end], np.array([0, end]), np.zeros(1, np.int64))
+        found, text = [*found, (terms, n)], text[end:]
+        if len(found) > 8:
+            found = [_added(found)]
+    return _added(found)
+
+
+def _added(found: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    terms = pa.concat_arrays([f[0] for f in found]).dictionary_encode()
+    n = np.zeros(len(terms.dictionary), np.int64)
+    np.add.at(n, np.asarray(terms.indices), np.concatenate([f[1] for f in found]))
+    return terms.dictionary, n
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), documents (of that language and source that hold the term)."""
-    words = docs.select("lang", "source", F.sort_array(F.split(F.translate("text", UPPER, LOWER), BETWEEN, -1)).alias("words"))
-    before = F.concat(F.array(F.lit("")), F.slice("words", 1, F.size("words") - 1))
-    marked = words.select("lang", "source", F.explode(F.zip_with("words", before, lambda w, b: F.struct(w.alias("term"), (w != b).alias("first")))).alias("w"))
-    each = marked.select("lang", "source", "w.term", "w.first").filter("term <> ''")
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if("first").alias("documents"))
+
+    def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        langs, sources = (rows.column(c).chunk(0).dictionary_encode() for c in ("lang", "source"))
+        groups = np.asarray(langs.indices).astype(np.int64) * len(sources.dictionary) + np.asarray(sources.indices)
+        text, offsets = utf8(rows.column("text").chunk(0))
+        for i, j in blocks(offsets, GATHERED):
+            if offsets[j] - offsets[i] > PIECE and j == i + 1:
+                terms, n = long_counted(text[offsets[i] : offsets[j]])
+                group, documents = np.full(len(n), groups[i]), np.ones(len(n), np.int64)
+            else:
+                group, terms, n, documents = counted(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], groups[i:j])
+            lang, source = np.divmod(group, len(sources.dictionary))
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), sources.dictionary.take(pa.array(source)), terms, pa.array(n), pa.array(documents)], names=["lang", "source", "term", "n", "documents"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= GATHERED:
+                yield from one(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from one(pa.Table.from_batches(held))
+
+    counts = in_small_batches(docs).select("lang", "source", "text").mapInArrow(released(run), "lang string, source string, term string, n long, documents long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def languages(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -78,7 +150,7 @@ def divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, terms: i
     by_term = term_counts(docs).groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("counts"), F.sum("n").alias("total"), F.sum("documents").alias("documents"))
     kept = materialise(by_term.filter(F.col("documents") >= least_documents).drop("documents"))
     langs = materialise(languages(docs, kept))
-    wide = wide_terms(kept, langs)
+    wide = materialise(wide_terms(kept, langs))
 
     numbered = langs.select("lang", "sources", F.posexplode("sources").alias("i", "source"))
     others = numbered.select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).filter("i <> j")

@@ -230,3 +230,10 @@ def test_hashes_do_not_depend_on_company():
         assert (whole == [kind.codes(one[None], 1)[0] for one in x]).all() and (kind.scores(x, 1).argmax(1) == whole).all()
 
 
+
+
+def test_terms_of_long_documents(monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", 40)
+    for text in (prose(3, 300), "x" * 130 + " é " + "y" * 41 + "!", "1" * 100, "ab" * 20 + " " + "ab" * 20, ""):
+        terms, n = divergence.long_counted(np.frombuffer(text.encode(), np.uint8)) if text else ([], [])
+        assert Counter(dict(zip([str(t) for t in terms], map(int, n), strict=True))) == Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.lower()))
