@@ -14,6 +14,7 @@ from graphleaf.functions import text as X
 from graphleaf.operators import evaluation as E
 from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
+from graphleaf.operators import vector_index as V
 from graphleaf.session import session
 from graphleaf.sources import dump as D
 from graphleaf.sources import exports as K
@@ -128,6 +129,17 @@ def embed_parquet(spark: SparkSession, a: argparse.Namespace) -> None:
     print(f"Written: {written}\nSkipped: {skipped}")
 
 
+def build_vector_index(spark: SparkSession, a: argparse.Namespace) -> None:
+    """An index of the embeddings of one label's nodes: an article's id is its page's number, other ids are node ids."""
+    nodes = spark.read.parquet(*a.files)
+    id_column, label = (F.col(f"`{K.NODE_COLUMNS[c]}`") for c in ("nodeID", "label"))
+    own = nodes.filter((label == a.label) & F.col(f"`{K.EMBEDDING_COLUMN}`").isNotNull())
+    page = F.regexp_extract(id_column, "^article:([0-9]+)$", 1).try_cast("long")
+    rows = own.select((page if a.label == "Article" else id_column).alias("id"), F.split(F.col(f"`{K.EMBEDDING_COLUMN}`"), ";").cast("array<float>").alias("embedding"))
+    index = V.build_index(rows, a.folder, "id")
+    print(f"Lists: {len(index.radius)}\nProbed: {index.probes}\nShort list: {index.short}")
+
+
 def filter_by_humaneval(spark: SparkSession, a: argparse.Namespace) -> None:
     decisions = spark.read.option("header", True).csv(a.decisions)
     E.accepted_questions(spark.read.schema(MATCHES).json(a.matches), decisions).write.mode("overwrite").json(a.output)
@@ -149,19 +161,13 @@ def list_namespaces(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def count_tokens(spark: SparkSession, a: argparse.Namespace) -> None:
-    def encoder():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(a.tokenizer)
-        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
     nodes = K.read_shards(spark, a.nodes, "nodes", K.NODE_COLUMNS).filter(X.strip(F.col(a.text_col)) != "")
-    row = K.token_counts(nodes, encoder, a.text_col).agg(F.count("*").alias("texts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).select("texts", "tokens", X.short_count(F.col("tokens")).alias("short")).first()
+    row = K.token_counts(nodes, K.file_encoder(a.tokenizer), a.text_col).agg(F.count("*").alias("texts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).select("texts", "tokens", X.short_count(F.col("tokens")).alias("short")).first()
     print(f"Texts: {row['texts']}\nTokens: {row['tokens']} ({row['short']})")
 
 
 def make_batches(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = spark.read.option("multiLine", True).json(a.questions).withColumn("pos", F.monotonically_increasing_id())
+    rows = E.numbered(spark.read.option("multiLine", True).json(a.questions))
     text = {c: F.to_json(c) if t.startswith("array") else F.col(c).cast("string") for c, t in rows.dtypes if c != "pos"}
     K.write_batches(E.batches(rows.select("pos", *[v.alias(c) for c, v in text.items()])), a.output)
 
@@ -200,6 +206,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-size", type=int, default=256)
     p.add_argument("--prefix", default="")
     p.add_argument("--out-dir", required=True)
+    p = add(build_vector_index)
+    p.add_argument("files", nargs="+")
+    p.add_argument("--folder", required=True)
+    p.add_argument("--label", default="Article", choices=["Article", "Chunk"])
     add(filter_by_humaneval, "decisions", "matches", "output")
     add(filter_questions, "matches", "output").add_argument("--release-jsonl", required=True)
     add(list_namespaces, "dump")

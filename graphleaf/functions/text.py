@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def article_of(node: Column) -> Column:
     return F.when(got != "", got)
 
 
+def paragraph_of(chunk: Column) -> Column:
+    """The paragraph's id of a chunk's."""
+    return F.regexp_replace(chunk, ":c[0-9]+$", "")
+
+
 def check_chunking(size: int, overlap: int) -> None:
     if size <= 0:
         raise ValueError("chunk size must be positive")
@@ -85,30 +92,27 @@ def headings(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, "\n"), is_heading), heading_title)
 
 
-def infoboxes(text: Column) -> Column:
-    """Balanced ``{{Infobox ...}}`` spans in order of their starts; nested ones on their own, unbalanced ones not at all.
+#: ``{{Infobox``, ``{{`` where no such start is hidden in it, and ``}}``.
+_BRACES = re.compile(r"\{\{Infobox|\{\{(?!\{Infobox)|\}\}")
 
-    A start is followed to the first ``}}`` before which as many ``{{`` have opened."""
-    pieces = F.split(text, r"\{\{Infobox")
-    opens = lambda part: F.size(F.split(part, r"\{\{")) - 1
 
-    def spanned(rest: Column) -> Column:
-        parts = F.split(rest, r"\}\}")
+def infobox_spans(text: str | None) -> list[str]:
+    """Balanced ``{{Infobox ...}}`` spans in order of their starts, in one pass with a stack; nested ones on their own, unbalanced ones not at all."""
+    opened: list[tuple[int, bool]] = []
+    found: list[tuple[int, int]] = []
+    for m in _BRACES.finditer(text or ""):
+        if m[0] != "}}":
+            opened.append((m.start(), m[0] == INFOBOX))
+        elif opened:
+            start, is_box = opened.pop()
+            if is_box:
+                found.append((start, m.end()))
+    return [text[a:b] for a, b in sorted(found)]
 
 
-        def further(a: Column, part: Column) -> Column:
-            opened, closed = a["opened"] + opens(part), a["closed"] + 1
-            ends_here = (a["first"] == 0) & (opened == closed) & (closed < F.size(parts))
-            return F.struct(opened.alias("opened"), closed.alias("closed"), F.when(ends_here, closed).otherwise(a["first"]).alias("first"))
-
-        start = F.struct(F.lit(1).alias("opened"), F.lit(0).alias("closed"), F.lit(0).alias("first"))
-        first = F.aggregate(parts, start, further, lambda a: a["first"])
-        return F.when(first > 0, F.concat(F.lit(INFOBOX), F.array_join(F.slice(parts, 1, first), "}}"), F.lit("}}")))
-
-    starts = F.sequence(F.lit(2), F.size(pieces))
-    rests = F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), INFOBOX))
-    found = F.filter(F.transform(rests, spanned), lambda s: s.isNotNull())
-    return F.when(F.size(pieces) > 1, found).otherwise(F.expr("cast(array() AS array<string>)"))
+def infoboxes(text: Column) -> Column:
+    """The ``infobox_spans`` of a text."""
+    return F.pandas_udf(lambda texts: texts.map(infobox_spans), "array<string>")(text)
 
 
 def unquote(c: Column) -> Column:

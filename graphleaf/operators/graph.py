@@ -163,11 +163,16 @@ def section_titles(graph: Graph, title: str) -> DataFrame:
     return rows.orderBy("sec_i", "at").select(X.section_id(F.col("page_id"), F.col("sec_i")).alias("nodeID"), "title")
 
 
-def article_infoboxes(graph: Graph, title: str) -> DataFrame:
-    """infobox: balanced spans of the article's distinct paragraphs, joined by line breaks, in order."""
+def _placed_infoboxes(graph: Graph, title: str) -> DataFrame:
+    """at, infobox: balanced spans of the article's distinct paragraphs, joined by line breaks."""
     own = _of_page(graph.paragraphs, resolved_id(graph, title))
     whole = own.groupBy("page_id").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("sec_i", "para_i", "text"))), lambda s: s["text"])), "\n").alias("doc"))  # the paragraphs of one article
-    return whole.select(F.posexplode(X.infoboxes(F.col("doc"))).alias("at", "infobox")).orderBy("at").select("infobox")
+    return whole.select(X.infoboxes(F.col("doc")).alias("boxes")).select(F.posexplode("boxes").alias("at", "infobox"))
+
+
+def article_infoboxes(graph: Graph, title: str) -> DataFrame:
+    """infobox: balanced spans of the article's distinct paragraphs, joined by line breaks, in order."""
+    return _placed_infoboxes(graph, title).orderBy("at").select("infobox")
 
 
 def section_titles_and_infoboxes(graph: Graph, title: str) -> DataFrame:
@@ -178,7 +183,7 @@ def section_titles_and_infoboxes(graph: Graph, title: str) -> DataFrame:
     fallback = F.when(chunk.isNotNull() & ~F.col("text").contains(X.INFOBOX), F.array(chunk)).otherwise(F.expr("cast(array() AS array<string>)"))
     titles = first.select("page_id", "sec_i", F.posexplode(F.when(F.size(found) > 0, found).otherwise(fallback)).alias("at", "text"))
     rows = titles.select(F.lit(1).alias("part"), "sec_i", "at", F.lit("section title").alias("kind"), X.section_id(F.col("page_id"), F.col("sec_i")).alias("nodeID"), "text")
-    boxes = article_infoboxes(graph, title).select(F.lit(0).alias("part"), F.lit(0).alias("sec_i"), F.monotonically_increasing_id().cast("int").alias("at"), F.lit("infobox").alias("kind"), F.lit(None).cast("string").alias("nodeID"), F.col("infobox").alias("text"))
+    boxes = _placed_infoboxes(graph, title).select(F.lit(0).alias("part"), F.lit(0).alias("sec_i"), "at", F.lit("infobox").alias("kind"), F.lit(None).cast("string").alias("nodeID"), F.col("infobox").alias("text"))
     return boxes.unionByName(rows).orderBy("part", "sec_i", "at").select("kind", "nodeID", "text")
 
 

@@ -31,7 +31,11 @@ def paragraph_topk(chunks: DataFrame, paragraphs: DataFrame, vector: list[float]
     """paragraph_nodeID, text, matched_chunk_id, score: of the best 4k chunks the best of each paragraph, then k paragraphs (may be fewer).
 
     ``chunks``: chunk_id, paragraph_id, embedding; ``paragraphs``: paragraph_id, text. Whole scores are ranked, then rounded to six digits."""
-    best = _nearest(chunks, vector, 4 * k, "chunk_id", "embedding")
+    return best_paragraphs(_nearest(chunks, vector, 4 * k, "chunk_id", "embedding"), paragraphs, k)
+
+
+def best_paragraphs(best: DataFrame, paragraphs: DataFrame, k: int) -> DataFrame:
+    """``paragraph_topk`` of chunks found (chunk_id, paragraph_id, score), of which there are few."""
     rank = Window.partitionBy("paragraph_id").orderBy(F.desc("score"), "chunk_id")
     one = best.withColumn("r", F.row_number().over(rank)).filter("r = 1").orderBy(F.desc("score"), "paragraph_id").limit(k)
     found = paragraphs.join(F.broadcast(one.select("paragraph_id", "chunk_id", "score")), "paragraph_id")  # at most k rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from graphleaf.functions.fuzzy import wratio_column
 from graphleaf.operators import evaluation as E
 from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
+from graphleaf.operators.vector_index import VectorIndex, build_index
 from graphleaf.plans.derived import SQL, boxed_graph, derived_graph, derived_pages, stored_graph, table
 from graphleaf.sources import dump as D
 from graphleaf.sources import exports as X_
@@ -378,6 +380,34 @@ def vector_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.paragraph_topk(rows, g.paragraphs.select(X.paragraph_id(*numbers[:3]).alias("paragraph_id"), "text"), _vector(spark, sf_dir, 3), 20)
 
 
+_indexes: dict[tuple[str, str], VectorIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of all embeddings, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = build_index(table(spark, sf_dir, "embeddings"), written_folder(spark), "vec_id")
+    return _indexes[key]
+
+
+def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+
+
+@query()
+def vector_index_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 50, from the lists and codes that the index's sample needed."""
+    return _index(spark, sf_dir).search(_vector_questions(spark, sf_dir), 10)
+
+
+@query(f"""SELECT question, rank::INTEGER AS rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS rank FROM (
+SELECT q.vec_id AS question, e.vec_id AS id, {_SCORE} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but nothing is left out that could be among the nearest."""
+    return _index(spark, sf_dir).search(_vector_questions(spark, sf_dir), 10, exact=True)
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat_ws(" ", "p_name", "p_type", "p_size").alias("title"))
 
@@ -482,11 +512,23 @@ def answerable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.answerable_share(rows)
 
 
-@query("SELECT count(*)::BIGINT AS texts, count(*) FILTER (doc_id % 2 = 0)::BIGINT AS counted, sum(n_chars // 4) FILTER (doc_id % 2 = 0)::BIGINT AS tokens, round(sum(n_chars // 4) FILTER (doc_id % 2 = 0) / count(*) FILTER (doc_id % 2 = 0) * count(*))::BIGINT AS estimate FROM documents")
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, n_tokens of all whole texts, by a public tokenizer whose file is on every node."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return X_.token_counts(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), X_.file_encoder(path)).drop("text")
+
+
+@query()
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every language's texts, whole and in short form."""
+    by_lang = _token_counts(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"))
+    return by_lang.select("lang", "texts", "tokens", X.short_count(F.col("tokens")).alias("short"))
+
+
+@query()
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus's tokens estimated from those of every other text, as a sampling estimate."""
-    docs = table(spark, sf_dir, "documents")
-    return E.scaled_tokens(docs, docs.filter("doc_id % 2 = 0").select(F.floor(F.col("n_chars") / 4).alias("n_tokens")))
+    return E.scaled_tokens(table(spark, sf_dir, "documents"), _token_counts(spark, sf_dir).filter("doc_id % 2 = 0"))
 
 
 @query("SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, event_type AS event, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

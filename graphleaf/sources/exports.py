@@ -108,6 +108,30 @@ def token_counts(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], l
     return texts.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*texts.dtypes, ("n_tokens", "long")]))
 
 
+def file_encoder(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:
+    """An encoder for ``token_counts`` of a tokenizer file; texts go to it together, up to 1 MB at a time."""
+
+    def encoder() -> Callable[[list[str]], list[int]]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def count(texts: list[str]) -> list[int]:
+            out, held, size = [], [], 0
+            for t in [*texts, None]:
+                if t is None or size + len(t) > 1 << 20:
+                    out += [len(e.ids) for e in tokenizer.encode_batch(held, add_special_tokens=False)]
+                    held, size = [], 0
+                if t is not None:
+                    held.append(t)
+                    size += len(t)
+            return out
+
+        return count
+
+    return encoder
+
+
 def write_batches(batched: DataFrame, folder: str) -> None:
     """A CSV folder for each ``batch``."""
     batched.write.mode("overwrite").partitionBy("batch").option("header", True).csv(folder)

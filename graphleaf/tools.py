@@ -17,6 +17,7 @@ from graphleaf.functions import text as X
 from graphleaf.functions.calculate import evaluate
 from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
+from graphleaf.operators.vector_index import VectorIndex
 
 ROWS, TITLE_ROWS, NEIGHBOUR_ROWS, TEXT_ROWS = 100, 500, 2000, 5000
 
@@ -28,23 +29,41 @@ def rows_of(df: DataFrame, limit: int = ROWS) -> list[dict]:
 
 @dataclass
 class Tools:
-    """The tools over one graph. ``embed`` turns a query into a vector; the vector tools need it, ``article_vectors`` (page_id, embedding) and ``chunk_vectors`` (chunk_id, paragraph_id, embedding)."""
+    """The tools over one graph. ``embed`` turns a query into a vector; the vector tools need it and either ``article_vectors`` (page_id, embedding) and ``chunk_vectors`` (chunk_id, paragraph_id, embedding), which are read whole, or indexes of the same ids, of which a few lists are read."""
 
     graph: G.Graph
     embed: Callable[[str], list[float]] | None = None
     article_vectors: DataFrame | None = None
     chunk_vectors: DataFrame | None = None
+    article_index: VectorIndex | None = None
+    chunk_index: VectorIndex | None = None
 
     def vector_search_paragraph(self, query_text: str, k: int = 5) -> str:
         k = X.clamp(k, 1, 50)
         paragraphs = self.graph.paragraphs.select(X.paragraph_id(*map(_col, ("page_id", "sec_i", "para_i"))).alias("paragraph_id"), "text")
-        return _answer(lambda: {"query": query_text, "k": k, "results": rows_of(S.paragraph_topk(self.chunk_vectors, paragraphs, self.embed(query_text), k), k)})
+
+        def found() -> dict:
+            vector = self.embed(query_text)
+            if self.chunk_index is None:
+                best = S.paragraph_topk(self.chunk_vectors, paragraphs, vector, k)
+            else:
+                near = self._indexed(self.chunk_index, vector, 4 * k).select(_col("id").alias("chunk_id"), X.paragraph_of(_col("id")).alias("paragraph_id"), "score")
+                best = S.best_paragraphs(near, paragraphs, k)
+            return {"query": query_text, "k": k, "results": rows_of(best, k)}
+
+        return _answer(found)
+
+    def _indexed(self, index: VectorIndex, vector: list[float], k: int) -> DataFrame:
+        spark = self.graph.articles.sparkSession
+        return index.search(spark.createDataFrame([(0, vector)], "question long, vector array<double>"), k)
 
     def vector_search_article(self, query_text: str, k: int = 5) -> str:
         k = X.clamp(k, 1, 50)
 
         def found() -> dict:
-            best = S.vector_topk(self.article_vectors, self.embed(query_text), k, "page_id").join(self.graph.articles, "page_id")
+            vector = self.embed(query_text)
+            best = S.vector_topk(self.article_vectors, vector, k, "page_id") if self.article_index is None else self._indexed(self.article_index, vector, k).select(_col("id").alias("page_id"), "score")
+            best = best.join(self.graph.articles, "page_id")
             return {"query": query_text, "k": k, "results": rows_of(best.orderBy(_col("score").desc(), "page_id").select(X.article_id(_col("page_id")).alias("article_nodeID"), "title", "score"), k)}
 
         return _answer(found)

@@ -93,3 +93,30 @@ def test_agent_records(spark):
     assert all(out[k]["token_usage"] == out[k]["function_calls"] == "[]" and out[k]["model"] is None for k in (2, 3))
     rows = {r["ex_num"]: r for r in E.result_rows(E.agent_records(runs).withColumn("error", F.when(F.col("ex_num") == 2, '["no"]')), "{}", "judge", "vectors").collect()}
     assert rows[1]["success"] and not rows[2]["success"] and json.loads(rows[1]["models"]) == {"generator": "m-1", "evaluator_model": "judge", "evaluator_embeddings": "vectors"}
+
+
+def test_batches_of_several_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        (tmp_path / "in" / f"{f}.json").write_text(json.dumps([{"ex_num": 20 * f + i, "question": f"q{i}"} for i in range(20)]))
+    main(["make_batches", str(tmp_path / "in"), str(tmp_path / "out")], spark)
+    sizes = {r["batch"]: r["count"] for r in spark.read.option("header", True).csv(str(tmp_path / "out")).groupBy("batch").count().collect()}
+    assert sizes == {0: 32, 1: 28}
+    parts = spark.range(0, 100, 1, 7).union(spark.range(200, 203, 1, 2)).filter("id % 3 <> 0")
+    assert sorted(r["pos"] for r in E.numbered(parts).collect()) == list(range(parts.count())) and E.numbered(parts.limit(0)).collect() == []
+
+
+def test_tokens_of_whole_texts(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphleaf.plans import queries as Q
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    n = {d["doc_id"]: len(tokenizer.encode(d["text"] or "", add_special_tokens=False).ids) for d in docs}
+    totals = {r["lang"]: (r["texts"], r["tokens"]) for r in Q.QUERIES["token_totals"](spark, sf).collect()}
+    assert totals == {g: (len(own), sum(own)) for g in {d["lang"] for d in docs} for own in [[n[d["doc_id"]] for d in docs if d["lang"] == g]]}
+    half = [v for d, v in n.items() if d % 2 == 0]
+    row = Q.QUERIES["token_estimate"](spark, sf).first()
+    assert tuple(row) == (len(docs), len(half), sum(half), int(sum(half) / len(half) * len(docs) + 0.5))

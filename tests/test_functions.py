@@ -130,3 +130,10 @@ def test_wratio_is_symmetric(a, b):
 
 def test_wratio_column(spark):
     assert values(spark, ["New York", None], lambda c: wratio_column(c, F.lit("york new"))) == [pytest.approx(wratio("New York", "york new")), 0.0]
+
+
+def test_many_infoboxes_in_one_text(spark):
+    flat = "".join(f"{{{{Infobox {i}|{{{{x}}}}}}}} " for i in range(10_000)) + "{{Infobox open {{"
+    nested = "{{Infobox a" * 300 + "}}" * 299
+    got = spark.createDataFrame([(flat,), (nested,), (None,)], "t string").select(F.size(X.infoboxes(F.col("t"))).alias("n")).collect()
+    assert [r["n"] for r in got] == [10_000, 299, 0]
