@@ -1,9 +1,10 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
 Equal texts become one node first. A node's k-mers of five words carry their occurrence
-number; each of ``TABLES`` hash functions samples the ``SAMPLED`` least of them and keeps
+number; each of a table's hash functions samples the ``SAMPLED`` least of them and keeps
 their order in the text, so that two texts share a sample about as often as their edit
-similarity suggests. Nodes with a common sample are candidates; a link is a pair whose
+similarity suggests. Further tables sample k-mers of three words, of which more survive scattered edits, and
+for texts of fewer than 50 words k-mers of two; any text as like as ``SIMILARITY`` to one of up to 40 words has fewer than 51. Nodes with a common sample are candidates; a link is a pair whose
 word sequences align with similarity 1 - distance / longer length of at least
 ``SIMILARITY``, found by a bit-parallel alignment within the band of allowed distances.
 
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 
 from graphleaf.llm.common import U64, blocks, in_small_batches, materialise, mix, released, table, text_key, utf8, word_hashes
 
-K, TABLES, SAMPLED, SIMILARITY = 5, 16, 2, 0.8
+SAMPLED, SIMILARITY = 2, 0.8
+#: Words of a k-mer, tables, and the number of words from which on a text is in none of them.
+KINDS = ((5, 16, None), (3, 20, None), (2, 16, 51))
+TABLES = sum(n for _, n, _ in KINDS)
 BAG = 128
 #: Members of a bucket that one task compares with each other or with as many others.
 BLOCK_ROWS = 2000
@@ -34,16 +38,16 @@ _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407)
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _kmers(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kmers(h: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled k-mers in text order and the number before each document; a shorter text is one k-mer."""
     n_words = np.diff(before)
-    n = np.maximum(n_words - K + 1, np.minimum(n_words, 1))
+    n = np.maximum(n_words - size + 1, np.minimum(n_words, 1))
     ahead = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(n)), n)
     at = before[doc] + np.arange(ahead[-1]) - ahead[doc]
     past = before[doc + 1]
     x = np.zeros(len(at), np.uint64)
-    for k in range(K):
+    for k in range(size):
         use = at + k < past
         x[use] += h[at[use] + k] * _STEP[k]
     x = mix(x)
@@ -57,30 +61,40 @@ def _kmers(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of words and order-MinHash keys (a row of ``TABLES`` for each document; unused for texts without words)."""
+    """Numbers of words and order-MinHash keys (a row of ``TABLES`` for each document; 0 for texts that are in no such table)."""
     h, before = word_hashes(data, offsets)
-    n = len(offsets) - 1
-    x, ahead = _kmers(h, before)
-    keys = np.zeros((n, TABLES), np.uint64)
-    some = np.flatnonzero(np.diff(ahead))
-    if len(some):
-        first, size = ahead[some], np.diff(ahead)[some]
-        for t in range(TABLES):
-            r = x * _SEEDS[t]
-            key, last_at = np.full(len(some), t + 1, np.uint64), None
-            picked = []
-            for _ in range(SAMPLED):
-                least = np.minimum.reduceat(r, first)
-                where = np.flatnonzero(r == np.repeat(least, size))
-                owner = np.searchsorted(first, where, side="right") - 1
-                at = np.full(len(some), -1)
-                at[owner[::-1]] = where[::-1]
-                picked.append(at)
-                r[at] = U64(0xFFFFFFFFFFFFFFFF)
-            for at in np.sort(np.stack(picked), 0):
-                key = mix(key + x[at] * _STEP[1])
-            keys[some, t] = key
-    return np.diff(before), keys
+    n_words, first = np.diff(before), 0
+    keys = np.zeros((len(offsets) - 1, TABLES), np.uint64)
+    for size, tables, most in KINDS:
+        some = np.flatnonzero((n_words > 0) & (n_words < (most or np.inf)))
+        if len(some):
+            own = np.concatenate([[0], np.cumsum(n_words[some])])
+            at = np.repeat(before[some] - own[:-1], n_words[some]) + np.arange(own[-1])
+            keys[some, first : first + tables] = _sampled(*_kmers(h[at], own, size), range(first, first + tables))
+        first += tables
+    return n_words, keys
+
+
+def _sampled(x: np.ndarray, ahead: np.ndarray, tables: range) -> np.ndarray:
+    """The keys in some tables of documents with k-mers ``x``."""
+    first, size = ahead[:-1], np.diff(ahead)
+    keys = np.empty((len(first), len(tables)), np.uint64)
+    for column, t in enumerate(tables):
+        r = x * _SEEDS[t]
+        key = np.full(len(first), t + 1, np.uint64)
+        picked = []
+        for _ in range(SAMPLED):
+            least = np.minimum.reduceat(r, first)
+            where = np.flatnonzero(r == np.repeat(least, size))
+            owner = np.searchsorted(first, where, side="right") - 1
+            at = np.full(len(first), -1)
+            at[owner[::-1]] = where[::-1]
+            picked.append(at)
+            r[at] = U64(0xFFFFFFFFFFFFFFFF)
+        for at in np.sort(np.stack(picked), 0):
+            key = mix(key + x[at] * _STEP[1])
+        keys[:, column] = key | U64(1)
+    return keys
 
 
 def aligned(a: list[int], b: list[int], similarity: float = SIMILARITY) -> bool:
@@ -145,7 +159,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets):
                 n, keys = sketch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, TABLES, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel().view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), lists, pa.array([k.tobytes() for k in keys.astype("<u8")], pa.binary())], names=["node", "n_words", "keys", "packed"])
 
     return docs.mapInArrow(released(run), "node binary, n_words int, keys array<long>, packed binary")
@@ -298,7 +312,7 @@ def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("node"))
     sketched = materialise(_sketches(source.select("node", "text")).groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("packed").alias("packed")))
-    buckets = sketched.select("node", "n_words", F.posexplode("keys").alias("t", "key")).select("node", "n_words", "t", F.xxhash64("t", "key").alias("bucket"))
+    buckets = sketched.select("node", "n_words", F.posexplode("keys").alias("t", "key")).filter("key <> 0").select("node", "n_words", "t", F.xxhash64("t", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(buckets.join(sizes, "bucket"))
     # a bucket's leader is the node with the most company over all its buckets: the text that others were made from, rather than another copy
