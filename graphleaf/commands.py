@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphleaf.functions import text as X
+from graphleaf.functions.english import english_words
 from graphleaf.operators import evaluation as E
 from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
 from graphleaf.operators import vector_index as V
+from graphleaf.operators.text_index import build_text_index
 from graphleaf.session import session
 from graphleaf.sources import dump as D
 from graphleaf.sources import exports as K
 from graphleaf.sources.traces import read_traces
+from graphleaf.tables import written_folder
 
 #: Up to so many streams are picked by their offsets; more are read whole and joined.
 MOST_OFFSETS = 50_000
@@ -83,7 +86,8 @@ def materialize_mentions(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def load_traces(spark: SparkSession, a: argparse.Namespace) -> None:
     titles = D.read_index(spark, index_files(a, a.dump)).select("page_id", "title")
-    matches, corrections, unmatched = S.process_traces(read_traces(spark, a.traces), titles, a.fts_limit)
+    index = build_text_index(titles, a.title_index or written_folder(spark), english_words)
+    matches, corrections, unmatched = S.process_traces(read_traces(spark, a.traces), titles, a.fts_limit, index)
     matches.write.mode("overwrite").json(a.matches)
     corrections.write.mode("overwrite").option("header", True).csv(a.corrections)
     if a.unmatched_csv:
@@ -196,6 +200,7 @@ def parser() -> argparse.ArgumentParser:
     p = add(load_traces, "index", "traces", "matches", "corrections")
     p.add_argument("--dump", help="with index -: the dump or folder of dumps that the indexes are beside")
     p.add_argument("--fts-limit", type=int, default=S.FTS_LIMIT)
+    p.add_argument("--title-index", help="folder to keep the titles' full-text index in")
     p.add_argument("--unmatched-csv")
     add(humaneval_corrections, "decisions").add_argument("files", nargs="+")
     add(join_batches, "files", "output")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,6 +80,57 @@ def wratio(a: str | None, b: str | None) -> float:
     return max(score, partial_ratio(a, b) * scale, partial_token_ratio(a, b) * TOKEN_SCALE * scale)
 
 
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often each of 64 classes of characters occurs in each text: common characters are no fewer in classes."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for row, text in zip(out, texts, strict=True):
+        row += np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64).astype(np.int32)
+    return out
+
+
+def _bound(a: str, x: set[str], b: str, common: int) -> float:
+    """What ``wratio`` of two strings with ``common`` common characters (x: the words of ``a``) cannot exceed."""
+    if not a or not b:
+        return 0.0
+    if " ".join(a.split()) != a or " ".join(b.split()) != b:
+        return 100.0  # white space that joining words changes
+    short, total = min(len(a), len(b)), len(a) + len(b)
+    y = set(b.split(" "))
+    same, left, right = x & y, x - y, y - x
+    size = lambda words: sum(map(len, words)) + max(0, len(words) - 1)
+    by_bag = 200.0 * common / total
+    if max(len(a), len(b)) / short < 1.5:
+        if same and not (left and right):
+            return 100.0 * TOKEN_SCALE if by_bag < 100.0 * TOKEN_SCALE else by_bag
+        with_left, with_right = size(same | left), size(same | right)
+        by_set = 200.0 * min(common, with_left, with_right) / max(1, with_left + with_right)
+        if same:
+            by_set = max(by_set, *(200.0 * size(same) / (size(same) + w) for w in (with_left, with_right)))
+        return max(by_bag, max(by_bag, by_set) * TOKEN_SCALE)
+    scale = PARTIAL_SCALE if max(len(a), len(b)) / short <= 8 else FAR_PARTIAL_SCALE
+    part = lambda n: 200.0 * min(common, n) / max(1, n + min(common, n))
+    by_words = 100.0 if same else max(part(short), part(min(size(left), size(right))))
+    return max(by_bag, part(short) * scale, by_words * TOKEN_SCALE * scale)
+
+
+def best_match(query: str, titles: list[str], further: list[tuple]) -> tuple[int, float, int]:
+    """The number and likeness of the likest title, equal ones by length next to the query's, then by the greatest of ``further``; and how many were compared.
+
+    Titles are taken in the order of what their likeness cannot exceed, until that is below the best found."""
+    common = np.minimum(_bags(titles), _bags([query])).sum(1).tolist()
+    x = set(query.split(" "))
+    bounds = [_bound(query, x, t, c) for t, c in zip(titles, common, strict=True)]
+    best, at, compared = (-1.0,), -1, 0
+    for i in sorted(range(len(titles)), key=lambda i: -bounds[i]):
+        if bounds[i] + 1e-9 < best[0]:
+            break
+        compared += 1
+        own = (wratio(query, titles[i]), -abs(len(titles[i]) - len(query)), *further[i])
+        if own > best:
+            best, at = own, i
+    return at, best[0], compared
+
+
 def _wratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([wratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

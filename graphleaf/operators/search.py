@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphleaf.functions import text as X
-from graphleaf.functions.fuzzy import wratio_column
+from graphleaf.functions.fuzzy import best_match
+from graphleaf.operators.text_index import K1, B, TextIndex
 from graphleaf.tables import written
 
-K1, B, FTS_LIMIT = 1.2, 0.75, 1000
+FTS_LIMIT = 1000
 
 
 def _nearest(rows: DataFrame, vector: list[float], k: int, id_col: str, vector_col: str) -> DataFrame:
@@ -68,10 +70,16 @@ def bm25(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT, stop_wor
     return scored.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= limit).join(titles, "page_id").select("query", "page_id", "title", "score")
 
 
-def match_titles(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT) -> DataFrame:
+def _likest(query: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The likest of the candidates of one query, of which there are at most the limit."""
+    at, likeness, _ = best_match(query[0], rows["title"].tolist(), list(zip(rows["score"], -rows["page_id"], strict=True)))
+    return pd.DataFrame({"query": [query[0]], "near_id": [rows["page_id"].iloc[at]], "near_title": [rows["title"].iloc[at]], "likeness": [likeness]})
+
+
+def match_titles(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT, index: TextIndex | None = None) -> DataFrame:
     """query, page_id, matched, score, step for each distinct query: an equal title (1), else an equal normal form (2), else the likest BM25 candidate (3), else nulls (0).
 
-    ``score`` is the likeness in step 3. Of several titles the lowest page id counts; of equal
+    ``score`` is the likeness in step 3, whose candidates come from ``index`` if there is one. Of several titles the lowest page id counts; of equal
     likeness the one closest in length, then the best BM25 rank."""
     queries = queries.select("query").filter("query is not null").distinct()
     exact = titles.groupBy(F.col("title").alias("query")).agg(F.min("page_id").alias("exact_id"))
@@ -79,19 +87,19 @@ def match_titles(queries: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT)
     looked_up = queries.join(exact, "query", "left").withColumn("normal", X.normal_title(F.col("query"), stripped=True)).join(normal, "normal", "left")
     step = F.when(F.col("exact_id").isNotNull(), 1).when(F.col("t").isNotNull(), 2)
     plain = written(looked_up.select("query", step.alias("step"), F.coalesce("exact_id", "t.page_id").alias("page_id"), F.when(step == 1, F.col("query")).otherwise(F.col("t.title")).alias("matched")))
-    near = bm25(plain.filter("step is null").select("query"), titles, limit).withColumn("likeness", wratio_column("query", "title"))
-    likest = F.struct("likeness", -F.abs(F.length("title") - F.length("query")), "score", -F.col("page_id"))
-    best = near.groupBy("query").agg(F.max_by(F.struct("page_id", "title", "likeness"), likest).alias("b"))
+    open_queries = plain.filter("step is null").select("query")
+    near = bm25(open_queries, titles, limit) if index is None else index.search(open_queries, limit)
+    best = near.select("query", "page_id", "title", "score").groupBy("query").applyInPandas(_likest, "query string, near_id long, near_title string, likeness double")
     return plain.join(best, "query", "left").select(
-        "query", F.coalesce("page_id", "b.page_id").alias("page_id"), F.coalesce("matched", "b.title").alias("matched"), F.round("b.likeness", 6).alias("score"), F.coalesce("step", F.when(F.col("b").isNotNull(), 3).otherwise(0)).alias("step")
+        "query", F.coalesce("page_id", "near_id").alias("page_id"), F.coalesce("matched", "near_title").alias("matched"), F.round("likeness", 6).alias("score"), F.coalesce("step", F.when(F.col("near_id").isNotNull(), 3).otherwise(0)).alias("step")
     )
 
 
-def process_traces(traces: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def process_traces(traces: DataFrame, titles: DataFrame, limit: int = FTS_LIMIT, index: TextIndex | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches (ex_num, question, sources), corrections (original, matched, score; once for each original) and unmatched (ex_num, title) of traces (ex_num, question, source_url); a question without matches has no sources."""
     questions = traces.select("ex_num", "question").distinct()
     asked = traces.select("ex_num", "question", F.explode(X.article_titles(F.col("source_url"))).alias("query")).distinct()
-    found = match_titles(asked, titles, limit)
+    found = match_titles(asked, titles, limit, index)
     joined = asked.join(found, "query")
     hits = joined.filter("step > 0").groupBy("ex_num", "question").agg(F.sort_array(F.collect_list(F.struct(F.col("page_id").cast("string").alias("page_id"), F.col("matched").alias("title")))).alias("sources"))
     none = F.expr("cast(array() AS array<struct<page_id: string, title: string>>)")

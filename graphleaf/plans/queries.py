@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from graphleaf.functions import text as X
 from graphleaf.functions.calculate import calculate_column
+from graphleaf.functions.english import english_words
 from graphleaf.functions.fuzzy import wratio_column
 from graphleaf.operators import evaluation as E
 from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
+from graphleaf.operators.text_index import TextIndex, build_text_index
 from graphleaf.operators.vector_index import VectorIndex, build_index
 from graphleaf.plans.derived import SQL, boxed_graph, derived_graph, derived_pages, stored_graph, table
 from graphleaf.sources import dump as D
@@ -432,20 +434,42 @@ def title_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.match_titles(_asked(spark, sf_dir), _titles(spark, sf_dir)).filter("step = 2").select("query", "page_id")
 
 
-@query(f"""WITH {_TITLES}, words AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM titles),
+_BM25 = f"""WITH {_TITLES}, words AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM titles),
 postings AS (SELECT page_id, term, count(*) AS tf FROM words GROUP BY 1, 2), lens AS (SELECT page_id, count(*) AS len FROM words GROUP BY 1), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 tot AS (SELECT (SELECT count(*) FROM titles) AS n, (SELECT sum(len) FROM lens) AS s),
 asked AS (SELECT DISTINCT p_type AS query FROM part), q AS (SELECT query, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))) AS term FROM asked),
 scored AS (SELECT query, page_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (s / n))))), 6) AS score FROM q JOIN dfs USING (term) JOIN postings USING (term) JOIN lens USING (page_id), tot GROUP BY 1, 2)
-SELECT query, page_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, page_id) <= 20""")
+SELECT query, page_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, page_id) <= 20"""
+
+
+@query(_BM25)
 def title_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "part").select(F.col("p_type").alias("query")).distinct()
     return S.bm25(asked, _titles(spark, sf_dir), 20).select("query", "page_id", "score")
 
 
+_text_indexes: dict[tuple[str, str, str], TextIndex] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str, tokens: Callable) -> TextIndex:
+    """The index of all titles, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, tokens.__name__)
+    if key not in _text_indexes:
+        _text_indexes[key] = build_text_index(_titles(spark, sf_dir), written_folder(spark), tokens)
+    return _text_indexes[key]
+
+
+@query(_BM25)
+def title_index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stored index, which leaves out postings that cannot matter."""
+    asked = table(spark, sf_dir, "part").select(F.col("p_type").alias("query")).distinct()
+    return _text_index(spark, sf_dir, S.tokens).search(asked, 20).select("query", "page_id", "score")
+
+
 @query()
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.match_titles(_asked(spark, sf_dir), _titles(spark, sf_dir))
+    """Candidates from the stored index of English stems."""
+    return S.match_titles(_asked(spark, sf_dir), _titles(spark, sf_dir), index=_text_index(spark, sf_dir, english_words))
 
 
 # --- evaluation records -----------------------------------------------------
