@@ -209,39 +209,72 @@ def within_distance(graph: Graph, title: str, n: int = 2) -> DataFrame:
     return real.join(own, real["title"] == own["source"], "left_anti").groupBy("title").agg(F.min("distance").alias("distance")).orderBy("distance", "title")
 
 
+def _path(mentions: DataFrame, start: int, end: int, most: int) -> list[int] | None:
+    """The pages of a shortest path, of several the one whose pages, from the end on, are each the least predecessor; null if there is none of ``most`` hops.
+
+    Levels grow from both ends, the smaller one first, and are written; forward levels know each page's least predecessor.
+    Where the two meet, the pages on shortest paths are followed through the levels of the end, again with their least
+    predecessors, so that the path is the one that a search from the start alone finds."""
+    spark = mentions.sparkSession
+    ahead = [spark.createDataFrame([(start, None)], "page_id long, parent long")]
+    back = [spark.createDataFrame([(end,)], "page_id long")]
+    seen_ahead, seen_back = ahead[0].select("page_id"), back[0]
+    size_ahead = size_back = 1
+    meeting = None
+    while meeting is None and len(ahead) + len(back) - 2 < most and size_ahead and size_back:
+        if size_ahead <= size_back:
+            reached = mentions.join(ahead[-1].select("page_id"), "page_id", "left_semi").groupBy("target").agg(F.min("page_id").alias("parent"))
+            ahead.append(written(reached.select(F.col("target").alias("page_id"), "parent").join(seen_ahead, "page_id", "left_anti")))
+            seen_ahead, size_ahead = seen_ahead.unionByName(ahead[-1].select("page_id")), ahead[-1].count()
+        else:
+            reached = mentions.join(back[-1].select(F.col("page_id").alias("target")), "target", "left_semi").select("page_id").distinct()
+            back.append(written(reached.join(seen_back, "page_id", "left_anti")))
+            seen_back, size_back = seen_back.unionByName(back[-1]), back[-1].count()
+        both = written(ahead[-1].select("page_id").join(back[-1], "page_id", "left_semi"))
+        meeting = both if both.limit(1).count() else None
+    if meeting is None:
+        return None
+    onward, on = [], meeting
+    for level in reversed(back[:-1]):
+        after = mentions.join(on.select("page_id"), "page_id", "left_semi").join(level.select(F.col("page_id").alias("target")), "target", "left_semi")
+        on = written(after.groupBy("target").agg(F.min("page_id").alias("parent")).select(F.col("target").alias("page_id"), "parent"))
+        onward.append(on)
+    path, at = [end], end
+    for level in reversed(ahead[1:] + onward):  # at most ``most`` look-ups of one row
+        at = level.filter(F.col("page_id") == at).first()["parent"]
+        path.insert(0, at)
+    return path
+
+
+def _leading_to(redirects: DataFrame, pages: list[int]) -> DataFrame:
+    """(target, to_id): the few ``pages``, and all pages from which up to ``MAX_REDIRECTS`` redirects pass through or end at one."""
+    spark = redirects.sparkSession
+    found = edge = spark.createDataFrame([(p, p) for p in pages], "target long, to_id long")
+    for _ in range(MAX_REDIRECTS):
+        before = redirects.join(edge, "target").select(F.col("page_id").alias("target"), "to_id").distinct()
+        edge = written(before.join(found, ["target", "to_id"], "left_anti"))
+        if not edge.limit(1).count():
+            break
+        found = found.unionByName(edge)
+    return found
+
+
 def shortest_path(graph: Graph, title_a: str, title_b: str, most: int = 6) -> DataFrame:
     """hop, from_article, to_article, paragraph_nodeID, paragraph_text of one shortest path of mentions.
 
-    Levels of (page, least predecessor) are written one by one until the end is reached; of equal paths the one through
-    the least predecessors counts. A hop's evidence is its shortest linking paragraph, the first of equals; a hop without
-    one has no row. The same start and end, or no path, give no rows."""
+    Of equal paths the one through the least predecessors counts. A hop's evidence is its shortest linking paragraph, the
+    first of equals, a link through redirects to the next article or past it counting too; a hop without one has no row. The same start and end, or no path, give no rows."""
     spark = graph.articles.sparkSession
     schema = "hop int, from_article string, to_article string, paragraph_nodeID string, paragraph_text string"
     ends = [resolved_id(graph, t) for t in (title_a, title_b)]
     if None in ends or ends[0] == ends[1]:
         return spark.createDataFrame([], schema)
-    mentions = written(graph.mentions()) if graph.mention_table is None else graph.mentions()  # read by every level
-    levels = [spark.createDataFrame([(ends[0], None)], "page_id long, parent long")]
-    seen = levels[0].select("page_id")
-    for _ in range(most):
-        edge = levels[-1].select("page_id")
-        reached = mentions.join(edge, "page_id", "left_semi").groupBy("target").agg(F.min("page_id").alias("parent")).select(F.col("target").alias("page_id"), "parent")
-        fresh = written(reached.join(seen, "page_id", "left_anti"))
-        levels.append(fresh)
-        if fresh.filter(F.col("page_id") == ends[1]).limit(1).count():
-            break
-        seen = seen.unionByName(fresh.select("page_id"))
-    else:
+    path = _path(written(graph.mentions()) if graph.mention_table is None else graph.mentions(), *ends, most)
+    if path is None:
         return spark.createDataFrame([], schema)
-    path, at = [ends[1]], ends[1]
-    for level in reversed(levels[1:]):  # at most six look-ups of one row
-        at = level.filter(F.col("page_id") == at).first()["parent"]
-        path.insert(0, at)
     hops = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False))], "hop int, page_id long, to_id long"))
     starts, passed = path[:-1], path[1:]  # at most six each
-    by_redirect = graph.terminals().filter(F.col("terminal").isin(passed)).select(F.col("page_id").alias("target"), F.col("terminal").alias("to_id"))
-    wanted = by_redirect.union(spark.createDataFrame([(p, p) for p in passed], "target long, to_id long")).distinct()
-    reach = graph.links.filter(F.col("page_id").isin(starts)).join(wanted, "target").select("page_id", "sec_i", "para_i", "to_id")
+    reach = graph.links.filter(F.col("page_id").isin(starts)).join(_leading_to(graph.redirects, passed), "target").select("page_id", "sec_i", "para_i", "to_id")
     evidence = reach.join(hops, ["page_id", "to_id"]).join(graph.paragraphs.filter(F.col("page_id").isin(starts)), ["page_id", "sec_i", "para_i"]).groupBy("hop", "page_id", "to_id").agg(F.min_by(F.struct("sec_i", "para_i", "text"), F.struct(F.length("text"), "sec_i", "para_i")).alias("e"))
     on_path = graph.articles.filter(F.col("page_id").isin(path))
     names = on_path.select(F.col("page_id").alias("to_id"), F.col("title").alias("to_article"))

@@ -94,3 +94,45 @@ def test_paths_match_breadth_first_search(spark):
     far = max((d, k) for k, d in distance.items() if d <= 6)
     path = rows(G.shortest_path(g, f"T{start}", f"T{far[1]}"))
     assert len(path) == far[0] and path[-1][2] == f"T{far[1]}" and all(a[2] == b[1] for a, b in zip(path, path[1:]))
+
+
+def one_sided(edges, start, end, most=6):
+    """The path that a search from the start finds, each page's predecessor being the least of the level before."""
+    parents, level = {start: None}, [start]
+    for _ in range(most):
+        fresh = {}
+        for a, b in edges:
+            if a in level and b not in parents:
+                fresh[b] = min(a, fresh.get(b, a))
+        parents |= fresh
+        level = list(fresh)
+        if end in parents:
+            path = [end]
+            while path[0] != start:
+                path.insert(0, parents[path[0]])
+            return path
+    return None
+
+
+def test_two_sided_paths_are_those_of_one_side(spark):
+    rng = random.Random(11)
+    edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(130)} | {(100 + i, 101 + i) for i in range(9)} | {(i, 30 + i % 5) for i in range(20)})
+    mentions = spark.createDataFrame(edges, "page_id long, target long")
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(10)] + [(100, 106), (100, 107), (106, 100)]
+    for a, b in pairs:
+        if a != b:
+            assert G._path(mentions, a, b, 6) == one_sided(edges, a, b), (a, b)
+
+
+def test_evidence_through_any_redirect(spark):
+    """7 redirects to 8, which redirects to 9; a link to 7 is evidence for 8 as well as for 9."""
+    make = spark.createDataFrame
+    g = G.Graph(
+        articles=make([(1, "A"), (7, "R1"), (8, "R2"), (9, "End")], "page_id long, title string"), sections=make([(1, 0)], "page_id long, sec_i int"),
+        paragraphs=make([(1, 0, 0, "a long text that links to R2"), (1, 0, 1, "to R1")], "page_id long, sec_i int, para_i int, text string"),
+        links=make([(1, 0, 0, 8), (1, 0, 1, 7)], "page_id long, sec_i int, para_i int, target long"), redirects=make([(7, 8), (8, 9), (9, 9)], "page_id long, target long"),
+    )
+    assert sorted(rows(G._leading_to(g.redirects, [8, 9]))) == [(7, 8), (7, 9), (8, 8), (8, 9), (9, 9)]
+    assert rows(G._leading_to(g.redirects, [7])) == [(7, 7)]
+    reach = G._leading_to(g.redirects, [8]).join(g.links, "target")
+    assert {r["para_i"] for r in reach.collect()} == {0, 1}
