@@ -24,7 +24,8 @@ MAX_REDIRECTS = 10
 class Graph:
     """articles(page_id, title), sections(page_id, sec_i), paragraphs(page_id, sec_i, para_i, text), links(page_id, sec_i, para_i, target), redirects(page_id, target).
 
-    ``stored`` keeps what reads derive from these, mentions and the ends of redirects, as tables."""
+    ``stored`` keeps what reads derive from these, mentions and the ends of redirects, as tables; a graph of ``layout.save_graph`` has
+    the articles by title and the links by target as well."""
 
     articles: DataFrame
     sections: DataFrame
@@ -35,6 +36,8 @@ class Graph:
     chunk_overlap: int = X.CHUNK_OVERLAP
     mention_table: DataFrame | None = None
     terminal_table: DataFrame | None = None
+    titles: DataFrame | None = None
+    links_in: DataFrame | None = None
 
     def stored(self) -> Graph:
         return replace(self, mention_table=written(self.mentions()), terminal_table=written(self.terminals()))
@@ -73,7 +76,7 @@ def redirect_terminals(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataF
 
 def resolved_id(graph: Graph, title: str) -> int | None:
     """The page of that title, or the one its redirects end at within ``MAX_REDIRECTS`` hops: a look-up of the title, then one for each hop, all of a single row."""
-    start = graph.articles.filter(F.col("title") == title).agg(F.min("page_id")).first()[0]
+    start = (graph.articles if graph.titles is None else graph.titles).filter(F.col("title") == title).agg(F.min("page_id")).first()[0]
     at = start
     for hop in range(MAX_REDIRECTS + 1):
         if at is None:
@@ -145,7 +148,7 @@ def window_sections(graph: Graph, section_id: str, n: int = 2) -> DataFrame:
 def backlinks(graph: Graph, title: str, limit: int = 50) -> DataFrame:
     """source_article, paragraph_nodeID, text for each link from another article, a paragraph that links twice twice."""
     target = F.lit(resolved_id(graph, title)).cast("long")
-    into = graph.links.filter((F.col("target") == target) & (F.col("page_id") != target)).select("page_id", "sec_i", "para_i")
+    into = (graph.links if graph.links_in is None else graph.links_in).filter((F.col("target") == target) & (F.col("page_id") != target)).select("page_id", "sec_i", "para_i")
     rows = into.join(graph.paragraphs, ["page_id", "sec_i", "para_i"]).join(graph.articles, "page_id")
     return rows.orderBy("title", "page_id", "sec_i", "para_i").limit(limit).select(F.col("title").alias("source_article"), X.paragraph_id(F.col("page_id"), F.col("sec_i"), F.col("para_i")).alias("paragraph_nodeID"), "text")
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphleaf.operators.graph import Graph
+from graphleaf.operators.layout import save_graph
+from graphleaf.tables import written_folder
 
 PARAGRAPHS_IN_SECTION = 4
 
@@ -42,6 +44,17 @@ def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _stored[key]
 
 
+_kept: dict[tuple[str, str], Graph] = {}
+
+
+def kept_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The derived graph in bucketed tables, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = save_graph(derived_graph(spark, sf_dir), written_folder(spark))
+    return _kept[key]
+
+
 def boxed_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Every document as an article of two sections: an infobox that holds a template and a lead; a heading line with the whole text, and a second infobox."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text", "lang", "source")

@@ -18,7 +18,7 @@ from graphleaf.operators import graph as G
 from graphleaf.operators import search as S
 from graphleaf.operators.text_index import TextIndex, build_text_index
 from graphleaf.operators.vector_index import VectorIndex, build_index
-from graphleaf.plans.derived import SQL, boxed_graph, derived_graph, derived_pages, stored_graph, table
+from graphleaf.plans.derived import SQL, boxed_graph, derived_graph, derived_pages, kept_graph, stored_graph, table
 from graphleaf.sources import dump as D
 from graphleaf.sources import exports as X_
 from graphleaf.sources.wikitext import parsed_pages
@@ -57,6 +57,12 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.chunk_count(F.col("text")).alias("n_chunks"))
 
 
+@query(ORACLES["article_text"])
+def kept_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from bucketed tables, of which one bucket each is read."""
+    return G.article_text(kept_graph(spark, sf_dir), "Doc 6")
+
+
 def _chain_sql(source: str, keys: str, number: str, node: str, kind: str) -> str:
     return f"""% pairs AS (SELECT {node} AS a, lead({node}) OVER (PARTITION BY {keys} ORDER BY {number}) AS b FROM {source})
 SELECT a AS start_id, b AS end_id, 'NEXT_{kind}' AS rel_type FROM pairs WHERE b IS NOT NULL UNION ALL SELECT b, a, 'PREVIOUS_{kind}' FROM pairs WHERE b IS NOT NULL"""
@@ -107,6 +113,12 @@ def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.backlinks(derived_graph(spark, sf_dir), "Doc 6", 500)
 
 
+@query(ORACLES["backlinks"])
+def kept_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the links kept by target."""
+    return G.backlinks(kept_graph(spark, sf_dir), "Doc 6")
+
+
 @query("SELECT page_id, target AS terminal FROM redirects", graph_sql=True)
 def redirect_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.redirect_terminals(derived_graph(spark, sf_dir).redirects)
