@@ -21,7 +21,7 @@ from graphleaf.session import session
 from graphleaf.sources import dump as D
 from graphleaf.sources import exports as K
 from graphleaf.sources.traces import read_traces
-from graphleaf.tables import written_folder
+from graphleaf.tables import numbered, written_folder
 
 #: Up to so many streams are picked by their offsets; more are read whole and joined.
 MOST_OFFSETS = 50_000
@@ -171,7 +171,7 @@ def count_tokens(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def make_batches(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = E.numbered(spark.read.option("multiLine", True).json(a.questions))
+    rows = numbered(spark.read.option("multiLine", True).json(a.questions))
     text = {c: F.to_json(c) if t.startswith("array") else F.col(c).cast("string") for c, t in rows.dtypes if c != "pos"}
     K.write_batches(E.batches(rows.select("pos", *[v.alias(c) for c, v in text.items()])), a.output)
 

@@ -69,19 +69,6 @@ def decided_rows(corrections: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows
 
 
-def numbered(rows: DataFrame, out: str = "pos") -> DataFrame:
-    """Add ``out``: gapless from 0 in the order in which Spark reads ``rows`` (files in order, then lines).
-
-    Rows are counted for each partition first; the running totals, a row a partition, are joined to the rows."""
-    marked = rows.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # as many rows as partitions
-    placed = marked.withColumn("_part", part).join(F.broadcast(firsts), "_part")
-    return placed.withColumn(out, F.col("_first") + F.col("_id") - F.shiftleft(F.col("_part"), 33)).drop("_id", "_part", "_first")
-
-
 def batches(questions: DataFrame, rows: int = BATCH_ROWS, order: str = "pos") -> DataFrame:
     """Add ``batch``: 0 for the first ``rows`` positions (gapless from 0), and so on."""
     return questions.withColumn("batch", F.floor(F.col(order) / rows).cast("int"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphleaf.functions import text as X
-from graphleaf.tables import written
+from graphleaf.tables import numbered, written
 
 MAX_REDIRECTS = 10
 
@@ -212,6 +212,36 @@ def within_distance(graph: Graph, title: str, n: int = 2) -> DataFrame:
     return real.join(own, real["title"] == own["source"], "left_anti").groupBy("title").agg(F.min("distance").alias("distance")).orderBy("distance", "title")
 
 
+def distances_of(graph: Graph, titles: DataFrame, n: int = 2) -> DataFrame:
+    """source, title, distance: ``within_distance`` for each title of ``titles`` (title), all in one search.
+
+    A page's sources are bits of 64-bit words, a row for each word that has any: a level is one join with the mentions
+    however many sources there are, and their bits are put together in the tasks. A source's title appears as it is asked; titles that no article has
+    get no rows."""
+    asked = titles.select(F.col("title").alias("source")).filter("source is not null").distinct()
+    named = graph.articles.groupBy("title").agg(F.min("page_id").alias("first"))
+    found = asked.join(named, F.col("source") == F.col("title")).join(graph.terminals().withColumnRenamed("page_id", "first"), "first", "left").select("source", F.coalesce("terminal", "first").alias("page_id"))
+    starts = written(numbered(found, "number"))
+    bit = F.expr("shiftleft(1L, cast(number % 64 AS int))")
+    seen = edge = starts.groupBy("page_id", F.floor(F.col("number") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    mentions = written(graph.mentions()) if n > 1 and graph.mention_table is None else graph.mentions()
+    levels = []
+    for k in range(1, n + 1):
+        reached = mentions.join(edge, "page_id").groupBy(F.col("target").alias("page_id"), "word").agg(F.bit_or("bits").alias("bits"))
+        before = seen.select("page_id", "word", F.col("bits").alias("old"))
+        fresh = reached.join(before, ["page_id", "word"], "left").select("page_id", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).filter("bits <> 0")
+        edge = written(fresh)
+        levels.append(edge.withColumn("distance", F.lit(k)))
+        seen = written(seen.unionByName(edge).groupBy("page_id", "word").agg(F.bit_or("bits").alias("bits"))) if k < n else seen
+    near = reduce(DataFrame.unionByName, levels)
+    # from bits to sources again, and to the articles that redirects end at
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    pairs = near.select("page_id", "distance", "word", F.explode(places).alias("place")).select("page_id", "distance", (F.col("word") * 64 + F.col("place")).alias("number"))
+    real = pairs.join(graph.terminals(), "page_id", "left").select(F.coalesce("terminal", "page_id").alias("page_id"), "distance", "number").join(graph.articles, "page_id")
+    ends = starts.join(graph.articles.withColumnRenamed("title", "own"), "page_id").select("number", "source", "own")
+    return real.join(ends, "number").filter("title <> own").groupBy("source", "title").agg(F.min("distance").alias("distance"))
+
+
 def _path(mentions: DataFrame, start: int, end: int, most: int) -> list[int] | None:
     """The pages of a shortest path, of several the one whose pages, from the end on, are each the least predecessor; null if there is none of ``most`` hops.
 

@@ -143,6 +143,16 @@ def within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within_distance(stored_graph(spark, sf_dir), "Doc 1", 3)
 
 
+@query("""% near AS (SELECT page_id AS source, page_id, 0 AS d FROM articles WHERE page_id % 50 = 0 UNION SELECT n.source, m.target, d + 1 FROM near n JOIN mentions m ON m.page_id = n.page_id WHERE d < 3),
+least AS (SELECT source, page_id, min(d) AS d FROM near GROUP BY 1, 2 HAVING min(d) > 0),
+ended AS (SELECT source, coalesce(r.target, l.page_id) AS page_id, d FROM least l LEFT JOIN redirects r ON r.page_id = l.page_id)
+SELECT 'Doc ' || source AS source, 'Doc ' || page_id AS title, min(d)::INTEGER AS distance FROM ended WHERE page_id <> source GROUP BY 1, 2""", graph_sql=True)
+def distances_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is within three mentions of every article whose id is divisible by 50, in one search."""
+    g = stored_graph(spark, sf_dir)
+    return G.distances_of(g, g.articles.filter("page_id % 50 = 0").select("title"), 3)
+
+
 @query("""% near AS (SELECT 1::BIGINT AS page_id, 0 AS d UNION SELECT m.target, d + 1 FROM near n JOIN mentions m ON m.page_id = n.page_id WHERE d < 6),
 dist AS (SELECT page_id, min(d) AS d FROM near GROUP BY 1),
 par AS (SELECT b.page_id, min(a.page_id) AS parent, b.d FROM dist a JOIN mentions m ON m.page_id = a.page_id JOIN dist b ON b.page_id = m.target AND b.d = a.d + 1 GROUP BY 1, 3),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphleaf.commands import main
 from graphleaf.operators import evaluation as E
 from graphleaf.sources import exports as K
+from graphleaf.tables import numbered
 from test_records import PAGES, dump, page_xml  # noqa: F401
 
 
@@ -103,7 +104,7 @@ def test_batches_of_several_files(spark, tmp_path):
     sizes = {r["batch"]: r["count"] for r in spark.read.option("header", True).csv(str(tmp_path / "out")).groupBy("batch").count().collect()}
     assert sizes == {0: 32, 1: 28}
     parts = spark.range(0, 100, 1, 7).union(spark.range(200, 203, 1, 2)).filter("id % 3 <> 0")
-    assert sorted(r["pos"] for r in E.numbered(parts).collect()) == list(range(parts.count())) and E.numbered(parts.limit(0)).collect() == []
+    assert sorted(r["pos"] for r in numbered(parts).collect()) == list(range(parts.count())) and numbered(parts.limit(0)).collect() == []
 
 
 def test_tokens_of_whole_texts(spark, sf):

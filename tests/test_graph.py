@@ -136,3 +136,18 @@ def test_evidence_through_any_redirect(spark):
     assert rows(G._leading_to(g.redirects, [7])) == [(7, 7)]
     reach = G._leading_to(g.redirects, [8]).join(g.links, "target")
     assert {r["para_i"] for r in reach.collect()} == {0, 1}
+
+
+def test_many_sources_at_once(spark):
+    rng = random.Random(8)
+    n = 150
+    edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(260)})
+    articles = spark.createDataFrame([(i, f"T{i}") for i in range(n)] + [(900, "T3"), (901, "Old")], "page_id long, title string")
+    links = spark.createDataFrame([(a, 0, 0, b) for a, b in edges], "page_id long, sec_i int, para_i int, target long")
+    g = G.Graph(articles, None, None, links, spark.createDataFrame([(901, 5), (7, 8)], "page_id long, target long")).stored()
+    sources = [f"T{i}" for i in range(140)] + ["Old", "nobody", None, "T1"]
+    got = {}
+    for r in G.distances_of(g, spark.createDataFrame([(t,) for t in sources], "title string"), 3).collect():
+        got.setdefault(r["source"], {})[r["title"]] = r["distance"]
+    for title in ("T1", "T3", "T7", "T64", "T139", "Old", "nobody"):
+        assert got.get(title, {}) == {r[0]: r[1] for r in rows(G.within_distance(g, title, 3))}
