@@ -16,52 +16,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _HEADING = re.compile(r"^(={1,6})[^=\n].*?\1[ \t]*$", re.M)
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
-_REFERENCE = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref>", re.S | re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-_LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
-_OUTSIDE = re.compile(r"\[(?:https?:)?//[^\s\]]+(?:[ \t]+([^\]]*))?\]")
-_QUOTES = re.compile(r"'{2,5}")
+#: What the scanner stops at; everything between is text.
+_TOKEN = re.compile(
+    r"(?P<comment><!--.*?(?:-->|\Z))|<nowiki\s*/>|<nowiki\s*>(?P<nowiki>.*?)(?:</nowiki\s*>|\Z)|(?P<emptyref><ref\b[^<>]*/>)|(?P<ref><ref\b[^<>]*>)|(?P<endref></ref\s*>)|(?P<tag></?[a-zA-Z][^<>]*>)"
+    r"|(?P<open>\{{2,})|(?P<close>\}{2,})|(?P<table>\{\|)|(?P<endtable>\|\}(?!\}))|(?P<link>\[\[)|(?P<outside>\[(?:https?:)?//[^\s\]]+[ \t]*)|(?P<brackets>\]+)|(?P<pipe>\|)|(?P<quotes>'{2,5})",
+    re.S | re.I,
+)
 
 
 def sections(text: str) -> list[str]:
     """The lead, then each section with everything up to the next heading of its level or above."""
     found = [(m.start(), len(m[1])) for m in _HEADING.finditer(text)]
-    out = [text[: found[0][0]] if found else text]
+    ends = [len(text)] * len(found)
+    within: list[int] = []  # headings whose sections are open, each deeper than the one before
     for i, (start, level) in enumerate(found):
-        end = next((s for s, other in found[i + 1 :] if other <= level), len(text))
-        out.append(text[start:end])
-    return out
-
-
-def without_pairs(text: str, opening: str, closing: str) -> str:
-    """``text`` without balanced spans, nested ones included; unbalanced marks stay."""
-    depth, start, out, kept = 0, 0, [], 0
-    for m in re.finditer(f"{re.escape(opening)}|{re.escape(closing)}", text):
-        if m[0] == opening:
-            if not depth:
-                start = m.start()
-            depth += 1
-        elif depth:
-            depth -= 1
-            if not depth:
-                out.append(text[kept:start])
-                kept = m.end()
-    return "".join([*out, text[kept:]])
+        while within and found[within[-1]][1] >= level:
+            ends[within.pop()] = start
+        within.append(i)
+    return [text[: found[0][0]] if found else text, *(text[start:end] for (start, _), end in zip(found, ends, strict=True))]
+
+
+class _Scanner:
+    """One pass over a piece of wikitext, with a stack of what is open.
+
+    Templates, parameters, tables, references and comments leave no text; of a link its label is left, or else its target, of a link to outside its
+    label; other tags and quotes go, their contents stay; nowiki contents stay as they are. What is never closed stays as text, a
+    reference without its tag, and so do closing marks that close nothing. A mark that closes something makes text of what was opened inside and is still open."""
+
+    def __init__(self, text: str):
+        self.out: list[str] = []
+        self.targets: list[str | None] = []
+        self.open: list[tuple[str, int, int]] = []  # kind, where it is in ``out``, its number among the targets
+        self.pipes: dict[int, int] = {}  # where a link's first pipe is, by where the link is
+        self.count: dict[str, int] = {}
+        at = 0
+        for m in _TOKEN.finditer(text):
+            self.out.append(text[at : m.start()])
+            at = m.end()
+            self._token(m.lastgroup, m)
+        self.out.append(text[at:])
+
+    def text(self) -> str:
+        return html.unescape("".join(self.out))
+
+    def links(self) -> list[str]:
+        return [t.split("#", 1)[0].lstrip(":") for t in self.targets if t is not None]
+
+    def _token(self, kind: str | None, m: re.Match) -> None:
+        if kind == "nowiki":
+            self.out.append(m[kind])
+        elif kind == "open":
+            n = len(m[0])
+            for size in [2] * (n // 2) if n in (2, 4) else [2] * (n % 3 == 2) + [3] * (n // 3) + [1] * (n % 3 == 1):
+                self._push({2: "template", 3: "parameter"}[size], "{" * size) if size > 1 else self.out.append("{")
+        elif kind == "close":
+            self._close_braces(len(m[0]))
+        elif kind in ("table", "link", "outside", "ref"):
+            self._push(kind, "" if kind == "ref" else m[0])
+        elif kind == "endtable":
+            self._drop("table", m[0])
+        elif kind == "endref":
+            self._drop("ref", "")
+        elif kind == "brackets":
+            self._close_brackets(len(m[0]))
+        elif kind == "pipe":
+            if self.open and self.open[-1][0] == "link":
+                self.pipes.setdefault(self.open[-1][1], len(self.out))
+            self.out.append("|")
+
+    def _push(self, kind: str, literal: str) -> None:
+        self.open.append((kind, len(self.out), len(self.targets)))
+        self.count[kind] = self.count.get(kind, 0) + 1
+        self.out.append(literal)
+        if kind == "link":
+            self.targets.append(None)
+
+    def _pop(self, kind: str) -> tuple[str, int, int]:
+        """The nearest open ``kind``; what was opened in it and not closed is text."""
+        while True:
+            top = self.open.pop()
+            self.count[top[0]] -= 1
+            if top[0] == kind:
+                return top
+
+    def _drop(self, kind: str, literal: str) -> None:
+        if self.count.get(kind):
+            del self.out[self._pop(kind)[1] :]
+        else:
+            self.out.append(literal)
+
+    def _close_braces(self, n: int) -> None:
+        while n >= 2:
+            nearest = next((k for k, _, _ in reversed(self.open) if k in ("template", "parameter")), None) if self.count.get("template") or self.count.get("parameter") else None
+            if nearest is None:
+                break
+            if nearest == "parameter" and n < 3:
+                if not self.count.get("template"):
+                    break
+                nearest = "template"
+            self._drop(nearest, "")
+            n -= 3 if nearest == "parameter" else 2
+        self.out.append("}" * n)
+
+    def _close_brackets(self, n: int) -> None:
+        while n:
+            in_link = self.count.get("link", 0) > 0
+            if self.open and self.open[-1][0] == "outside" and (n % 2 or not in_link):
+                self.out[self._pop("outside")[1]] = ""
+                n -= 1
+            elif n >= 2 and in_link:
+                self._close_link()
+                n -= 2
+            else:
+                self.out.append("]")
+                n -= 1
+
+    def _close_link(self) -> None:
+        _, start, number = self._pop("link")
+        pipe = self.pipes.get(start)
+        self.targets[number] = "".join(self.out[start + 1 : pipe])
+        self.out[start] = ""
+        if pipe is not None:
+            self.out[start + 1 : pipe + 1] = [""] * (pipe - start)
 
 
 def plain_text(text: str) -> str:
-    text = _REFERENCE.sub("", _COMMENT.sub("", text))
-    text = without_pairs(without_pairs(text, "{{", "}}"), "{|", "|}")
-    for _ in range(3):  # labels may hold links
-        text = _LINK.sub(lambda m: m[2] if m[2] is not None else m[1], text)
-    text = _OUTSIDE.sub(lambda m: m[1] or "", text)
-    return html.unescape(_QUOTES.sub("", _TAG.sub("", text)))
+    return _Scanner(text).text()
 
 
 def links(text: str) -> list[str]:
-    """Targets of the links in order, repeated ones too; without the part after ``#``."""
-    return [m[1].split("#", 1)[0].lstrip(":") for m in _LINK.finditer(_COMMENT.sub("", text))]
+    """Targets of the links in order of their starts, repeated ones too, those in templates and labels as well; without the part after ``#``."""
+    return _Scanner(text).links()
 
 
 def parse(text: str) -> list[list[tuple[str, list[str]]]]:
@@ -70,9 +155,10 @@ def parse(text: str) -> list[list[tuple[str, list[str]]]]:
     for section in sections(text):
         own = []
         for part in map(str.strip, section.split("\n\n")):
-            plain = plain_text(part) if part else ""
+            scanned = _Scanner(part)
+            plain = scanned.text()
             if plain.strip():
-                own.append((plain, links(part)))
+                own.append((plain, scanned.links()))
         out.append(own)
     return out
 
