@@ -275,6 +275,16 @@ def wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_pages(docs.select(F.col("doc_id").alias("page_id"), page.alias("text"))).withColumn("targets", F.array_join("targets", ","))
 
 
+@query("""SELECT doc_id AS page_id, 0 AS sec_i, 0 AS para_i, 'thumb|by the ' || lang || ' now ' || text AS text, 'File:' || source || '.jpg;' || lang || ';in;cited' AS targets FROM documents
+UNION ALL SELECT doc_id, 1, 0, '== ' || lang || ' ==' || chr(10) || source AS text, source FROM documents""")
+def wikitext_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in captions, in templates and in references, and whole texts that are not to be read as marks."""
+    marks = [F.lit("[[File:"), F.col("source"), F.lit(".jpg|thumb|by [["), F.col("lang"), F.lit("|the "), F.col("lang"), F.lit("]] now]]{{t|{{u|[[in]]}}|\n{| class=x\n| y\n|}\n}}<ref>r [[cited]]</ref> <nowiki>"), F.col("text")]
+    text = F.concat(*marks, F.lit("</nowiki>\n== "), F.col("lang"), F.lit(" ==\n[["), F.col("source"), F.lit("#top|''"), F.col("source"), F.lit("'']]"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), text.alias("text"))
+    return parsed_pages(pages).select("page_id", "sec_i", "para_i", "text", F.array_join("targets", ";").alias("targets"))
+
+
 # --- index and dump ---------------------------------------------------------
 
 @query("""SELECT 'f' || (p_partkey % 3) AS file, (p_partkey // 100 * 1000)::BIGINT AS "offset", p_partkey AS page_id, p_name || ': ' || p_brand AS title,
