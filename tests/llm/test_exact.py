@@ -25,7 +25,7 @@ def rows(df):
 def test_query_matches_its_sql(spark, sf, tmp_path, name):
     queries.QUERIES[name](spark, sf).write.parquet(str(tmp_path / "out"))
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     c.execute(f"create table expected as {queries.ORACLES[name]}")
     names = ", ".join(r[0] for r in c.execute("describe expected").fetchall())
