@@ -76,7 +76,8 @@ def format_events(log: DataFrame) -> DataFrame:
     number apart), seq (order of events), event, role, text. Null conversation ids form
     one conversation, null texts and roles are empty, an event other than those named is
     taken as a delta, deltas before any ``message`` open one. Rows of a conversation
-    follow each other within a partition, parts in order."""
+    follow each other within a partition, parts in order. A very long message is in memory as a whole,
+    one at a time; repeated events are events each; an empty log gives no rows; further columns are ignored."""
     order = ["conv_id", "message", "tie", "seq"]
     log = in_small_batches(log).select(F.col("conv_id").cast("long"), "message", "tie", "seq", "event", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
 
@@ -136,7 +137,9 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str,
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and loss text of ``format_events``' output, a row for each conversation; reads only ``formatted`` and ``loss_spans``."""
+    """Turns and loss text of ``format_events``' output, a row for each conversation; reads only ``formatted`` and ``loss_spans``.
+
+    The parts of a conversation are expected as ``format_events`` gives them, whatever their length; an empty frame gives no rows; further columns are ignored."""
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 

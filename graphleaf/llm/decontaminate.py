@@ -213,7 +213,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Null and wordless texts have no words and no hits; null or wordless items have no
     windows; an item without id marks words but is not listed; repeated rows and items
     repeat; with an empty benchmark nothing is hit. Columns of ``docs`` that have one of
-    the three new names are replaced."""
+    the three new names are replaced, all others stay. Texts are searched whole, whatever their length; items of
+    equal text are hit together, each under its id, so that nothing ties; an empty table gives no rows."""
     docs = in_small_batches(without(docs, NEW))
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
@@ -254,7 +255,9 @@ def _searcher(shared, text_col: str, again: bool):
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a word inside a benchmark window, columns as they were."""
+    """The documents without a word inside a benchmark window, columns as they were, those of clashing names too.
+
+    Null, empty and wordless texts stay; repeated rows stay or go each; with an empty benchmark all stay; an empty table gives no rows."""
     inside, back = set_aside(docs, NEW)
     return back(decontaminate(inside, benchmark).filter(F.size("hit_spans") == 0))
 

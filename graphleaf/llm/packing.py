@@ -166,7 +166,8 @@ def _tokenizer(tokenizer_file: str) -> PieceIds:
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: ``doc_id, piece, start, length, ids_crc32`` and, on demand, ``ids`` (packed little-endian unsigned 32-bit).
 
-    Null and empty texts are the end id alone; every row of ``docs`` is a document."""
+    Null and empty texts are the end id alone; every row of ``docs`` is a document, a repeated one too; a very long
+    text gives as many pieces as it takes; null ids are kept; an empty table gives no rows; other columns are ignored; nothing ties."""
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,7 +126,10 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Add ``quality`` (0 to 1) to ``docs``; null texts count as empty. A column of that name in ``docs`` is replaced."""
+    """Add ``quality`` (0 to 1) to ``docs``; null texts count as empty. A column of that name in ``docs`` is replaced.
+
+    Every row keeps its other columns; repeated rows and equal texts score alike, whatever stands beside them;
+    texts of any length are read whole; an empty table gives no rows."""
     docs = in_small_batches(without(docs, ["quality"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
