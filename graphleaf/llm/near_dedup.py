@@ -302,7 +302,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty and all empty texts are equal; texts without words are only
     near equal texts; repeated rows are copies; null ids are kept, and a class of null ids
     only has a null class; an empty table gives no rows; other columns are ignored. Texts of any
-    length are sketched and aligned whole; of bucket leaders with equal company the greatest hash of the text leads, which no result but the order of tests depends on."""
+    length are sketched and aligned whole; of bucket leaders with equal company the greatest hash of the text leads; the links found can depend on that, the classes do not."""
     rows = _labelled(docs, id_col, text_col)
     least = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "label").select("doc_id", "class_id", "n_links")
