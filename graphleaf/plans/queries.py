@@ -458,12 +458,12 @@ _TITLES = "titles AS (SELECT p_partkey AS page_id, p_name || ' ' || p_type || '
 
 @query(f"WITH {_TITLES} SELECT t.title AS query, min(u.page_id) AS page_id FROM titles t JOIN titles u ON u.title = t.title WHERE t.page_id % 50 = 0 GROUP BY 1")
 def title_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.match_titles(_asked(spark, sf_dir), _titles(spark, sf_dir)).filter("step = 1").select("query", "page_id")
+    return S.equal_titles(_asked(spark, sf_dir), _titles(spark, sf_dir)).filter("step = 1").select("query", "page_id")
 
 
 @query(f"WITH {_TITLES} SELECT upper(replace(t.title, ' ', '_')) AS query, min(u.page_id) AS page_id FROM titles t JOIN titles u ON lower(u.title) = lower(t.title) WHERE t.page_id % 50 = 0 GROUP BY 1")
 def title_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.match_titles(_asked(spark, sf_dir), _titles(spark, sf_dir)).filter("step = 2").select("query", "page_id")
+    return S.equal_titles(_asked(spark, sf_dir), _titles(spark, sf_dir)).filter("step = 2").select("query", "page_id")
 
 
 _BM25 = f"""WITH {_TITLES}, words AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM titles),

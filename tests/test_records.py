@@ -77,6 +77,19 @@ def test_title_matching_steps(spark):
     assert sorted((r[0], len(r[2])) for r in rows(matches)) == [(1, 2), (2, 0)] and rows(corrections)[0][:2] == ("Babage Charles", "Charles Babbage") and rows(unmatched) == [(2, "zzz")]
 
 
+def test_equal_titles_seek_no_candidates(spark, monkeypatch):
+    """Queries for an equal title or normal form make look-ups alone: the best candidates of the others are not theirs to seek."""
+    from graphleaf.plans import queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    whole = {r["query"]: (r["step"], r["page_id"]) for r in S.match_titles(Q._asked(spark, sf), Q._titles(spark, sf)).collect()}
+    monkeypatch.setattr(S, "bm25", None)
+    for step, query in ((1, Q.title_exact), (2, Q.title_normalized)):
+        found = query(spark, sf)
+        assert "InPandas" not in found._jdf.queryExecution().toString()
+        assert {r["query"]: r["page_id"] for r in found.collect()} == {q: page for q, (s, page) in whole.items() if s == step}
+
+
 def test_trace_files(spark, tmp_path):
     one = {"canary": "x", "Who?": {"provenance": {"a": [{"source_url": ["https://x/wiki/A", "https://x/wiki/B"]}, {"source_url": None}, {}], "b": "none"}}}
     for n, trace in ((4, one), (5, {"What?": {}})):
