@@ -109,6 +109,9 @@ def _files(spark: SparkSession, folder: str, name: str, rows: list[tuple], schem
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+_opened: dict[tuple[str, str], DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """An index in ``folder``: its quantiser, its lists' sizes and radii, and the probes and short-listed rows that its sample needed."""
@@ -126,8 +129,13 @@ class VectorIndex:
         return self.quantiser.lists.shape[1]
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        """list, id, code, left, embedding."""
-        return spark.read.schema(f"list int, id {self.id_kind}, code binary, left float, far float, embedding {self.kind}").parquet(f"{self.folder}/rows")
+        """list, id, code, left, embedding.
+
+        Opened once in a session: to list the folders of all lists is a job of its own, which a search of many blocks must not repeat."""
+        key = (spark.sparkContext.applicationId, self.folder)
+        if key not in _opened:
+            _opened[key] = spark.read.schema(f"list int, id {self.id_kind}, code binary, left float, far float, embedding {self.kind}").parquet(f"{self.folder}/rows")
+        return _opened[key]
 
     def search(self, questions: DataFrame, k: int, exact: bool = False, probes: int | None = None, short: int | None = None, digits: int = 6) -> DataFrame:
         """``question, rank, id, score``: the ``k`` nearest by cosine of each row of (question, vector).
@@ -204,7 +212,8 @@ class VectorIndex:
     def _ranked(self, spark: SparkSession, asked: DataFrame, probed: np.ndarray, short: DataFrame, k: int) -> DataFrame:
         """The exact ``k`` best of a short list (q, list, id) of the probed lists."""
         whole = self.rows(spark).filter(F.col("list").isin(np.flatnonzero(probed.any(0)).tolist())).select("list", "id", "embedding")
-        pairs = whole.join(short, ["list", "id"]).join(F.broadcast(asked), "q")  # at most a block of questions
+        # vectors and short lists grow with the index and are never broadcast, which would bring them to the driver for each block
+        pairs = whole.join(short.hint("merge"), ["list", "id"]).join(F.broadcast(asked), "q")  # at most a block of questions
         scored = pairs.select("question", "vector", "id", X.cosine(F.col("embedding"), F.col("vector")).alias("score")).distinct()
         order = Window.partitionBy("question", "vector").orderBy(F.desc("score"), "id")
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question", "rank", "id", "score", "vector")
@@ -261,6 +270,7 @@ def build_index(vectors: DataFrame, folder: str, id_col: str, vector_col: str =
     # a list's rows go to neighbouring files, large lists to several: the ranges are of list and id
     spread = max(1, min(4 * lists, n // 100_000 + 1))
     coded.repartitionByRange(spread, "list", "id").sortWithinPartitions("list", "id").write.mode("overwrite").partitionBy("list").parquet(f"{folder}/rows")
+    _opened.pop((spark.sparkContext.applicationId, folder), None)
     radius = np.full(len(quantiser.lists), -np.inf, np.float32)
     if n:
         for r in VectorIndex(folder, quantiser, radius, 1, 1, kind, id_kind).rows(spark).groupBy("list").agg(F.max("far").alias("far")).collect():  # a row a list

@@ -80,6 +80,22 @@ def test_a_question_reads_few_lists(spark, tmp_path):
     assert sum(m.value() for m in _metrics(listed, "numFiles")) <= index.probes
 
 
+def test_blocks_list_once_and_broadcast_no_vectors(spark, tmp_path, monkeypatch):
+    from graphleaf.operators import vector_index as V
+
+    monkeypatch.setattr(V, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (300, 4)))]
+    index = build_index(spark.createDataFrame(rows, "id long, embedding array<double>"), str(tmp_path), "id", lists=6)
+    assert index.rows(spark) is index.rows(spark)
+    found = index.search(spark.createDataFrame(rows[:200], "question long, vector array<double>"), 5, exact=True)
+    assert answers(found).keys() == set(range(200))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [list" in plan and "BroadcastHashJoin [list" not in plan
+    again = build_index(spark.createDataFrame(rows[:9], "id long, embedding array<double>"), str(tmp_path), "id", lists=2)
+    assert again.rows(spark).count() == 9
+
+
 def _metrics(df, name):
     """The metrics of that name of the plan that ran, of its adaptive stages too."""
     found, todo = [], [df._jdf.queryExecution().executedPlan()]
