@@ -149,7 +149,9 @@ def backlinks(graph: Graph, title: str, limit: int = 50) -> DataFrame:
     """source_article, paragraph_nodeID, text for each link from another article, a paragraph that links twice twice."""
     target = F.lit(resolved_id(graph, title)).cast("long")
     into = (graph.links if graph.links_in is None else graph.links_in).filter((F.col("target") == target) & (F.col("page_id") != target)).select("page_id", "sec_i", "para_i")
-    rows = into.join(graph.paragraphs, ["page_id", "sec_i", "para_i"]).join(graph.articles, "page_id")
+    # by page alone first, as paragraphs are kept: all three numbers would deal the whole table anew
+    own = graph.paragraphs.join(into.select("page_id").distinct(), "page_id", "left_semi")
+    rows = into.join(own, ["page_id", "sec_i", "para_i"]).join(graph.articles, "page_id")
     return rows.orderBy("title", "page_id", "sec_i", "para_i").limit(limit).select(F.col("title").alias("source_article"), X.paragraph_id(F.col("page_id"), F.col("sec_i"), F.col("para_i")).alias("paragraph_nodeID"), "text")
 
 

@@ -40,3 +40,16 @@ def test_another_session_opens_the_folder(spark, tmp_path):
     own = again.paragraphs.filter("page_id = 6")
     own.collect()
     assert max(m.value() for m in _metrics(own, "numOutputRows")) <= again.paragraphs.count() / 4
+
+
+def test_backlinks_leave_paragraphs_where_they_are(spark, tmp_path):
+    """Where nothing is broadcast, as in large graphs, only the paragraphs of linking pages are dealt anew."""
+    kept = save_graph(derived_graph(spark, "/root/testdata/sf0.01"), str(tmp_path / "graph"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = G.backlinks(kept, "Doc 6")
+        assert rows(found)
+        assert 0 < sum(m.value() for m in _metrics(found, "shuffleRecordsWritten")) < kept.paragraphs.count() / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
