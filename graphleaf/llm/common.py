@@ -248,13 +248,22 @@ class Grams:
 
     def of(self, data: np.ndarray, gram: int) -> np.ndarray:
         """The hash of the ``gram`` bytes from each place that has so many."""
+        total = self._running(data)
+        n = max(0, len(data) - gram + 1)
+        return mix((total[gram : gram + n] - total[:n]) * self.down[:n])
+
+    def between(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of the bytes from each start to its end."""
+        total = self._running(data)
+        return mix((total[ends] - total[starts]) * self.down[starts])
+
+    def _running(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(data):
             size = max(len(data), BLOCK) + 1
             self.up, self.down = (_wrapped_powers(b, size) for b in (self.base, pow(self.base, -1, 1 << 64)))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=total[1:])
-        n = max(0, len(data) - gram + 1)
-        return mix((total[gram : gram + n] - total[:n]) * self.down[:n])
+        return total
 
 
 def _wrapped_powers(base: int, n: int) -> np.ndarray:

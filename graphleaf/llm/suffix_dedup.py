@@ -9,7 +9,9 @@ grams by hash, the first of equals. Equal strings have equal anchors, so only st
 with the same anchor need to meet. The starts of a text that share one anchor form a run,
 whose segment reaches from its first start to the end of its last string. Anchors that
 occur once are dropped; equal segments of one anchor are kept once, with their count.
-Equal texts are one text with a count from the outset.
+Equal texts are one text with a count from the outset. The starts of one segment differ
+(their anchor lies at different distances), so where all segments of an anchor are equal
+every start repeats and nothing is sorted.
 
 Suffix arrays. Segments are dealt by anchor to shards; the segments of an anchor that has
 very many are split over several. A shard sorts the suffixes of its segments by
@@ -20,13 +22,18 @@ the common prefixes of neighbours, for many stretches of text at once. Starts wh
 suffix shares ``length`` bytes with a neighbour repeat. For anchors split over shards, the
 classes of each shard go to merge tasks as sorted digests, and each shard's run is looked
 up by binary search among those of all shards, a range of digests at a time.
+
+Passages of so many words, whatever their bytes, take the same route with words for bytes:
+a string is the text from the start of a word to the end of a later one, the anchor its
+least gram of words, and starts are compared by digests of their strings.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +41,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import GRAMS, ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, text_key, utf8
+from graphleaf.llm.common import GRAMS, ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, text_key, utf8, word_bounds
 
 LENGTH, GRAM = 400, 64
+#: Words of a passage and of its anchor.
+WORDS, WORD_GRAM = 51, 8
 #: Bytes of segments that are sorted together, and segments of one anchor that one shard takes.
 SHARD_BYTES, SHARD_SEGMENTS = 1 << 19, 1000
 #: Starts of a long text that are looked at together; a place takes 24 bits of a key.
 PART_BYTES = 1 << 22
+PART_WORDS = 1 << 19
+#: Digests of starts that are compared together.
+SHARD_MARKS = 1 << 18
 #: Rows that are Python objects at one time.
 PYTHON_ROWS = 500
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -61,6 +73,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
             parts.append((doc, first + at, n, anchor, digest))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     v = GRAMS.of(data, gram)
+    doc, first, stop, anchor = _runs(v, offsets, length, gram)
+    return doc, first - offsets[doc], stop - first, anchor, _digests(data, first, stop + length - 1)
+
+
+def _runs(v: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of starts that share an anchor: document, first start, the place past the last, hash of the anchor; ``v``: hashes of the grams from each place."""
+    size = np.diff(offsets)
+    own = np.flatnonzero(size >= length)
     at = np.arange(len(v))
     w = length - gram + 1
     key = np.full(-(-len(v) // w) * w + w, U64(0xFFFFFFFFFFFFFFFF))
@@ -68,7 +88,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     grid = key.reshape(-1, w)
     ahead = np.minimum.accumulate(grid, 1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    n = len(data) - length + 1
+    n = int(offsets[-1]) - length + 1
     least = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & _LOW).astype(np.int64)
     valid = np.zeros(n + 1, np.int8)
     np.add.at(valid, offsets[own], 1)
@@ -80,8 +100,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     first = np.flatnonzero(fresh)
     doc = np.searchsorted(offsets, first, side="right") - 1
     stop = np.minimum(np.append(first[1:], n), offsets[doc + 1] - length + 1)
-    past = stop + length - 1
-    return doc, first - offsets[doc], stop - first, v[least[first]], _digests(data, first, past)
+    return doc, first, stop, v[least[first]]
+
+
+def word_anchors(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+    """As ``anchors``, with starts counted in words and strings of so many words."""
+    starts, ends, before = word_bounds(data, offsets)
+    size = np.diff(before)
+    if not (size >= words).any():
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    if len(size) == 1 and size[0] >= PART_WORDS + words:  # a long text in parts: a run that crosses an edge becomes two
+        parts = []
+        for at in range(0, int(size[0]) - words + 1, PART_WORDS):
+            piece = data[starts[at] : ends[min(at + PART_WORDS + words - 1, int(size[0])) - 1]]
+            doc, first, n, anchor, digest = word_anchors(piece, np.array([0, len(piece)]), words, gram)
+            parts.append((doc, first + at, n, anchor, digest))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    v = GRAMS.between(data, starts[: len(starts) - gram + 1], ends[gram - 1 :])
+    doc, first, stop, anchor = _runs(v, before, words, gram)
+    return doc, first - before[doc], stop - first, anchor, _digests(data, starts[first], ends[stop + words - 2])
 
 
 def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -195,14 +232,14 @@ _SPANS = "array<struct<first: int, past: int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
 
-def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
-    """node, doc, runs of each row of (node, text, doc) that is long enough."""
+def _anchor_rows(source: DataFrame, find: Callable) -> DataFrame:
+    """node, doc, runs of each row of (node, text, doc) that is long enough; ``find``: ``anchors`` or ``word_anchors`` for some length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets):
-                doc, first, n, anchor, digest = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
+                doc, first, n, anchor, digest = find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 kinds = (("first", first.astype(np.int32)), ("n", n.astype(np.int32)), ("anchor", anchor.view(np.int64)), ("digest", digest.view(np.int64)))
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for _, v in kinds]
@@ -265,6 +302,77 @@ def _sorted_shards(segments: DataFrame, length: int, keep_first: bool) -> DataFr
     return dealt.mapInArrow(released(run), f"anchor long, digest long, split int, splits int, doc long, node binary, first int, spans {_SPANS}, later {_SPANS}, marks array<long>")
 
 
+def _word_marks(texts: DataFrame, words: int) -> DataFrame:
+    """As ``_segments`` for strings of words, with the digests of the starts in place of the bytes."""
+    kinds = {k: t for k, t in _KINDS.items() if k not in ("node", "segment")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in blocks(offsets):
+                lists = batch.column(2).slice(i, j - i)
+                wanted = pa.RecordBatch.from_struct_array(lists.flatten())
+                first, n = (wanted[c].to_numpy().astype(np.int64) for c in ("first", "n"))
+                row = np.repeat(np.arange(j - i), pc.list_value_length(lists).to_numpy())
+                own = data[offsets[i] : offsets[j]]
+                starts, ends, before = word_bounds(own, offsets[i : j + 1] - offsets[i])
+                cut = np.concatenate([[0], np.cumsum(n)])
+                at = np.repeat(before[row] + first - cut[:-1], n) + np.arange(cut[-1])
+                marks = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(_in_parts(own, starts[at], ends[at + words - 1]).view(np.int64)))
+                node = batch.column(0).slice(i, j - i).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(wanted[k] for k in kinds), node, marks], names=[*kinds, "node", "marks"])
+
+    return texts.mapInArrow(released(run), "anchor long, digest long, copies long, split int, splits int, doc long, first int, node binary, marks array<long>")
+
+
+def _in_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``_digests`` of strings of one block of text, by the part of ``PART_BYTES`` that they start in."""
+    out = np.empty(len(starts), np.uint64)
+    part = starts // PART_BYTES
+    for k in np.unique(part):
+        own = np.flatnonzero(part == k)
+        low, high = int(starts[own].min()), int(ends[own].max())
+        out[own] = _digests(data[low:high], starts[own] - low, ends[own] - low)
+    return out
+
+
+def _counted_shards(segments: DataFrame) -> DataFrame:
+    """As ``_sorted_shards``, of segments that hold the digests of their starts."""
+    kinds = {k: t for k, t in _KINDS.items() if k not in ("copies", "segment")}
+
+    def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(held).combine_chunks()
+        mark, row = _flat(own["marks"])
+        _, of = np.unique(mark, return_inverse=True)
+        more = (np.bincount(of, weights=own["copies"].to_numpy()[row]) > 1)[of]
+        cut = np.searchsorted(row, np.arange(len(own) + 1)).tolist()
+        spans = pa.array([[{"first": a, "past": b} for a, b in _intervals(more[x:y])] for x, y in zip(cut[:-1], cut[1:], strict=True)], _SPANS_ARROW)
+        late = pa.array([[]] * len(own), _SPANS_ARROW)
+        marks = pc.if_else(pc.greater(own["split"], 0), own["marks"], pa.scalar([], own["marks"].type))
+        return pa.RecordBatch.from_arrays([*(own[c].combine_chunks() for c in kinds), spans, late, marks.combine_chunks()], names=[*kinds, "spans", "later", "marks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            keys = list(zip(batch["anchor"].to_pylist(), batch["split"].to_pylist(), strict=True))
+            many, at = pc.list_value_length(batch["marks"]).to_pylist(), 0
+            for i, key in enumerate(keys):
+                if size > SHARD_MARKS and key != last:
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    yield shard(held)
+                    held, size, at = [], 0, i
+                size += many[i]
+                last = key
+            if at < len(keys):
+                held.append(batch.slice(at))
+        if held:
+            yield shard(held)
+
+    dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor", "split")
+    return dealt.mapInArrow(released(run), f"anchor long, digest long, split int, splits int, doc long, node binary, first int, spans {_SPANS}, later {_SPANS}, marks array<long>")
+
+
 def _merged(found: DataFrame) -> DataFrame:
     """anchor, digest, place, spans, later of segments of split anchors whose starts repeat over several shards.
 
@@ -418,26 +526,58 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     of equal places there is none, so nothing ties; texts may be of any length."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), text_key(text).alias("node"), text.alias("text")).filter(F.octet_length("text") >= length)
-    lists = _anchor_rows(source.select("node", "text", "doc"), length, gram)
+    starts, texts = _starts(source, partial(anchors, length=length, gram=gram), lambda wanted: _sorted_shards(_segments(wanted, length), length, keep_first), keep_first)
+    return _cut(texts.join(starts, "node").select("node", "doc", "text", "firsts", "pasts"), length, least_words)
+
+
+def _starts(source: DataFrame, find: Callable, shards: Callable, keep_first: bool = False, every_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """node, doc, firsts, pasts of the texts of (node, text, doc) with starts that repeat, and the texts of these nodes (without ``every_text`` only those that ``shards`` needs).
+
+    ``shards``: finds the starts that repeat among the wanted segments of (node, text, wanted)."""
+    lists = _anchor_rows(source.select("node", "text", "doc"), find)
     runs = materialise(lists.groupBy("node").agg(*[F.first(c).alias(c) for c in ("first", "n", "anchor", "digest")], F.count("*").alias("rows"), F.min(F.struct("doc")).alias("doc")).select("node", "doc.doc", "rows", "first", "n", "anchor", "digest"))
     each = runs.select("node", "doc", "rows", F.explode(F.arrays_zip("first", "n", "anchor", "digest")).alias("r")).select("node", "doc", "rows", "r.*")
     kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"), F.min(F.struct("doc", "node", "first", "n")).alias("at"))
     often = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1").select("anchor", "kinds")
     splits = F.ceil(F.col("kinds") / SHARD_SEGMENTS)
     split = F.when(splits == 1, 0).otherwise(1 + F.pmod(F.xxhash64("digest"), splits)).cast("int")
-    wanted = materialise(kinds.join(often, "anchor").select("anchor", "digest", "copies", "at.*", split.alias("split"), splits.cast("int").alias("splits")))
-    by_text = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "splits", "doc", "first", "n")).alias("wanted"))
-    touched = each.join(wanted.select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("node").distinct()
+    wanted = materialise(kinds.join(often, "anchor").select("anchor", "digest", "copies", "at.*", "kinds", split.alias("split"), splits.cast("int").alias("splits")))
+    by_text = wanted.filter("kinds > 1").groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "splits", "doc", "first", "n")).alias("wanted"))
+    touched = each.join(wanted.select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("node").distinct() if every_text else by_text.select("node")
     texts = materialise(source.join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    found = materialise(_sorted_shards(_segments(texts.join(by_text, "node").select("node", "text", "wanted"), length), length, keep_first))
-    spans = found.filter(F.size("spans") > 0).select("anchor", "digest", "doc", "node", "first", "spans", "later").unionByName(_merged(found))
+    found = materialise(shards(texts.join(by_text, "node").select("node", "text", "wanted")))
+    none = F.array().cast(_SPANS)
+    alike = wanted.filter("kinds = 1").select("anchor", "digest", "doc", "node", "first", F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("past"))).cast(_SPANS).alias("spans"), none.alias("later"))
+    spans = found.filter(F.size("spans") > 0).select("anchor", "digest", "doc", "node", "first", "spans", "later").unionByName(_merged(found)).unionByName(alike)
     spans = spans.select("anchor", "digest", F.struct("doc", "node", "first").alias("at"), "spans", "later")
     here = F.struct("doc", "node", "first")
     use = F.when(here.eqNullSafe(F.col("at")), F.col("later")).otherwise(F.col("spans")) if keep_first else F.col("spans")
     moved = lambda end: F.transform("use", lambda s: s[end] + F.col("first"))
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     starts = each.join(spans, ["anchor", "digest"]).withColumn("use", use).select("node", "doc", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(F.first("doc").alias("doc"), flat("firsts"), flat("pasts"))
-    return _cut(texts.join(starts, "node").select("node", "doc", "text", "firsts", "pasts"), length, least_words)
+    return starts, texts
+
+
+def repeated_word_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """For each distinct text with a passage of ``words`` words that also starts anywhere else: ``node`` (its ``text_key``), ``n_words`` in such passages and ``n_passages`` (maximal runs of such words).
+
+    Words are runs of letters, digits and characters beyond ASCII; a passage is all bytes from the
+    start of its first word to the end of its last, so case and marks count. Passages never cross
+    texts; the first of equals counts too. ``gram``, the words of an anchor, is below ``words``.
+
+    Null texts count as empty; texts of fewer words give no row; of repeated rows and copies
+    every passage repeats; null ids are as others; an empty table gives no rows; texts may be
+    of any length."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), text_key(text).alias("node"), text.alias("text")).filter(F.octet_length("text") >= 2 * words - 1)
+    starts, _ = _starts(source, partial(word_anchors, words=words, gram=gram), lambda wanted: _counted_shards(_word_marks(wanted, words)), every_text=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_covered(first.values.to_numpy(), past.values.to_numpy(), words) for first, past in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64())], names=["node", "n_words", "n_passages"])
+
+    return starts.select("node", "firsts", "pasts").mapInArrow(run, "node binary, n_words long, n_passages long")
 
 
 def remove_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
@@ -457,10 +597,11 @@ def remove_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that repeat, cut out of all documents."""
+    """Passages of 400 bytes and more that repeat, cut out of all documents; beside them the words in passages of over 50 words that repeat, which may be shorter and stay in the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = materialise(repeated_passages(docs).select("node", "n_removed", "n_spans", "kept_sha256"))
+    worded = materialise(repeated_word_passages(docs).select("node", F.col("n_words").alias("n_passage_words"), "n_passages"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole")).withColumn("node", F.substring(F.unhex("whole"), 1, 16))
-    zero = F.lit(0).cast("long")
-    return rows.join(gone, "node", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.join(gone.join(worded, "node", "full"), "node", "left").select("doc_id", "n_bytes", none("n_removed"), none("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), none("n_passage_words"), none("n_passages"))

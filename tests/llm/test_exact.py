@@ -161,6 +161,63 @@ def test_repeated_passages(spark, hard, monkeypatch, split):
     assert any(0 < v[0] for v in got.values())
 
 
+def worded(texts, words=51):
+    """Words in passages of so many words that start anywhere else too, and runs of such words, for each text."""
+    raw = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", r)] for r in raw]
+    seen = Counter(r[a[i][0] : a[i + words - 1][1]] for r, a in zip(raw, at, strict=True) for i in range(len(a) - words + 1))
+    out = []
+    for r, a in zip(raw, at, strict=True):
+        hit = np.zeros(len(a) + 1, bool)
+        for i in range(len(a) - words + 1):
+            if seen[r[a[i][0] : a[i + words - 1][1]]] > 1:
+                hit[i : i + words] = True
+        out.append((int(hit.sum()), int((hit & ~np.concatenate([[False], hit[:-1]])).sum())))
+    return out
+
+
+@pytest.mark.parametrize(("split", "parts"), [(1000, 1 << 19), (2, 97)])
+def test_repeated_passages_of_words(spark, hard, monkeypatch, tmp_path, split, parts):
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", split)
+    monkeypatch.setattr(suffix_dedup, "SHARD_MARKS", 100)
+    monkeypatch.setattr(suffix_dedup, "PART_WORDS", parts)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 900)
+    passage, tiny, under = prose(50, 60), " ".join("ab"[i * i % 7 % 2] for i in range(51)), prose(53, 50)
+    extra = [(100 + i, prose(60 + i, 30) + " " + passage + "; " + prose(70 + i, 40)) for i in range(7)]
+    extra += [(120 + i, f"{prose(80 + i, 20)}, {tiny}. {prose(90 + i, 20)}") for i in range(2)] + [(130 + i, f"{prose(82 + i, 20)} {under} {prose(92 + i, 20)}") for i in range(2)]
+    extra += [(140, prose(54, 51).upper()), (141, prose(54, 51)), (142, passage + " " + prose(84, 9) + " " + passage), (143, prose(55, 120))]
+    docs = frame(spark, extra).union(hard.filter("doc_id <> 4 or doc_id is null")).select("doc_id", "text")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["n_bytes"]): r for r in queries.QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()}
+    ids, texts = zip(*docs.collect(), strict=True)
+    for d, text, passages, cut in zip(ids, texts, worded(texts), removed(texts), strict=True):
+        r = got[d, len((text or "").encode())]
+        assert (r["n_passage_words"], r["n_passages"]) == passages, d
+        assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == cut, d
+    found = {d: r["n_passage_words"] for (d, _), r in got.items()}
+    assert all(found[100 + i] >= 60 for i in range(7)) and found[120] == found[121] == 51 and found[130] == found[131] == found[143] == 0
+    assert rows(suffix_dedup.repeated_word_passages(docs.limit(0))) == []
+
+
+def test_word_anchors_of_a_long_text_in_parts(monkeypatch):
+    data = np.frombuffer((prose(5, 700) + "x y " * 300).encode(), np.uint8)
+    off = np.array([0, len(data)])
+
+    def of_each_start():
+        _, first, n, anchor, _ = suffix_dedup.word_anchors(data, off)
+        assert np.array_equal(first, np.concatenate([[0], np.cumsum(n)[:-1]])) and n.sum() == 1250
+        return np.repeat(anchor, n)
+
+    whole = of_each_start()
+    monkeypatch.setattr(suffix_dedup, "PART_WORDS", 97)
+    assert np.array_equal(whole, of_each_start())
+
+    starts = np.arange(0, len(data) - 60, 7)
+    marks = suffix_dedup._in_parts(data, starts, starts + 60)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 900)
+    assert np.array_equal(marks, suffix_dedup._in_parts(data, starts, starts + 60))
+
+
 def kept_first(docs, length, least_words):
     """Texts of (id, text) without the strings that start earlier, in order of id, hash and place; one text for each (id, text)."""
     order = sorted({(d is not None, d or 0, hashlib.sha256((t or "").encode()).digest()[:16], t or "") for d, t in docs})
