@@ -537,13 +537,14 @@ def _starts(source: DataFrame, find: Callable, shards: Callable, keep_first: boo
     lists = _anchor_rows(source.select("node", "text", "doc"), find)
     runs = materialise(lists.groupBy("node").agg(*[F.first(c).alias(c) for c in ("first", "n", "anchor", "digest")], F.count("*").alias("rows"), F.min(F.struct("doc")).alias("doc")).select("node", "doc.doc", "rows", "first", "n", "anchor", "digest"))
     each = runs.select("node", "doc", "rows", F.explode(F.arrays_zip("first", "n", "anchor", "digest")).alias("r")).select("node", "doc", "rows", "r.*")
-    kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"), F.min(F.struct("doc", "node", "first", "n")).alias("at"))
+    kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"))
     often = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1").select("anchor", "kinds")
     splits = F.ceil(F.col("kinds") / SHARD_SEGMENTS)
     split = F.when(splits == 1, 0).otherwise(1 + F.pmod(F.xxhash64("digest"), splits)).cast("int")
-    wanted = materialise(kinds.join(often, "anchor").select("anchor", "digest", "copies", "at.*", "kinds", split.alias("split"), splits.cast("int").alias("splits")))
+    again = materialise(each.join(kinds.join(often, "anchor"), ["anchor", "digest"]).select("anchor", "digest", "copies", "kinds", "node", "doc", "first", "n"))
+    wanted = materialise(again.groupBy("anchor", "digest", "copies", "kinds").agg(F.min(F.struct("doc", "node", "first", "n")).alias("at")).select("anchor", "digest", "copies", "at.*", "kinds", split.alias("split"), splits.cast("int").alias("splits")))
     by_text = wanted.filter("kinds > 1").groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "splits", "doc", "first", "n")).alias("wanted"))
-    touched = each.join(wanted.select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("node").distinct() if every_text else by_text.select("node")
+    touched = again.select("node").distinct() if every_text else by_text.select("node")
     texts = materialise(source.join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     found = materialise(shards(texts.join(by_text, "node").select("node", "text", "wanted")))
     none = F.array().cast(_SPANS)
@@ -554,7 +555,7 @@ def _starts(source: DataFrame, find: Callable, shards: Callable, keep_first: boo
     use = F.when(here.eqNullSafe(F.col("at")), F.col("later")).otherwise(F.col("spans")) if keep_first else F.col("spans")
     moved = lambda end: F.transform("use", lambda s: s[end] + F.col("first"))
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    starts = each.join(spans, ["anchor", "digest"]).withColumn("use", use).select("node", "doc", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(F.first("doc").alias("doc"), flat("firsts"), flat("pasts"))
+    starts = again.join(spans, ["anchor", "digest"]).withColumn("use", use).select("node", "doc", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(F.first("doc").alias("doc"), flat("firsts"), flat("pasts"))
     return starts, texts
 
 
