@@ -11,7 +11,9 @@ whose segment reaches from its first start to the end of its last string. Anchor
 occur once are dropped; equal segments of one anchor are kept once, with their count.
 Equal texts are one text with a count from the outset. The starts of one segment differ
 (their anchor lies at different distances), so where all segments of an anchor are equal
-every start repeats and nothing is sorted.
+every start repeats and nothing is sorted. Equal strings have their anchor at the same
+distance, so of other segments only the parts are sorted whose common bytes another
+segment of the anchor has at the same distances.
 
 Suffix arrays. Segments are dealt by anchor to shards; the segments of an anchor that has
 very many are split over several. A shard sorts the suffixes of its segments by
@@ -51,6 +53,8 @@ SHARD_BYTES, SHARD_SEGMENTS = 1 << 19, 1000
 #: Starts of a long text that are looked at together; a place takes 24 bits of a key.
 PART_BYTES = 1 << 22
 PART_WORDS = 1 << 19
+#: Bytes of text whose anchors are found together: the arrays of eight bytes for each should stay in the processor's cache.
+BLOCK_BYTES = 1 << 18
 #: Digests of starts that are compared together.
 SHARD_MARKS = 1 << 18
 #: Rows that are Python objects at one time.
@@ -199,6 +203,8 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LEN
     """For all starts of all segments, one after another: segment, start, whether it repeats here, whether an earlier start here is equal, and its class (the place in the text of one member).
 
     ``rank``: the order in which the segments come first in the corpus; without it no start counts as later."""
+    if not segments:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
     text = np.frombuffer(b"".join(segments), np.uint8)
     size = np.array([len(s) for s in segments], np.int64)
     past = np.cumsum(size)
@@ -223,30 +229,66 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LEN
     return which[use], start[use], more[use], later[use], class_of[use]
 
 
+def _narrowed(text: np.ndarray, size: np.ndarray, anchor: np.ndarray, counts: np.ndarray, whole: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Parts of segments, of ``size`` bytes each in ``text``, outside of which no start repeats among the segments of its anchor: segment, first start, the place past the last.
+
+    Starts are taken by their distance before the anchor, ``gram`` distances together. The bytes
+    that all strings of these distances cover lie the same way in every segment; where no other
+    segment of the anchor has them, none of the starts repeats. Their hashes may collide, which
+    only keeps a part too many. ``whole``: segments that stay whole."""
+    base = np.cumsum(size) - size
+    n = size - length + 1
+    v = GRAMS.of(text, gram)
+    which = np.repeat(np.arange(len(size)), size)[: len(v)]
+    at = np.arange(len(v)) - base[which]
+    hit = np.flatnonzero((v == anchor[which]) & (at >= n[which] - 1) & (at <= length - gram))  # inside every string of the run; the first is the anchor
+    lead = at[hit[np.searchsorted(which[hit], np.arange(len(size)))]]
+    near = np.arange(0, length - gram + 1, gram)
+    far = np.minimum(near + gram - 1, length - gram)
+    first = np.maximum(lead[:, None] - far, 0)
+    past = np.minimum(lead[:, None] - near + 1, n[:, None])
+    segment, k = np.nonzero(first < past)
+    place = base[segment] + lead[segment]
+    mark = mix(GRAMS.between(text, place - near[k], place - far[k] + length) ^ anchor[segment]) ^ k.astype(np.uint64)
+    _, of = np.unique(mark, return_inverse=True)
+    keep = (np.bincount(of, weights=counts[segment]) > 1)[of] | whole[segment]
+    segment, first, past = (x[keep][::-1] for x in (segment, first[segment, k], past[segment, k]))  # a segment's starts now ascend
+    fresh = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (first[1:] > past[:-1])])) if len(segment) else np.zeros(0, np.int64)
+    last = np.append(fresh[1:], len(segment))[: len(fresh)] - 1
+    return segment[fresh][::-1], first[fresh][::-1], past[last][::-1]
+
+
 def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def _spans_of(cut: np.ndarray, places: np.ndarray) -> list[list[dict]]:
+    """Runs of the places in each range from one of ``cut`` to the next, counted from its beginning."""
+    flags = np.zeros(cut[-1], bool)
+    flags[places] = True
+    return [[{"first": a, "past": b} for a, b in _intervals(flags[x:y])] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 _SPANS = "array<struct<first: int, past: int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
 
 def _anchor_rows(source: DataFrame, find: Callable) -> DataFrame:
-    """node, doc, runs of each row of (node, text, doc) that is long enough; ``find``: ``anchors`` or ``word_anchors`` for some length."""
+    """node, doc, rows, runs of each row of (node, text, doc, rows) that is long enough; ``find``: ``anchors`` or ``word_anchors`` for some length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK_BYTES):
                 doc, first, n, anchor, digest = find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 kinds = (("first", first.astype(np.int32)), ("n", n.astype(np.int32)), ("anchor", anchor.view(np.int64)), ("digest", digest.view(np.int64)))
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for _, v in kinds]
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *lists], names=["node", "doc", *(k for k, _ in kinds)])
+                rows = pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "doc", "rows")), *lists], names=["node", "doc", "rows", *(k for k, _ in kinds)])
                 yield rows.filter(pa.array(cut[1:] > cut[:-1]))
 
-    return source.mapInArrow(released(run), "node binary, doc long, first array<int>, n array<int>, anchor array<long>, digest array<long>")
+    return source.mapInArrow(released(run), "node binary, doc long, rows long, first array<int>, n array<int>, anchor array<long>, digest array<long>")
 
 
 _KINDS = {"anchor": pa.int64(), "digest": pa.int64(), "copies": pa.int64(), "split": pa.int32(), "splits": pa.int32(), "doc": pa.int64(), "node": pa.binary(), "first": pa.int32(), "segment": pa.binary()}
@@ -267,19 +309,23 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(released(run), "anchor long, digest long, copies long, split int, splits int, doc long, node binary, first int, segment binary")
 
 
-def _sorted_shards(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
+def _sorted_shards(segments: DataFrame, length: int, gram: int, keep_first: bool) -> DataFrame:
     """For each segment its starts that repeat and those that come later than an equal one; for segments of split anchors also the digests of all starts, to be merged."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[8] for r in rows]
-        rank = np.empty(len(rows), np.int64) if keep_first else None
+        anchor, counts, split = np.array([r[0] for r in rows]).view(np.uint64), np.array([r[2] for r in rows]), np.array([r[3] > 0 for r in rows])
+        size = np.array([len(r[8]) for r in rows])
+        part, at, past = _narrowed(np.frombuffer(b"".join(r[8] for r in rows), np.uint8), size, anchor, counts, split, length, gram)
+        texts = [rows[i][8][a : b + length - 1] for i, a, b in zip(part.tolist(), at.tolist(), past.tolist(), strict=True)]
+        rank = np.empty(len(rows), np.int64)
         if keep_first:
             rank[sorted(range(len(rows)), key=lambda i: (rows[i][5] is not None, rows[i][5], rows[i][6], rows[i][7]))] = np.arange(len(rows))
-        which, start, more, later, class_of = repeated_starts(texts, np.array([r[2] for r in rows]), length, rank)
-        cut = np.searchsorted(which, np.arange(len(rows) + 1)).tolist()
-        spans, late = ([[{"first": a, "past": b} for a, b in _intervals(flags[x:y])] for x, y in zip(cut[:-1], cut[1:], strict=True)] for flags in (more, later))
+        which, start, more, later, class_of = repeated_starts(texts, counts[part], length, rank[part] if keep_first else None)
+        which, start = part[which], at[which] + start
+        cut = np.concatenate([[0], np.cumsum(size - length + 1)])
+        spans, late = (_spans_of(cut, cut[which[own]] + start[own]) for own in (more, later))
         text = np.frombuffer(b"".join(texts), np.uint8)
-        listed = np.array([r[3] > 0 for r in rows])[which]
+        listed = split[which]
         mark = _digests(text, class_of[listed], class_of[listed] + length).view(np.int64)
         many = np.bincount(which[listed], minlength=len(rows))
         marks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(mark))
@@ -309,7 +355,7 @@ def _word_marks(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK_BYTES):
                 lists = batch.column(2).slice(i, j - i)
                 wanted = pa.RecordBatch.from_struct_array(lists.flatten())
                 first, n = (wanted[c].to_numpy().astype(np.int64) for c in ("first", "n"))
@@ -524,18 +570,28 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     rows and copies every one loses all, but with ``keep_first`` rows that repeat id and text
     are one; null ids come first; an empty table gives no rows; other columns are ignored;
     of equal places there is none, so nothing ties; texts may be of any length."""
+    return _passages(_distinct(docs, text_col, id_col, length), length, gram, keep_first, least_words)
+
+
+def _distinct(docs: DataFrame, text_col: str, id_col: str, least: int) -> DataFrame:
+    """node, text, doc (the least id), rows of each distinct text of at least so many bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), text_key(text).alias("node"), text.alias("text")).filter(F.octet_length("text") >= length)
-    starts, texts = _starts(source, partial(anchors, length=length, gram=gram), lambda wanted: _sorted_shards(_segments(wanted, length), length, keep_first), keep_first)
-    return _cut(texts.join(starts, "node").select("node", "doc", "text", "firsts", "pasts"), length, least_words)
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), text_key(text).alias("node"), text.alias("text")).filter(F.octet_length("text") >= least)
+    return materialise(source.groupBy("node").agg(F.first("text").alias("text"), F.min(F.struct("doc")).alias("doc"), F.count("*").alias("rows")).select("node", "text", "doc.doc", "rows"))
 
 
-def _starts(source: DataFrame, find: Callable, shards: Callable, keep_first: bool = False, every_text: bool = True) -> tuple[DataFrame, DataFrame]:
-    """node, doc, firsts, pasts of the texts of (node, text, doc) with starts that repeat, and the texts of these nodes (without ``every_text`` only those that ``shards`` needs).
+def _passages(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, least_words: int = 0) -> DataFrame:
+    """``repeated_passages`` of the result of ``_distinct``."""
+    texts = texts.filter(F.octet_length("text") >= length)
+    starts = _starts(texts, partial(anchors, length=length, gram=gram), lambda wanted: _sorted_shards(_segments(wanted, length), length, gram, keep_first), keep_first)
+    return _cut(texts.select("node", "text").join(starts, "node").select("node", "doc", "text", "firsts", "pasts"), length, least_words)
+
+
+def _starts(texts: DataFrame, find: Callable, shards: Callable, keep_first: bool = False) -> DataFrame:
+    """node, doc, firsts, pasts of the distinct texts of (node, text, doc, rows) with starts that repeat.
 
     ``shards``: finds the starts that repeat among the wanted segments of (node, text, wanted)."""
-    lists = _anchor_rows(source.select("node", "text", "doc"), find)
-    runs = materialise(lists.groupBy("node").agg(*[F.first(c).alias(c) for c in ("first", "n", "anchor", "digest")], F.count("*").alias("rows"), F.min(F.struct("doc")).alias("doc")).select("node", "doc.doc", "rows", "first", "n", "anchor", "digest"))
+    runs = materialise(_anchor_rows(texts, find))
     each = runs.select("node", "doc", "rows", F.explode(F.arrays_zip("first", "n", "anchor", "digest")).alias("r")).select("node", "doc", "rows", "r.*")
     kinds = each.groupBy("anchor", "digest").agg(F.sum("rows").alias("copies"))
     often = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1").select("anchor", "kinds")
@@ -544,8 +600,6 @@ def _starts(source: DataFrame, find: Callable, shards: Callable, keep_first: boo
     again = materialise(each.join(kinds.join(often, "anchor"), ["anchor", "digest"]).select("anchor", "digest", "copies", "kinds", "node", "doc", "first", "n"))
     wanted = materialise(again.groupBy("anchor", "digest", "copies", "kinds").agg(F.min(F.struct("doc", "node", "first", "n")).alias("at")).select("anchor", "digest", "copies", "at.*", "kinds", split.alias("split"), splits.cast("int").alias("splits")))
     by_text = wanted.filter("kinds > 1").groupBy("node").agg(F.collect_list(F.struct("anchor", "digest", "copies", "split", "splits", "doc", "first", "n")).alias("wanted"))
-    touched = again.select("node").distinct() if every_text else by_text.select("node")
-    texts = materialise(source.join(touched, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     found = materialise(shards(texts.join(by_text, "node").select("node", "text", "wanted")))
     none = F.array().cast(_SPANS)
     alike = wanted.filter("kinds = 1").select("anchor", "digest", "doc", "node", "first", F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("past"))).cast(_SPANS).alias("spans"), none.alias("later"))
@@ -555,8 +609,7 @@ def _starts(source: DataFrame, find: Callable, shards: Callable, keep_first: boo
     use = F.when(here.eqNullSafe(F.col("at")), F.col("later")).otherwise(F.col("spans")) if keep_first else F.col("spans")
     moved = lambda end: F.transform("use", lambda s: s[end] + F.col("first"))
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    starts = again.join(spans, ["anchor", "digest"]).withColumn("use", use).select("node", "doc", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(F.first("doc").alias("doc"), flat("firsts"), flat("pasts"))
-    return starts, texts
+    return again.join(spans, ["anchor", "digest"]).withColumn("use", use).select("node", "doc", moved("first").alias("firsts"), moved("past").alias("pasts")).groupBy("node").agg(F.first("doc").alias("doc"), flat("firsts"), flat("pasts"))
 
 
 def repeated_word_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
@@ -569,9 +622,12 @@ def repeated_word_passages(docs: DataFrame, text_col: str = "text", id_col: str
     Null texts count as empty; texts of fewer words give no row; of repeated rows and copies
     every passage repeats; null ids are as others; an empty table gives no rows; texts may be
     of any length."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), text_key(text).alias("node"), text.alias("text")).filter(F.octet_length("text") >= 2 * words - 1)
-    starts, _ = _starts(source, partial(word_anchors, words=words, gram=gram), lambda wanted: _counted_shards(_word_marks(wanted, words)), every_text=False)
+    return _word_passages(_distinct(docs, text_col, id_col, 2 * words - 1), words, gram)
+
+
+def _word_passages(texts: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """``repeated_word_passages`` of the result of ``_distinct``."""
+    starts = _starts(texts.filter(F.octet_length("text") >= 2 * words - 1), partial(word_anchors, words=words, gram=gram), lambda wanted: _counted_shards(_word_marks(wanted, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -600,8 +656,9 @@ def remove_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes and more that repeat, cut out of all documents; beside them the words in passages of over 50 words that repeat, which may be shorter and stay in the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = materialise(repeated_passages(docs).select("node", "n_removed", "n_spans", "kept_sha256"))
-    worded = materialise(repeated_word_passages(docs).select("node", F.col("n_words").alias("n_passage_words"), "n_passages"))
+    texts = _distinct(docs, "text", "doc_id", min(LENGTH, 2 * WORDS - 1))
+    gone = materialise(_passages(texts).select("node", "n_removed", "n_spans", "kept_sha256"))
+    worded = materialise(_word_passages(texts).select("node", F.col("n_words").alias("n_passage_words"), "n_passages"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole")).withColumn("node", F.substring(F.unhex("whole"), 1, 16))
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

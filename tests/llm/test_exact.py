@@ -291,6 +291,33 @@ def test_anchors_of_a_long_text_in_parts(monkeypatch):
     assert np.array_equal(whole, of_each_start())
 
 
+@pytest.mark.parametrize(("length", "gram"), [(400, 64), (250, 48), (120, 24)])
+def test_only_parts_that_may_repeat_are_sorted(length, gram):
+    phrase, passage = prose(50, 15)[: gram + 30], prose(51, 200)
+    texts = [f"{prose(100 + i, 90)} {phrase} {prose(200 + i, 90)}" for i in range(60)]
+    texts += [prose(300 + i, 40 + i) + passage[i * 7 : 900 - i * 11] + phrase + prose(400 + i, 60) for i in range(12)] + [phrase * 12, "x y " * 300, texts[0] + "é"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    doc, first, n, anchor, digest = suffix_dedup.anchors(data, off, length, gram)
+    kinds = {}
+    for d, f, m, a, g in zip(doc.tolist(), first.tolist(), n.tolist(), anchor.tolist(), digest.tolist(), strict=True):
+        kinds.setdefault((a, g), []).append(raw[d][f : f + m + length - 1])
+    kinds = {k: v for k, v in kinds.items() if len(v) > 1 or sum(a == k[0] for a, _ in kinds) > 1}
+    segments, counts = [v[0] for v in kinds.values()], np.array([len(v) for v in kinds.values()])
+    size, own = np.array([len(s) for s in segments]), np.array([a for a, _ in kinds], np.uint64)
+    text, whole = np.frombuffer(b"".join(segments), np.uint8), np.zeros(len(segments), bool)
+    part, at, past = suffix_dedup._narrowed(text, size, own, counts, whole, length, gram)
+    kept = {(i, s) for i, a, b in zip(part.tolist(), at.tolist(), past.tolist(), strict=True) for s in range(a, b)}
+    seen = Counter()
+    for s, c in zip(segments, counts.tolist(), strict=True):
+        seen.update({s[i : i + length]: c for i in range(len(s) - length + 1)})
+    repeated = {(k, i) for k, s in enumerate(segments) for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1}
+    assert repeated and repeated <= kept
+    assert len(kept) == (past - at).sum() < len(repeated) + (size - length + 1).sum() / 4
+    part, at, past = suffix_dedup._narrowed(text, size, own, counts, ~whole, length, gram)
+    assert np.array_equal(part, np.arange(len(segments))) and not at.any() and np.array_equal(past, size - length + 1)
+
+
 def test_remove_passages_keeps_rows(spark, hard, nothing):
     out = suffix_dedup.remove_passages(hard)
     assert out.columns == hard.columns and out.count() == 16 and {r["_node"] for r in out.collect()} == {"own"}
