@@ -61,8 +61,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(build: Callable[[], DataFrame]) -> DataFrame:
+    """``materialise`` what ``build`` gives and remove the tables that were materialised in building it."""
+    before = len(_written)
+    out = materialise(build())
+    inner = _written[before:-1]
+    del _written[before:-1]
+    _remove(inner)
+    return out
+
+
 def _remove_written() -> None:
-    for spark, path in _written:
+    _remove(_written)
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,10 +18,8 @@ segment of the anchor has at the same distances.
 Suffix arrays. Segments are dealt by anchor to shards; the segments of an anchor that has
 very many are split over several. A shard sorts the suffixes of its segments by
 Larsson-Sadakane refinement: first by seven bytes, then only groups that are still tied,
-by the rank of the suffix as far ahead as they are known to agree. Kasai's rule, that a
-suffix shares at least one byte less with its neighbour than its predecessor did, gives
-the common prefixes of neighbours, for many stretches of text at once. Starts whose
-suffix shares ``length`` bytes with a neighbour repeat. For anchors split over shards, the
+by the rank of the suffix as far ahead as they are known to agree, until they agree in
+``length`` bytes. Starts whose suffix then still has a neighbour's rank repeat. For anchors split over shards, the
 classes of each shard go to merge tasks as sorted digests, and each shard's run is looked
 up by binary search among those of all shards, a range of digests at a time.
 
@@ -43,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphleaf.llm.common import GRAMS, ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, table, text_key, utf8, word_bounds
+from graphleaf.llm.common import GRAMS, ROLL_A, ROLL_B, U64, blocks, in_small_batches, materialise, mix, released, set_aside, settle, table, text_key, utf8, word_bounds
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage and of its anchor.
@@ -130,14 +128,14 @@ def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and their ranks by Larsson-Sadakane refinement; those that agree in ``depth`` bytes, or to their ends, stay in order of place.
+    """Suffixes in order and their ranks by Larsson-Sadakane refinement; those that agree in ``depth`` bytes (seven at least), or to their ends, have one rank and stay in order of place.
 
     ``ends``: for each place, where its segment ends; a suffix ends there and comes before longer ones."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.ndarray(n, ">u8", padded, 0, (1,)).astype(np.uint64)
-    left = np.minimum(ends - np.arange(n), 8).astype(np.uint64)
-    key = (key & (~U64(0) << (U64(8) * (U64(8) - np.minimum(left, U64(7)))))) | left  # seven bytes, and how many there are
+    left = np.minimum(ends - np.arange(n), 7).astype(np.uint64)
+    key = (key & (~U64(0) << (U64(8) * (U64(8) - left)))) | left  # seven bytes, and how many of them there are
     order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
@@ -149,7 +147,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
     order[tied] = order[tied][np.argsort(head[tied] * n + order[tied])]
     while known < depth and len(tied):
         at = order[tied]
-        ahead = at + known
+        ahead = at + min(known, depth - known)  # the last step ends at the depth
         inside = ahead < ends[at]
         second = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
         both = rank[at] * (n + 1) + second
@@ -160,7 +158,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
         new[1:] = both[1:] != both[:-1]
         rank[order[tied]] = tied[np.maximum.accumulate(np.where(new, np.arange(len(both)), 0))]
         tied = tied[_tied(new)]
-        known *= 2
+        known = min(2 * known, depth)
     return order, rank
 
 
@@ -209,9 +207,9 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LEN
     size = np.array([len(s) for s in segments], np.int64)
     past = np.cumsum(size)
     ends = np.repeat(past, size)
-    order, _ = suffix_array(text, ends, int(size.max()))  # to the end: Kasai's rule needs the full order
-    lcp = common_prefixes(text, ends, order, length)
-    same = lcp >= length
+    order, rank_of = suffix_array(text, ends, length)
+    same = np.zeros(len(text), bool)
+    same[1:] = rank_of[order[1:]] == rank_of[order[:-1]]
     fresh = np.flatnonzero(~same)
     group = np.cumsum(~same) - 1
     class_of = np.empty(len(text), np.int64)
@@ -643,7 +641,7 @@ def remove_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     A character that loses a byte goes whole. Every row stays, if with an empty text; rows that
     lose nothing, null texts among them, are as they were; columns keep their names and order."""
     inside, back = set_aside(docs, ("_node", "_doc", "_kept", "_whole"))
-    gone = materialise(repeated_passages(inside, text_col, id_col, **how).select(F.col("node").alias("_node"), F.col("doc").alias("_doc"), F.col("kept_text").alias("_kept"), F.col("whole").alias("_whole")))
+    gone = settle(lambda: repeated_passages(inside, text_col, id_col, **how).select(F.col("node").alias("_node"), F.col("doc").alias("_doc"), F.col("kept_text").alias("_kept"), F.col("whole").alias("_whole")))
     own = F.col("_kept")
     if how.get("keep_first"):
         own = F.when(F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), own).when(F.col("_whole"), F.lit(""))
@@ -657,8 +655,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes and more that repeat, cut out of all documents; beside them the words in passages of over 50 words that repeat, which may be shorter and stay in the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     texts = _distinct(docs, "text", "doc_id", min(LENGTH, 2 * WORDS - 1))
-    gone = materialise(_passages(texts).select("node", "n_removed", "n_spans", "kept_sha256"))
-    worded = materialise(_word_passages(texts).select("node", F.col("n_words").alias("n_passage_words"), "n_passages"))
+    gone = settle(lambda: _passages(texts).select("node", "n_removed", "n_spans", "kept_sha256"))
+    worded = settle(lambda: _word_passages(texts).select("node", F.col("n_words").alias("n_passage_words"), "n_passages"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole")).withColumn("node", F.substring(F.unhex("whole"), 1, 16))
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

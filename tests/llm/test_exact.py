@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphleaf.llm import chat, chunk_dedup, decontaminate, packing, queries, sharding, suffix_dedup
+from graphleaf.llm import chat, chunk_dedup, common, decontaminate, packing, queries, sharding, suffix_dedup
 from graphleaf.llm.common import ROLL_A, ROLL_B
 from llm_helpers import CLASH, frame, prose
 
@@ -318,6 +318,25 @@ def test_only_parts_that_may_repeat_are_sorted(length, gram):
     assert np.array_equal(part, np.arange(len(segments))) and not at.any() and np.array_equal(past, size - length + 1)
 
 
+def test_suffixes_that_agree_in_the_depth_have_one_rank():
+    parts = [prose(5, 30)[:150] + "x" * 40, "yz" + prose(5, 30)[:130], prose(5, 30)[:99] + "!", "ab" * 40, "ba" * 40]
+    raw = [p.encode() for p in parts]
+    text = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.repeat(np.cumsum([len(r) for r in raw]), [len(r) for r in raw])
+    for depth in (7, 20, 33, 57, 100):
+        order, rank = suffix_dedup.suffix_array(text, ends, depth)
+        cut = [bytes(text[i : min(ends[i], i + depth)]) for i in range(len(text))]
+        assert [cut[i] for i in order] == sorted(cut)
+        place = {c: k for k, c in reversed(list(enumerate(sorted(cut))))}
+        assert rank.tolist() == [place[c] for c in cut]
+
+
+def test_tables_of_the_steps_before_are_removed(spark, hard):
+    before = len(common._written)
+    out = suffix_dedup.remove_passages(hard)
+    assert len(common._written) == before + 1 and out.count() == 16
+
+
 def test_remove_passages_keeps_rows(spark, hard, nothing):
     out = suffix_dedup.remove_passages(hard)
     assert out.columns == hard.columns and out.count() == 16 and {r["_node"] for r in out.collect()} == {"own"}
