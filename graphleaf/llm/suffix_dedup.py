@@ -261,11 +261,19 @@ def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _spans_of(cut: np.ndarray, places: np.ndarray) -> list[list[dict]]:
-    """Runs of the places in each range from one of ``cut`` to the next, counted from its beginning."""
-    flags = np.zeros(cut[-1], bool)
+def _spans_of(cut: np.ndarray, places: np.ndarray) -> pa.ListArray:
+    """Runs of the places in each range from one of ``cut`` to the next, counted from its beginning; no range is empty."""
+    flags = np.zeros(cut[-1] + 1, bool)
     flags[places] = True
-    return [[{"first": a, "past": b} for a, b in _intervals(flags[x:y])] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    begins, ends = flags[:-1].copy(), flags[:-1].copy()
+    begins[1:] &= ~flags[:-2]
+    ends &= ~flags[1:]
+    begins[cut[:-1]] = flags[cut[:-1]]
+    ends[cut[1:] - 1] = flags[cut[1:] - 1]
+    first, past = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    base = cut[np.searchsorted(cut, first, "right") - 1]
+    runs = pa.StructArray.from_arrays([pa.array((x - base).astype(np.int32)) for x in (first, past)], ["first", "past"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, cut).astype(np.int32)), runs)
 
 
 _SPANS = "array<struct<first: int, past: int>>"
@@ -328,7 +336,7 @@ def _sorted_shards(segments: DataFrame, length: int, gram: int, keep_first: bool
         many = np.bincount(which[listed], minlength=len(rows))
         marks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(mark))
         own = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_KINDS.items()) if n not in ("copies", "segment")}
-        return pa.RecordBatch.from_arrays([*own.values(), pa.array(spans, _SPANS_ARROW), pa.array(late, _SPANS_ARROW), marks], names=[*own, "spans", "later", "marks"])
+        return pa.RecordBatch.from_arrays([*own.values(), spans, late, marks], names=[*own, "spans", "later", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

@@ -331,6 +331,14 @@ def test_suffixes_that_agree_in_the_depth_have_one_rank():
         assert rank.tolist() == [place[c] for c in cut]
 
 
+@given(st.lists(st.lists(st.booleans(), min_size=1, max_size=9), min_size=1, max_size=6))
+def test_spans_end_with_their_segment(flags):
+    cut = np.cumsum([0, *map(len, flags)])
+    got = suffix_dedup._spans_of(cut, np.flatnonzero([f for fs in flags for f in fs]))
+    assert got.type == suffix_dedup._SPANS_ARROW
+    assert [[(s["first"], s["past"]) for s in x] for x in got.to_pylist()] == [suffix_dedup._intervals(np.array(fs)) for fs in flags]
+
+
 def test_tables_of_the_steps_before_are_removed(spark, hard):
     before = len(common._written)
     out = suffix_dedup.remove_passages(hard)
