@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,7 +28,11 @@ U64 = np.uint64
 BLOCK = 1 << 20
 BATCH_BYTES = 4 << 20
 
+#: Seconds from one collection of the driver's garbage to the next, at least.
+TIDY_SECONDS = 10
+
 _written: list[tuple[SparkSession, str]] = []
+_tidied = 0.0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,9 +63,18 @@ def materialise(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
+    _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what finished jobs have left, which it would keep, with their shuffle files, until its heap has grown."""
+    global _tidied
+    if time.monotonic() - _tidied >= TIDY_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def settle(build: Callable[[], DataFrame]) -> DataFrame:
     """``materialise`` what ``build`` gives and remove the tables that were materialised in building it."""
     before = len(_written)
@@ -92,14 +106,19 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -220,7 +239,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.up[0]) < n:
-            size = max(n, BLOCK + 1)
+            size = max(n, min(BLOCK + 1, 2 * len(self.up[0])))  # the driver hashes little
             self.up = [_powers(b, size) for b in self.bases]
             self.down = [_powers(pow(b, -1, PRIME), size) for b in self.bases]
 

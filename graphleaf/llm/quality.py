@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphleaf.llm.common import in_small_batches, released, table, without
-from graphleaf.llm.labelled import is_held_out, training_texts
+from graphleaf.llm.labelled import fitted, is_held_out, training_rows
 
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 32_768
 BINS, TREES, DEPTH, RATE, RIDGE, LEAST_ROWS = 64, 80, 4, 0.15, 1.0, 10
@@ -144,9 +144,12 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text")
     return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))
 
 
+def fit_texts(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
+    return fit(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)), np.array(labels, np.float64))
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    texts, y = training_texts(docs, labels, "quality", TRAIN_ROWS, TRAIN_BYTES)
-    return fit(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)), np.array(y, np.float64))
+    return fitted(training_rows(docs, labels, "quality", TRAIN_ROWS, TRAIN_BYTES), fit_texts)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

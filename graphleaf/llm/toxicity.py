@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphleaf.llm.common import in_small_batches, released, set_aside, table, without
-from graphleaf.llm.labelled import is_held_out, training_texts
+from graphleaf.llm.labelled import fitted, is_held_out, training_rows
 
 BUCKETS = 1 << 18
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 16_384
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    return fit(*training_texts(docs, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES))
+    return fitted(training_rows(docs, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES), fit)
 
 
 def remove_toxic(docs: DataFrame, model: tuple[np.ndarray, float], most: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -96,6 +97,25 @@ def test_the_sample_holds_short_texts_only_and_is_full(spark):
     assert training_texts(docs, labels, "toxic", 20, 10)[0] == ["short"] * 20
 
 
+@pytest.mark.parametrize("module, label, most", [(toxicity, "toxic", 12e6), (quality, "quality", 3e6)])
+def test_only_the_model_reaches_the_driver(spark, module, label, most):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.concat(F.lit("word"), F.col("id") % 7, F.lit(" and more. ")), 250), F.when(F.col("id") % 3 == 0, "vile").otherwise("")).alias("text"))
+    labels = spark.range(2_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias(label))
+    tracemalloc.start()
+    try:
+        model = module.trained(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < most  # the sample's texts collected and fitted in the driver took 33 and 10 MB
+    texts, y = training_texts(docs, labels, label, 6_000, 16_384)
+    assert len(texts) > 1_500 and sum(map(len, texts)) > 5e6
+    mine = toxicity.fit(texts, y) if module is toxicity else quality.fit_texts(texts, y)
+    pairs = zip(model, mine, strict=True) if module is toxicity else ((model[k], mine[k]) for k in mine)
+    assert all(np.array_equal(a, b) for a, b in pairs)
+    assert module.trained(docs.limit(0), labels) is not None
+
+
 def test_the_first_split_is_the_best_of_all():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 12, (300, 4)).astype(float)
