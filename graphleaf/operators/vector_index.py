@@ -11,9 +11,10 @@ and the driver gets a sum for each centroid. Only centroids are held in the driv
 that the parameters bound. At the end a bounded sample of the vectors asks the index, and the numbers of
 lists and of short-listed rows that a share ``target`` of their true neighbours needs are kept with it.
 
-For an exact answer each row keeps the length of what its code leaves out, and each list the greatest distance
-from its centroid: no row can be nearer than its code's product plus that length. Lists and rows that
-cannot reach the best k found so far are left out, the others are looked up.
+For an exact answer each list keeps the greatest distance of its rows from its centroid. The best k of a few near
+lists give each question a score to reach; lists that cannot reach it are left out. Tasks multiply the vectors of the others with all
+questions of a pass and return, of each question, at most the best k of the rows that reach it, so that what is
+moved grows with the answers and not with the pairs. The vectors of all answers are looked up in one join.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphleaf.functions import text as X
-from graphleaf.tables import written
+from graphleaf.tables import tidy, written
 
 #: Rounds of training, rows trained on (a hash chooses them), codes of a part, components of a part, sampled questions, questions in a pass.
 ROUNDS, TRAINED, CODES, PART, SAMPLED, BLOCK = 8, 1 << 20, 256, 4, 128, 512
 MOST_LISTS, TARGET = 4096, 0.98
+#: Of an exact pass: components and answers of its questions, rows and questions multiplied at once, pairs kept before they are cut to the best, tasks for each core.
+ASKED, FOUND, TILE, HELD, TASKS = 1 << 19, 1 << 17, 1024, 1 << 18, 4
 
 
 def _whole(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +140,10 @@ class VectorIndex:
             _opened[key] = spark.read.schema(f"list int, id {self.id_kind}, code binary, left float, far float, embedding {self.kind}").parquet(f"{self.folder}/rows")
         return _opened[key]
 
+    def read(self, spark: SparkSession, lists: list[int], *columns: str) -> DataFrame:
+        """The rows of these lists, whose many small files are read by a few tasks for each core."""
+        return self.rows(spark).filter(F.col("list").isin(lists)).select(*columns).coalesce(TASKS * spark.sparkContext.defaultParallelism)
+
     def search(self, questions: DataFrame, k: int, exact: bool = False, probes: int | None = None, short: int | None = None, digits: int = 6) -> DataFrame:
         """``question, rank, id, score``: the ``k`` nearest by cosine of each row of (question, vector).
 
@@ -144,35 +151,106 @@ class VectorIndex:
         question asked twice is answered once for each different vector. ``exact`` leaves out only what cannot be among the nearest."""
         spark = questions.sparkSession
         fit = questions.select(F.col("question").cast("long").alias("question"), F.col("vector").alias("vector")).filter("question is not null").distinct()
-        numbered = written(fit.withColumn("block", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("question", "vector"), F.lit(64))).orderBy("question", "vector"))))
+        bucket = F.pmod(F.xxhash64("question", "vector"), F.lit(64))
+        numbered = written(fit.withColumn("bucket", bucket).withColumn("block", F.row_number().over(Window.partitionBy("bucket").orderBy("question", "vector"))).withColumn("n", F.col("block").cast("long") * 64 + F.col("bucket")).drop("bucket"))
+        # of each of the 64 parts, so that blocks stay bounded; only whole vectors are read in an exact pass, and more questions share the reading
+        per = max(1, min(ASKED // self.width, FOUND // k) // 64) if exact else BLOCK // 64
         out = []
-        per = BLOCK // 64  # of each of the 64 parts, so that blocks stay bounded
         for block in range(-(-(numbered.agg(F.max("block")).first()[0] or 0) // per)):
-            asked = numbered.filter((F.col("block") > block * per) & (F.col("block") <= (block + 1) * per)).drop("block")
-            found = self._answer(spark, asked, k, exact, min(probes or self.probes, len(self.radius)), short or max(self.short, 2 * k))
-            out.append(found.select("question", "rank", "id", "score"))
+            asked = numbered.filter((F.col("block") > block * per) & (F.col("block") <= (block + 1) * per)).select("n", "vector").toArrow().combine_chunks()  # at most a block of questions
+            pairs = self.nearest(spark, asked, k) if exact else self._near(spark, asked, min(probes or self.probes, len(self.radius)), short or max(self.short, 2 * k))
+            if pairs is not None:
+                out.append(written(pairs.select("n", "list", "id")))
+                tidy(spark)
         if not out:
-            out = [fit.limit(0).select("question", F.lit(0).alias("rank"), F.lit(None).cast(self.id_kind).alias("id"), F.lit(0.0).alias("score"))]
-        whole = out[0]
+            return fit.limit(0).select("question", F.lit(0).alias("rank"), F.lit(None).cast(self.id_kind).alias("id"), F.lit(0.0).alias("score"))
+        pairs = out[0]
         for more in out[1:]:
-            whole = whole.union(more)
-        return whole.withColumn("score", F.round("score", digits))
-
-    def _answer(self, spark: SparkSession, asked: DataFrame, k: int, exact: bool, probes: int, short: int) -> DataFrame:
-        table = asked.toArrow().combine_chunks()  # at most a block of questions
-        at, x = _whole(table.column("vector").chunk(0), self.width) if table.num_rows else ([], np.zeros((0, self.width), np.float32))
-        asked = spark.createDataFrame(table.take(pa.array(at)).append_column("q", pa.array(np.arange(len(at), dtype=np.int32)))) if len(at) else asked.limit(0).withColumn("q", F.lit(0))
+            pairs = pairs.union(more)
+        return self._ranked(spark, numbered, pairs, k).withColumn("score", F.round("score", digits))
+
+    def _asked(self, asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, unit rows and plain rows of the questions (n, vector) that have a direction."""
+        if not asked.num_rows:
+            return np.zeros(0, np.int64), np.zeros((0, self.width), np.float32), np.zeros((0, self.width))
+        vectors = asked.column("vector").chunk(0)
+        at, x = _whole(vectors, self.width)
+        return asked["n"].to_numpy()[at], x, _plain(vectors.take(pa.array(at)), self.width)
+
+    def _near(self, spark: SparkSession, asked: pa.Table, probes: int, short: int) -> DataFrame | None:
+        """n, list, id: the short lists of a block of questions (n, vector)."""
+        n, x, _ = self._asked(asked)
+        if not len(x):
+            return None
         near = x @ self.quantiser.lists.T
         probed = near >= np.partition(near, -probes, 1)[:, -probes, None] if probes < near.shape[1] else np.ones(near.shape, bool)
-        found = self._ranked(spark, asked, probed, self.short_list(spark, x, probed, np.full(len(x), -np.inf), short), k)
-        if not exact or not len(x):
-            return found
-        found = written(found)
-        least = np.full(len(x), -np.inf)
-        for r in found.filter(F.col("rank") == k).join(asked.select("question", "vector", "q"), ["question", "vector"]).select("q", "score").collect():  # one row a question
-            least[r["q"]] = r["score"] - 1e-5
-        can = near + self.radius + 1e-5 >= least[:, None]
-        return self._ranked(spark, asked, can, self.short_list(spark, x, can, least, None), k)
+        numbers = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n)}))
+        return self.short_list(spark, x, probed, np.full(len(x), -np.inf), short).join(F.broadcast(numbers), "q")  # at most a block of questions
+
+    def nearest(self, spark: SparkSession, asked: pa.Table, k: int) -> DataFrame | None:
+        """n, list, id and score: exactly the ``k`` best rows of each of the questions (n, vector); of rows that are repeated one."""
+        n, x, plain = self._asked(asked)
+        if not len(x):
+            return None
+        probes = min(self.probes, max(8, len(self.radius) // 16))
+        depth = np.concatenate([np.partition(near, -probes, 1)[:, -probes] for near in self._products(x)])
+        first = written(self._best(spark, n, x, plain, depth, np.where(np.isfinite(self.radius), 0, -np.inf), np.full(len(x), -np.inf), k))
+        at, least = {v: i for i, v in enumerate(n.tolist())}, np.full(len(x), -np.inf)
+        for r in first.filter(F.col("r") == k).select("n", "score").collect():  # one row a question
+            least[at[r["n"]]] = r["score"]
+        return self._best(spark, n, x, plain, least - self._slack, self.radius, least, k)
+
+    @property
+    def _slack(self) -> float:
+        """More than products of unit rows of single precision can be wrong by."""
+        return max(1e-5, (self.width + 8) * 2.0**-23)
+
+    def _products(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Of the questions with the centroids, a block at a time; lists without rows are last."""
+        for i in range(0, len(x), BLOCK):
+            yield np.where(np.isfinite(self.radius), x[i : i + BLOCK] @ self.quantiser.lists.T, -np.inf)
+
+    def _best(self, spark: SparkSession, n: np.ndarray, x: np.ndarray, plain: np.ndarray, bar: np.ndarray, reach: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
+        """n, list, id, score and rank r of the ``k`` best of the rows that reach ``least``, of lists whose product with the question and ``reach`` come to its ``bar``."""
+        centroids, width, slack = self.quantiser.lists, self.width, self._slack
+        lists = np.zeros(len(reach), bool)
+        for i, near in enumerate(self._products(x)):
+            lists |= (near + reach + slack >= bar[i * BLOCK : i * BLOCK + len(near), None]).any(0)
+        lists &= np.isfinite(self.radius)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floor, components, lengths = least.copy(), np.ascontiguousarray(plain.T), np.sqrt(_dots(plain.T, plain.T))
+            held: list[tuple[np.ndarray, ...]] = []
+            count = 0
+            for batch in batches:
+                at, unit = _whole(batch.column(2), width)
+                rows = batch.take(pa.array(at))
+                own, ids = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                row_components = np.ascontiguousarray(_plain(rows.column(2), width).T)
+                row_lengths = np.sqrt(_dots(row_components, row_components))
+                for one in np.unique(own).tolist():
+                    of_list, asking = np.flatnonzero(own == one), np.flatnonzero(x @ centroids[one] + reach[one] + slack >= bar)
+                    for i in range(0, len(of_list), TILE):
+                        some = of_list[i : i + TILE]
+                        once = np.unique(ids[some], return_index=True)[1]
+                        for j in range(0, len(asking), TILE):
+                            tile = asking[j : j + TILE]
+                            for r, q in _reaching(unit[some] @ x[tile].T, floor[tile], once, k, slack):
+                                r, q = some[r], tile[q]
+                                score = _dots(row_components, components, r, q) / (row_lengths[r] * lengths[q])
+                                good = score >= floor[q]
+                                held.append((q[good], np.full(good.sum(), one), ids[r[good]], score[good]))
+                                count += len(held[-1][0])
+                                if count > HELD + 2 * len(x) * k:
+                                    held = [_cut(held, k, floor)]
+                                    count = len(held[0][0])
+            if held:
+                q, one, ids, score = _cut(held, k, floor)
+                yield pa.RecordBatch.from_arrays([pa.array(n[q]), pa.array(one.astype(np.int32)), pa.array(ids), pa.array(score)], names=["n", "list", "id", "score"])
+
+        found = self.read(spark, np.flatnonzero(lists).tolist(), "list", "id", "embedding").mapInArrow(run, f"n long, list int, id {self.id_kind}, score double")
+        order = Window.partitionBy("n").orderBy(F.desc("score"), "id")
+        return found.groupBy("n", "id", "score").agg(F.min("list").alias("list")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
 
     def short_list(self, spark: SparkSession, x: np.ndarray, probed: np.ndarray, least: np.ndarray, short: int | None) -> DataFrame:
         """q, list, id and rank r of the ``short`` rows of the probed lists with the best codes, or of all rows that can reach ``least``."""
@@ -202,21 +280,57 @@ class VectorIndex:
                     best = []
             yield from _batch(best, short)
 
-        rows = self.rows(spark).filter(F.col("list").isin(lists)).select("list", "id", "code", "left")
-        found = rows.mapInArrow(run, f"q int, list int, id {self.id_kind}, score float")
+        found = self.read(spark, lists, "list", "id", "code", "left").mapInArrow(run, f"q int, list int, id {self.id_kind}, score float")
         if short is None:
             return found.select("q", "list", "id", F.lit(0).alias("r"))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
         return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= short).select("q", "list", "id", "r")
 
-    def _ranked(self, spark: SparkSession, asked: DataFrame, probed: np.ndarray, short: DataFrame, k: int) -> DataFrame:
-        """The exact ``k`` best of a short list (q, list, id) of the probed lists."""
-        whole = self.rows(spark).filter(F.col("list").isin(np.flatnonzero(probed.any(0)).tolist())).select("list", "id", "embedding")
-        # vectors and short lists grow with the index and are never broadcast, which would bring them to the driver for each block
-        pairs = whole.join(short.hint("merge"), ["list", "id"]).join(F.broadcast(asked), "q")  # at most a block of questions
-        scored = pairs.select("question", "vector", "id", X.cosine(F.col("embedding"), F.col("vector")).alias("score")).distinct()
-        order = Window.partitionBy("question", "vector").orderBy(F.desc("score"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question", "rank", "id", "score", "vector")
+    def _ranked(self, spark: SparkSession, numbered: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+        """The exact ``k`` best of the pairs (n, list, id) of the questions (n, question, vector)."""
+        # vectors, pairs and questions grow and are never broadcast; the vectors are dealt once for all blocks
+        every = np.flatnonzero(np.isfinite(self.radius)).tolist()
+        found = self.read(spark, every, "list", "id", "embedding").join(pairs.hint("merge"), ["list", "id"]).select("n", "id", "embedding")
+        scored = found.join(numbered.drop("block").hint("merge"), "n").select("n", "question", "id", X.cosine(F.col("embedding"), F.col("vector")).alias("score")).distinct()
+        order = Window.partitionBy("n").orderBy(F.desc("score"), "id")
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question", "rank", "id", "score")
+
+
+def _plain(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten().cast(pa.float64())).reshape(-1, width)
+
+
+def _dots(a: np.ndarray, b: np.ndarray, r: np.ndarray | slice = slice(None), q: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Products of columns ``r`` of ``a`` and ``q`` of ``b``, summed in order of the components as ``text.cosine`` does."""
+    total = 0.0
+    for one, other in zip(a, b, strict=True):
+        total = total + one[r] * other[q]
+    return total
+
+
+def _reaching(score: np.ndarray, floor: np.ndarray, once: np.ndarray, k: int, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a table of products (rows, questions) that may come to the question's floor and be among its ``k`` best here, some at a time. ``once``: a row of each id."""
+    floor = floor - slack
+    if len(once) > k and (new := np.isneginf(floor)).any():
+        floor[new] = np.partition(score[np.ix_(once, new)], -k, 0)[-k] - 2 * slack
+    r, q = np.nonzero(score >= floor)
+    for i in range(0, len(r), 1 << 16):
+        yield r[i : i + (1 << 16)], q[i : i + (1 << 16)]
+
+
+def _cut(held: list[tuple[np.ndarray, ...]], k: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each question the best ``k`` of (q, list, id, score), repeated rows once; the last of ``k`` is the question's new floor."""
+    q, one, ids, score = (np.concatenate(c) for c in zip(*held, strict=True))
+    number = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((number, -score, q))
+    q, one, ids, score, number = q[order], one[order], ids[order], score[order], number[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (score[1:] != score[:-1]) | (number[1:] != number[:-1])
+    q, one, ids, score = q[new], one[new], ids[new], score[new]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    last = rank == k - 1
+    floor[q[last]] = score[last]
+    return tuple(c[rank < k] for c in (q, one, ids, score))
 
 
 def _batch(best: list[tuple[np.ndarray, ...]], short: int | None) -> Iterator[pa.RecordBatch]:
@@ -270,6 +384,7 @@ def build_index(vectors: DataFrame, folder: str, id_col: str, vector_col: str =
     # a list's rows go to neighbouring files, large lists to several: the ranges are of list and id
     spread = max(1, min(4 * lists, n // 100_000 + 1))
     coded.repartitionByRange(spread, "list", "id").sortWithinPartitions("list", "id").write.mode("overwrite").partitionBy("list").parquet(f"{folder}/rows")
+    tidy(spark)
     _opened.pop((spark.sparkContext.applicationId, folder), None)
     radius = np.full(len(quantiser.lists), -np.inf, np.float32)
     if n:
@@ -297,11 +412,12 @@ def open_index(spark: SparkSession, folder: str) -> VectorIndex:
 def _measured(spark: SparkSession, index: VectorIndex, rows: DataFrame, k: int, target: float) -> VectorIndex:
     """The index with the probes and short-listed rows that find ``target`` of the sample's true neighbours, each of the two a half of what may be missed."""
     ids, x = _sample(rows, SAMPLED, index.width)
-    asked = spark.createDataFrame([(n, i, [float(v) for v in row]) for n, (i, row) in enumerate(zip(ids, x, strict=True))], f"question long, own {index.id_kind}, vector array<float>")
-    true = index.search(asked, k + 1, exact=True, digits=12).join(asked, "question").filter("own <> id").join(index.rows(spark).select("id", "list", "code").distinct(), "id").collect()  # at most k a sampled question
+    asked = pa.table({"n": np.arange(len(x)), "vector": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * index.width), pa.array(x.ravel()))})
+    found = index.nearest(spark, asked, k + 1)
+    true = [r for r in found.collect() if r["id"] != ids[r["n"]]] if found is not None else []  # at most k a sampled question
     if not true:
         return index
-    q = np.array([r["vector"] for r in true], np.float32)
+    q = x[[r["n"] for r in true]]
     own = np.array([r["list"] for r in true])
     near = q @ index.quantiser.lists.T
     depth = (near > near[np.arange(len(q)), own, None]).sum(1)
@@ -312,7 +428,7 @@ def _measured(spark: SparkSession, index: VectorIndex, rows: DataFrame, k: int,
     probed = probed >= np.partition(probed, -probes, 1)[:, -probes, None]
     most = 64 * k
     ranks = index.short_list(spark, x, probed, np.full(len(x), -np.inf), most)
-    wanted = spark.createDataFrame([(r["question"], r["id"]) for r in true], f"q int, id {index.id_kind}")
+    wanted = spark.createDataFrame([(r["n"], r["id"]) for r in true], f"q int, id {index.id_kind}")
     found = [r["r"] for r in ranks.join(F.broadcast(wanted), ["q", "id"]).collect()]  # at most k a sampled question
     found = np.sort(found + [most] * int((depth < probes).sum() - len(found)))
     short = int(found[int(np.ceil(share * len(found))) - 1]) if len(found) else most

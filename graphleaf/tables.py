@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +41,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+TIDY_SECONDS = 10
+_tidied = 0.0
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what finished jobs have left, at most every ``TIDY_SECONDS``; their shuffle files stay on disk until then."""
+    global _tidied
+    if time.monotonic() - _tidied >= TIDY_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def numbered(rows: DataFrame, out: str = "pos") -> DataFrame:
     """Add ``out``: gapless from 0 in the order in which Spark reads ``rows`` (files in order, then lines).
 

@@ -96,6 +96,36 @@ def test_blocks_list_once_and_broadcast_no_vectors(spark, tmp_path, monkeypatch)
     assert again.rows(spark).count() == 9
 
 
+def test_exact_moves_answers_not_pairs(spark, tmp_path, monkeypatch):
+    from graphleaf.operators import vector_index as V
+
+    for name, value in (("ASKED", 16 * 64), ("HELD", 50), ("TILE", 32)):  # several passes, cut often
+        monkeypatch.setattr(V, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (1500, 16)))]
+    rows += [(3000 - i, rows[0][1]) for i in range(40)] + [(9, rows[9][1])] * 40 + [(9, [2 * x for x in rows[9][1]])]
+    index = build_index(spark.createDataFrame(rows, "id long, embedding array<double>"), str(tmp_path), "id", lists=20)
+    moved, write = [], V.written
+
+    def written(df):
+        df.collect()
+        moved.extend(m.value() for m in _metrics(df, "shuffleRecordsWritten"))
+        return write(df)
+
+    monkeypatch.setattr(V, "written", written)
+    found = index.search(spark.createDataFrame(rows[:200], "question long, vector array<double>"), 5, exact=True, digits=12)
+    got, expected = answers(found), scans(rows, rows[:200], 5, 16, digits=12)
+    for q in expected:  # one row for equal scores of an id
+        assert [s for _, s in got[q]] == [s for _, s in _once(rows, rows[q], 5)] if q == 9 else got[q] == expected[q]
+    moved += [m.value() for m in _metrics(found, "shuffleRecordsWritten")]
+    assert sum(moved) < 1500 * 200 / 5, moved
+
+
+def _once(rows, question, k):
+    every = scans(rows, [question], len(rows), len(question[1]), digits=12)[question[0]]
+    return list(dict.fromkeys(every))[:k]
+
+
 def _metrics(df, name):
     """The metrics of that name of the plan that ran, of its adaptive stages too."""
     found, todo = [], [df._jdf.queryExecution().executedPlan()]
