@@ -96,6 +96,7 @@ def _moved(rows: DataFrame, width: int, spaces: np.ndarray, quantiser: Quantiser
     out = spaces.copy()
     got = added.toArrow()  # a number for each component of each centroid
     out[got["s"].to_numpy(), got["k"].to_numpy(), got["i"].to_numpy()] = (got["v"].to_numpy() / got["n"].to_numpy()).astype(np.float32)
+    tidy(rows.sparkSession)
     return out
 
 
